@@ -45,6 +45,7 @@ def merge_routes(results: DataFrame) -> DataFrame:
     title, document or address differs between routes. Equal ranks are settled by route name.
     """
     rank_first = F.struct("rank", "method")
+    whole = F.struct("document_id", "title", "text", "source_uri")
     merged = results.groupBy("query_id", "chunk_id").agg(
         F.min("rank").alias("retrieval_rank"),
         F.min_by("score", rank_first).alias("retrieval_score"),
@@ -53,10 +54,11 @@ def merge_routes(results: DataFrame) -> DataFrame:
         F.count("*").alias("seen"),
         F.array_join(F.array_sort(F.collect_set("method")), ",").alias("all_routes"),
         *[F.min_by(c, rank_first).alias(c) for c in ("document_id", "title", "source_uri", "text")],
-        (F.count_distinct(F.struct("document_id", "title", "text", "source_uri")) > 1).alias("contradictory"),
+        (F.min(whole) != F.max(whole)).alias("contradictory"),
     )
     order = Window.partitionBy("query_id").orderBy("retrieval_rank", "chunk_id")
-    rerank = F.when(F.col("seen") > 1, F.greatest("top_rerank", F.lit(0.0) + F.col("top_rerank") * 0)).otherwise(F.col("top_rerank"))
+    floored = F.when(F.col("top_rerank").isNotNull(), F.greatest("top_rerank", F.lit(0.0)))
+    rerank = F.when(F.col("seen") > 1, floored).otherwise(F.col("top_rerank"))
     return merged.withColumn("rerank_score", rerank).withColumn(
         "citation_id", F.concat(F.lit("C"), F.row_number().over(order))
     ).drop("top_rerank", "seen")
@@ -163,7 +165,6 @@ def sufficiency(queries: DataFrame, evidence: DataFrame, *, sufficient: float =
     Query words (with their multiplicity) meet evidence texts through the evidence of the same query
     only, and are reduced to one flag per word before they are averaged.
     """
-    word = F.lower("w")
     words = queries.select(
         "query_id",
         F.filter(
@@ -265,7 +266,7 @@ def pack_context(evidence: DataFrame, *, max_chunks: int = 6, max_characters: in
     )
     sized = evidence.select("query_id", "chunk_id", "document_id", "title", "source_uri", "text", "rerank_score", "retrieval_rank", head.alias("head"), safe.alias("safe"))
     sized = sized.withColumn("room", room)
-    cut = F.when((F.length("safe") + F.length(F.lit(PACK_MARKER)) * 0 > F.col("room") + len(PACK_MARKER)) & (F.col("room") > 0), widths)
+    cut = F.when((F.length("safe") > F.col("room") + len(PACK_MARKER)) & (F.col("room") > 0), widths)
     sized = sized.withColumn("cut", cut).withColumn(
         "short", F.when(F.col("cut").isNotNull(), F.concat(escape(F.substring("text", F.lit(1), F.col("cut")), quote=False), F.lit(PACK_MARKER)))
     )
