@@ -99,7 +99,8 @@ def save_index(index: LexicalIndex, root: str) -> None:
     """Write the four tables; postings are clustered by term so that a lookup reads few row groups."""
     index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
     index.terms.write.mode("overwrite").parquet(f"{root}/terms")
-    index.chunks.write.mode("overwrite").parquet(f"{root}/chunks")
+    places = index.chunks.join(corpus_positions(index.chunks).select("chunk_id", "position"), "chunk_id")
+    places.write.mode("overwrite").parquet(f"{root}/chunks")
     index.meta.withColumn("k1", F.lit(index.k1)).withColumn("b", F.lit(index.b)).withColumn(
         "tokenizer_version", F.lit(tx.TOKENIZER_VERSION)
     ).write.mode("overwrite").parquet(f"{root}/meta")
@@ -209,7 +210,10 @@ def _zero_fill(
         .select("query_id", (F.coalesce("matched", F.lit(0)) + k).alias("need"))
     )
     reach = F.coalesce(short.agg(F.max("need").alias("m")).scalar(), F.lit(0))
-    places = corpus_positions(index.chunks, reach)
+    if "position" in index.chunks.columns:
+        places = index.chunks.filter(F.col("position") <= reach).drop("dl")
+    else:
+        places = corpus_positions(index.chunks, reach)
     wanted = short.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("position"))
     return (
         wanted.join(places, "position")
