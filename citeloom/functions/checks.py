@@ -16,13 +16,15 @@ def violations(df: DataFrame, entity: Column, rules: Mapping[str, Column]) -> Da
     """Rows ``(entity_id, rule)`` for every rule whose predicate says "broken".
 
     One pass over the table whatever the number of rules: broken rules are gathered into a small
-    array per row and exploded. A NULL predicate counts as not broken.
+    array per row and exploded. A NULL predicate counts as not broken. The outer explode keeps Spark
+    from inferring a filter on the array, which would evaluate every rule twice.
     """
     hits = F.filter(
         F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]),
         lambda r: r.isNotNull(),
     )
-    return df.select(entity.cast("string").alias("entity_id"), F.explode(hits).alias("rule"))
+    rows = df.select(entity.cast("string").alias("entity_id"), F.explode_outer(hits).alias("rule"))
+    return rows.filter("rule is not null")
 
 
 def duplicates(df: DataFrame, keys: list[str], rule: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from citeloom.queries import control, judgement, retrieval  # noqa: F401
+from citeloom.queries import control, judgement, packaging, retrieval  # noqa: F401
 from citeloom.queries.base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -248,7 +248,7 @@ def decision_totals(spark, folder):
           SELECT *, rtrim(query, '?') || ' documentation usage' AS wider FROM (SELECT * REPLACE (query || CASE WHEN turn % 2 = 0 THEN '??' ELSE '' END AS query) FROM requests)))""", "requests"))
 def reformulated_queries(spark, folder):
     rows = requests(spark, folder).withColumn("query", F.concat("query", F.when(F.col("turn") % 2 == 0, "??").otherwise("")))
-    again = F.upper(F.concat(F.rtrim("query", F.lit("?")), F.lit("  documentation usage ")))
+    again = F.lower(F.concat(F.rtrim("query", F.lit("?")), F.lit("  documentation usage ")))
     previous = F.when(F.col("turn") % 5 == 2, F.array(again)).otherwise(F.array(F.lit("other")))
     out = rows.select("request_id", ct.reformulate(F.col("query"), previous).alias("r"))
     return out.select("request_id", F.col("r.query").alias("refined"), "r.problem")
