@@ -137,7 +137,7 @@ BEST_SQL = """CASE WHEN requires_abstention OR sample_type = 'unanswerable' THEN
         SELECT *, unnest(range(0, 4)) AS calls, sample_id % 3 AS rounds, sample_id % 2 = 1 AS reformulated FROM samples s LEFT JOIN
           (SELECT query_id, list(chunk_id) AS got FROM bq_sparse WHERE rank <= 2 GROUP BY 1) r ON r.query_id = s.sample_id), LATERAL (SELECT coalesce(got, []) AS retrieved))""", "samples", "bq_sparse"))
 def supervised_actions(spark, folder):
-    got = inp.sparse_top(spark, folder, 20).filter("rank <= 2").groupBy(F.col("query_id").alias("sample_id")).agg(F.collect_set("chunk_id").alias("got"))
+    got = inp.run(spark, folder, "sparse").filter("rank <= 2").groupBy(F.col("query_id").alias("sample_id")).agg(F.collect_set("chunk_id").alias("got"))
     rows = samples(spark, folder).join(got, "sample_id", "left").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("retrieval_calls"), F.coalesce("got", F.array().cast("array<string>")).alias("retrieved"),
         (F.col("sample_id") % 3).alias("iteration_count"), (F.col("sample_id") % 2 == 1).alias("reformulated"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 HEAVY_TEXT = {"documents", "pages", "conversations"}
 _STORES: dict[tuple[str, str], corpus_store.CorpusStore] = {}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage result written once per session to the shared folder, for the stages that read it."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _TABLES:
+        path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def store(spark: SparkSession, folder: str) -> corpus_store.CorpusStore:
@@ -71,6 +83,10 @@ def queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "qrels", lambda: fresh_qrels(spark, folder))
+
+
+def fresh_qrels(spark: SparkSession, folder: str) -> DataFrame:
     """Gold chunks: those holding the passage word for word.
 
     Containment is found through an equi-join on a run of five inner words of the passage (a hash of
@@ -133,12 +149,33 @@ def all_modes(spark: SparkSession, folder: str, q: DataFrame | None = None) -> d
     return {"sparse": sparse, "dense": dense, "hybrid": hybrid, "reranked": reranked}
 
 
-def hybrid_top(spark: SparkSession, folder: str, q: DataFrame | None = None) -> DataFrame:
-    return all_modes(spark, folder, q)["hybrid"]
+def run(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+    """Stored results of the benchmark queries in one mode; fused results are read, not searched again."""
+    if mode in ("sparse", "dense"):
+        search = sparse_top if mode == "sparse" else dense_top
+        return stored(spark, folder, f"run_{mode}", lambda: search(spark, folder, 20))
+    if mode == "hybrid":
+        legs = run(spark, folder, "sparse"), run(spark, folder, "dense")
+        return stored(spark, folder, "run_hybrid", lambda: fusion.reciprocal_rank_fusion(*legs, 20))
+    hybrid = run(spark, folder, "hybrid")
+
+    def rerank() -> DataFrame:
+        pairs = fusion.hydrate(hybrid, chunks(spark, folder), "text").join(queries(spark, folder), "query_id")
+        return fusion.reorder(hybrid, fusion.overlap_scores(pairs), 6)
+
+    return stored(spark, folder, "run_reranked", rerank)
+
+
+def runs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {mode: run(spark, folder, mode) for mode in ("sparse", "dense", "hybrid", "reranked")}
+
+
+def hybrid_top(spark: SparkSession, folder: str) -> DataFrame:
+    return run(spark, folder, "hybrid")
 
 
-def reranked_top(spark: SparkSession, folder: str, q: DataFrame | None = None) -> DataFrame:
-    return all_modes(spark, folder, q)["reranked"]
+def reranked_top(spark: SparkSession, folder: str) -> DataFrame:
+    return run(spark, folder, "reranked")
 
 
 # ---------------------------------------------------------------- SQL twins

@@ -89,8 +89,7 @@ claims_fragments("cc", "claim_corpus", "chunk_id")
               FROM (SELECT query_id, chunk_id, rank, score, 'sparse' AS method FROM bq_sparse UNION ALL SELECT query_id, chunk_id, rank, score, 'dense' FROM bq_dense) r
               JOIN chunks c USING (chunk_id)) GROUP BY query_id, chunk_id)""", "bq_sparse", "bq_dense", "chunks"))
 def merged_route_evidence(spark, folder):
-    modes = inp.all_modes(spark, folder)
-    legs = [modes[m].select("query_id", "chunk_id", "rank", "score", F.lit(m).alias("method")) for m in ("sparse", "dense")]
+    legs = [inp.run(spark, folder, m).select("query_id", "chunk_id", "rank", "score", F.lit(m).alias("method")) for m in ("sparse", "dense")]
     rows = fusion.hydrate(legs[0].unionByName(legs[1]), inp.chunks(spark, folder))
     rows = rows.withColumn("title", F.when((F.col("method") == "dense") & (F.col("rank") % 5 == 0), F.concat("title", F.lit("*"))).otherwise(F.col("title")))
     rows = rows.withColumn("rerank_score", F.when(F.col("rank") % 2 == 0, F.col("score") - 0.5))
@@ -359,7 +358,7 @@ def uniform_hits(spark, folder):
           'cand_web_' || rank || '_' || substr(sha256(snippet), 1, 8) AS candidate_id FROM (
           SELECT page_id, u, snippet, regexp_extract(substr(u, 9), '^[^/?]*') AS hp, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS rank FROM (
             SELECT page_id, CASE page_id % 11 WHEN 0 THEN ' ' WHEN 1 THEN 'https://user@host.org/' WHEN 2 THEN 'https://10.0.0.7/x' WHEN 3 THEN 'https://host.org:8443/x'
-               WHEN 4 THEN 'https:///x' WHEN 5 THEN 'https://host.org:443/y' ELSE replace(url, 'http://', 'https://') END AS u, CASE WHEN page_id % 13 = 5 THEN '' ELSE substr(html, 1, 80) END AS snippet FROM pages)
+               WHEN 4 THEN 'https:///x' WHEN 5 THEN 'https://host.org:443/y' ELSE replace(url, 'http://', 'https://') END AS u, CASE WHEN page_id % 13 = 5 THEN '' ELSE html END AS snippet FROM pages)
           WHERE trim(u) <> '' AND snippet <> ''))"""))
 def web_hit_candidates(spark, folder):
     m = F.col("page_id") % 11
@@ -369,7 +368,7 @@ def web_hit_candidates(spark, folder):
     )
     hits = inp.table(spark, folder, "pages").select(
         (F.col("page_id") % 40).alias("query_id"), F.lit("t").alias("title"), url.alias("url"),
-        F.when(F.col("page_id") % 13 == 5, "").otherwise(F.substring("html", 1, 80)).alias("snippet"), F.col("page_id").alias("position"),
+        F.when(F.col("page_id") % 13 == 5, "").otherwise(F.col("html")).alias("snippet"), F.col("page_id").alias("position"),
     )
     good, bad = fusion.web_candidates(hits, "web_search")
     back = hits.select("query_id", "position").withColumn("page_id", F.col("position"))

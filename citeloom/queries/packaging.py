@@ -30,6 +30,10 @@ def package_requests(spark, folder):
 
 
 def packages(spark, folder):
+    return inp.stored(spark, folder, "packages", lambda: fresh_packages(spark, folder))
+
+
+def fresh_packages(spark, folder):
     """Packages of the fused results; the first two items of some queries are exact copies."""
     top = inp.hybrid_top(spark, folder).filter("rank <= 6").select(
         "query_id", "chunk_id", "rank", "score", F.lit("hybrid").alias("method"), F.lit(None).cast("string").alias("heading_path")
@@ -71,7 +75,7 @@ fragment("pkg", f"""SELECT r.query_id, sha256(normalized) AS query_hash, length(
 @register("context_packages", "I1, I2, I3, I4, I5, I6", sql(
     """SELECT query_id, package_id, query_hash, query_length, context_chars, estimated_tokens, excluded, stop_reason, sha256(context_text) AS context_digest FROM pkg""", "pkg"))
 def context_packages(spark, folder):
-    return packages(spark, folder).select(
+    return fresh_packages(spark, folder).select(
         "query_id", "package_id", "query_hash", "query_length", "context_chars", "estimated_tokens", "excluded", "stop_reason", F.sha2("context_text", 256).alias("context_digest")
     )
 

@@ -243,14 +243,14 @@ def route_first_occurrence(spark, folder):
     """SELECT query_id, chunk_id, rank, round(score, 6) AS score, sparse_rank, dense_rank, round(sparse_score, 6) AS sparse_score,
         round(dense_score, 6) AS dense_score FROM bq_hybrid""", "bq_hybrid"))
 def hybrid_top_20(spark, folder):
-    return inp.hybrid_top(spark, folder)
+    return inp.all_modes(spark, folder)["hybrid"]
 
 
 @register("reranked_top_6", "E4, E5", sql(
     """SELECT query_id, chunk_id, rank, round(rerank_score, 6) AS rerank_score, retrieval_rank, round(retrieval_score, 6) AS retrieval_score
        FROM bq_reranked""", "bq_reranked"))
 def reranked_top_6(spark, folder):
-    return inp.reranked_top(spark, folder).select(
+    return inp.all_modes(spark, folder)["reranked"].select(
         "query_id", "chunk_id", "rank", "rerank_score", "retrieval_rank", "retrieval_score"
     )
 
@@ -275,7 +275,7 @@ def shared_words_model():
         UNION ALL SELECT query_id, chunk_id, 'duplicate_chunk' FROM bq_sparse WHERE rank = 3
         UNION ALL SELECT query_id, chunk_id, 'non_finite_score' FROM bq_sparse WHERE rank = 4)""", "bq_sparse"))
 def rerank_score_checks(spark, folder):
-    base = inp.sparse_top(spark, folder, 5)
+    base = inp.run(spark, folder, "sparse").filter("rank <= 5")
     value = F.when(F.col("rank") == 4, F.lit(float("nan"))).otherwise(F.col("score"))
     name = F.when(F.col("rank") == 2, F.concat("chunk_id", F.lit("x"))).otherwise(F.col("chunk_id"))
     copies = F.explode(F.expr("array_repeat(1, case when rank = 3 then 2 else 1 end)"))
@@ -299,13 +299,14 @@ def rerank_score_checks(spark, folder):
 def ranking_quality_by_mode(spark, folder):
     modes = F.explode(F.array(*[F.lit(m) for m in ("sparse", "dense", "hybrid", "reranked")]))
     samples = inp.queries(spark, folder).select(modes.alias("mode"), "query_id")
-    return metrics.ranking_metrics(samples, by_mode(spark, folder), inp.qrels(spark, folder), ["mode", "query_id"])
+    results = by_mode(inp.all_modes(spark, folder))
+    return metrics.ranking_metrics(samples, results, inp.fresh_qrels(spark, folder), ["mode", "query_id"])
 
 
-def by_mode(spark, folder):
+def by_mode(lists):
     """All four result lists in one table; the first three keep ten rows, the reranked one six."""
     out = None
-    for mode, df in inp.all_modes(spark, folder).items():
+    for mode, df in lists.items():
         part = df.filter("rank <= 10").select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank")
         out = part if out is None else out.unionByName(part)
     return out
