@@ -54,8 +54,12 @@ def store(spark: SparkSession, folder: str) -> corpus_store.CorpusStore:
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as ingested text files."""
+    return as_documents(table(spark, folder, "documents"))
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
     uri = F.concat(F.lit("file://data/raw/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt"))
-    base = table(spark, folder, "documents").select(
+    base = rows.select(
         "doc_id", "lang", "source", uri.alias("source_uri"), F.col("doc_id").cast("string").alias("title"),
         F.regexp_replace("text", "\r\n?", "\n").alias("raw"),
     )

@@ -11,10 +11,14 @@ from citeloom.queries.base import fragment, register, sql
 
 def run_rows(spark, folder):
     """Events as finished queries."""
+    return as_runs(inp.table(spark, folder, "events"))
+
+
+def as_runs(events):
     kind = F.col("event_type")
     status = F.when(kind == "error", "failed").when(kind == "signup", "abstained").otherwise("completed")
     action = F.element_at(F.array(*[F.lit(a) for a in ("retrieve_sparse", "retrieve_dense", "retrieve_hybrid", "stop")]), (F.col("user_id") % 4 + 1).cast("int"))
-    return inp.table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("run_id"), "ts", "user_id", status.alias("status"), F.col("value").alias("latency_ms"), (F.col("user_id") % 4).alias("retrieval_calls"),
         action.alias("action"), (F.col("event_id") % 5).alias("citation_count"),
     )
