@@ -37,7 +37,7 @@ def with_term_counts(df: DataFrame, column: str = "tokens") -> DataFrame:
     Linear after the sort and local to the row. Three projections, so that no array is computed
     again for every element of a lambda.
     """
-    ordered = df.withColumn("_s", F.array_sort(column))
+    ordered = df.withColumn("_s", F.sort_array(column))
     starts = ordered.withColumn(
         "_i",
         F.filter(

@@ -208,7 +208,13 @@ def stream_ingest(spark, folder):
 
 def run_stream(spark, folder):
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return service.as_runs(jobs.table_stream(spark, folder, "events.parquet", schema))
+    runs = service.as_runs(jobs.table_stream(spark, folder, "events.parquet", schema))
+    return runs.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def plain_times(df, *columns):
+    """Back to the time type of the table."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
 _windows = "SELECT {start} AS window_start, status, count(*) AS n, round(avg(latency_ms), 6) AS average_latency_ms, max(latency_ms) AS max_latency_ms FROM run_rows GROUP BY ALL"
@@ -229,7 +235,7 @@ def sliding_metrics(spark, folder):
     "SELECT * FROM (" + _windows.format(start="date_trunc('hour', ts)") + ") WHERE window_start + INTERVAL 1 hour <= (SELECT max(ts) FROM run_rows) - INTERVAL 10 minutes", "run_rows"))
 def stream_hourly_metrics(spark, folder):
     """Windows the watermark has closed."""
-    return jobs.run_to_table(jobs.windowed_metrics(run_stream(spark, folder)), *_paths(spark, "metrics")).drop("window_end", "p95_approx")
+    return jobs.run_to_table(jobs.windowed_metrics(run_stream(spark, folder)), *_paths(spark, "metrics")).drop("window_end", "p95_approx").transform(plain_times, "window_start")
 
 
 @register("stream_repeat_suppression", "S3", None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so lost executors do not restart a loop."""
+    """Write ``df`` once to the shared checkpoint folder and continue from the written table.
+
+    A lost executor then repeats only its own tasks of the next step, and the plan of a loop stays the
+    same size in every round. A table is used because ``checkpoint()`` computes its input twice.
+    """
     spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_root(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
