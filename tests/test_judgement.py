@@ -57,7 +57,8 @@ def test_sentences():
         "See e.g. section 4.1 for details.", "Dr. Smith agreed with the result."
     ]
     assert co.boundaries("- one\n- two\n  more\n\nNext. Last") == [("- one", "\n"), ("- two\n  more", "\n\n"), ("Next.", " "), ("Last", "")]
-    assert co.in_order("A b. C d. E f.", "A b. E f.") and not co.in_order("A b. C d.", "C d. A b.") and not co.in_order("A b. C d.", "A b")
+    three = "Aa bb. Cc dd. Ee ff."
+    assert co.in_order(three, "Aa bb. Ee ff.") and not co.in_order(three, "Cc dd. Aa bb.") and not co.in_order(three, "Aa bb")
 
 
 def test_rules_and_reformulation(spark):
