@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
 from citeloom.functions.checks import duplicates, unresolved
-from citeloom.functions.identity import row_digest, table_fingerprint
+from citeloom.functions.identity import table_fingerprint
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings(term, chunk_id, tf, dl)``, ``terms(term, nd, idf)``, ``chunks(chunk_id, document_id,
-    ordinal, dl)`` and the one-row ``meta``."""
+    """``postings(term, position, tf, dl)``, ``terms(term, nd, idf)``, ``chunks(chunk_id, document_id,
+    ordinal, dl, position)`` and the one-row ``meta``.
+
+    ``position`` is a chunk's place in corpus order: eight bytes instead of a 64-character id in every
+    posting, and the tie-break of the ranking at the same time.
+    """
 
     postings: DataFrame
     terms: DataFrame
@@ -80,10 +84,11 @@ def index_from_counts(counted: DataFrame, *, k1: float = 1.5, b: float = 0.75) -
     Counting needs no shuffle: one chunk is one row, so its term counts are made in place. Only the
     term statistics are aggregated across rows, with map-side combining.
     """
-    postings = each_term(counted, "chunk_id", "dl").select("term", "chunk_id", "tf", "dl")
     stats = counted.select("chunk_id", "document_id", "ordinal", "dl")
+    places = corpus_positions(stats).select("chunk_id", "position")
+    postings = each_term(counted.join(places, "chunk_id"), "position", "dl").select("term", "position", "tf", "dl")
     corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    nd = postings.groupBy("term").agg(F.count("*").alias("nd"))
+    nd = each_term(counted).groupBy("term").agg(F.count("*").alias("nd"))
     n = corpus.select("n").scalar()
     raw = nd.select("term", "nd", (F.log(n - F.col("nd") + 0.5) - F.log(F.col("nd") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * 0.25).alias("floor"))
@@ -92,15 +97,14 @@ def index_from_counts(counted: DataFrame, *, k1: float = 1.5, b: float = 0.75) -
         F.when(F.col("raw") < 0, floor.select("floor").scalar()).otherwise(F.col("raw")).alias("idf"),
     )
     meta = corpus.select("n", "avgdl", floor.select("floor").scalar().alias("floor"))
-    return LexicalIndex(postings, terms, stats, meta, k1, b)
+    return LexicalIndex(postings, terms, stats.join(places, "chunk_id"), meta, k1, b)
 
 
 def save_index(index: LexicalIndex, root: str) -> None:
     """Write the four tables; postings are clustered by term so that a lookup reads few row groups."""
     index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
     index.terms.write.mode("overwrite").parquet(f"{root}/terms")
-    places = index.chunks.join(corpus_positions(index.chunks).select("chunk_id", "position"), "chunk_id")
-    places.write.mode("overwrite").parquet(f"{root}/chunks")
+    index.chunks.write.mode("overwrite").parquet(f"{root}/chunks")
     index.meta.withColumn("k1", F.lit(index.k1)).withColumn("b", F.lit(index.b)).withColumn(
         "tokenizer_version", F.lit(tx.TOKENIZER_VERSION)
     ).write.mode("overwrite").parquet(f"{root}/meta")
@@ -115,7 +119,7 @@ def load_index(spark: SparkSession, root: str) -> LexicalIndex:
     return LexicalIndex(read("postings"), read("terms"), read("chunks"), meta, row.k1, row.b)
 
 
-def corpus_positions(chunks: DataFrame, upto: Column | None = None) -> DataFrame:
+def corpus_positions(chunks: DataFrame) -> DataFrame:
     """1-based place of each chunk in corpus order ``(document_id, ordinal)``.
 
     Documents are numbered bucket by bucket (three leading characters of the id), never in one task,
@@ -125,14 +129,10 @@ def corpus_positions(chunks: DataFrame, upto: Column | None = None) -> DataFrame
     buckets = docs.groupBy("bucket").agg(F.sum("c").alias("c"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    if upto is not None:
-        offsets = offsets.filter(F.col("base") < upto)
     inside = Window.partitionBy("bucket").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.join(offsets, "bucket").select(
         "document_id", (F.col("base") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("base")
     )
-    if upto is not None:
-        placed = placed.filter(F.col("base") < upto)
     return chunks.select("chunk_id", "document_id", "ordinal").join(placed, "document_id").select(
         "chunk_id", "document_id", "ordinal", (F.col("base") + F.col("ordinal") + 1).alias("position")
     )
@@ -155,14 +155,14 @@ def rejected_queries(queries: DataFrame, k: int = 10, *, normalise: bool = True)
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, *, normalise: bool = True) -> DataFrame:
-    """``(query_id, chunk_id, score)`` for chunks sharing at least one term with the query."""
+    """``(query_id, position, score)`` for chunks sharing at least one term with the query."""
     avgdl = index.meta.select("avgdl").scalar()
     weighted = query_terms(queries, normalise=normalise).join(index.terms, "term")
     norm = F.lit(index.k1) * (F.lit(1.0 - index.b) + F.lit(index.b) * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("qtf") * (F.col("tf") * (index.k1 + 1.0)) / (F.col("tf") + norm)
     return (
         weighted.join(index.postings, "term")
-        .groupBy("query_id", "chunk_id")
+        .groupBy("query_id", "position")
         .agg(F.sum(part).alias("score"))
     )
 
@@ -172,53 +172,44 @@ def bm25_top_k(
 ) -> DataFrame:
     """Best ``k`` chunks per query by score, then corpus order; scores are compared at nine decimals.
 
-    A first ranking by score alone (with ties) runs before the corpus order is joined, so the join
-    touches a few rows per query. With ``pad`` a query with fewer than ``k`` positive matches is
-    filled with zero-score chunks in corpus order, as if every chunk had been scored.
+    Only (query, position, score) triples are ranked; ids are joined to the few rows that are left.
+    With ``pad`` a query with fewer than ``k`` positive matches is filled with zero-score chunks in
+    corpus order, as if every chunk had been scored.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    scored = bm25_scores(index, queries, normalise=normalise).withColumn("r", F.round("score", 9))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("r"))
-    best = scored.withColumn("t", F.rank().over(by_score)).filter(F.col("t") <= k).drop("t")
-    best = best.join(index.chunks.select("chunk_id", "document_id", "ordinal"), "chunk_id")
+    scored = bm25_scores(index, queries, normalise=normalise).select("query_id", "position", F.round("score", 9).alias("r"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("r"), "position")
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if pad:
-        best = best.unionByName(_zero_fill(index, queries, scored, k, normalise))
-    final = Window.partitionBy("query_id").orderBy(F.desc("r"), "document_id", "ordinal")
-    return (
-        best.withColumn("rank", F.row_number().over(final))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "chunk_id", "document_id", "ordinal", "rank", F.col("r").alias("score"))
-    )
+        full = best.filter("r <> 0").drop("rank").unionByName(_zero_fill(index, queries, best, scored, k, normalise))
+        best = full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ids = index.chunks.select("position", "chunk_id", "document_id", "ordinal")
+    return best.join(ids, "position").select("query_id", "chunk_id", "document_id", "ordinal", "rank", F.col("r").alias("score"))
 
 
 def _zero_fill(
-    index: LexicalIndex, queries: DataFrame, scored: DataFrame, k: int, normalise: bool
+    index: LexicalIndex, queries: DataFrame, best: DataFrame, scored: DataFrame, k: int, normalise: bool
 ) -> DataFrame:
-    """Unmatched chunks for queries short of ``k`` positive scores.
+    """Zero-score places for queries short of ``k`` positive scores.
 
-    Such a query needs at most the first ``k + matched`` places of the corpus order; these places are
-    generated, matched ones removed with an anti join, and only then resolved to chunks.
+    Such a query needs at most the first ``k`` places that are taken neither by a positive match (all
+    of them are in ``best``) nor by a negative one, which only a corpus with a negative idf floor has.
+    The places are generated and the taken ones removed with an anti join.
     """
     valid = query_terms(queries, normalise=normalise).select("query_id").distinct()
-    per_query = scored.groupBy("query_id").agg(
-        F.count("*").alias("matched"), F.count(F.when(F.col("r") > 0, 1)).alias("positive")
-    )
-    short = (
-        valid.join(per_query, "query_id", "left")
-        .filter(F.coalesce("positive", F.lit(0)) < k)
-        .select("query_id", (F.coalesce("matched", F.lit(0)) + k).alias("need"))
-    )
-    reach = F.coalesce(short.agg(F.max("need").alias("m")).scalar(), F.lit(0))
-    if "position" in index.chunks.columns:
-        places = index.chunks.filter(F.col("position") <= reach).drop("dl")
-    else:
-        places = corpus_positions(index.chunks, reach)
-    wanted = short.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("position"))
+    positive = best.filter("r > 0").select("query_id", "position")
+    negative = scored.filter("r < 0").select("query_id", "position")
+    have = positive.groupBy("query_id").agg(F.count("*").alias("p"))
+    below = negative.groupBy("query_id").agg(F.count("*").alias("m"))
+    p, m = F.coalesce("p", F.lit(0)), F.coalesce("m", F.lit(0))
+    short = valid.join(have, "query_id", "left").filter(p < k).join(below, "query_id", "left").select("query_id", (p + m + k).alias("need"))
+    size = index.meta.select("n").scalar()
+    places = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("need"), size)))
     return (
-        wanted.join(places, "position")
-        .join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        .select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("r"), "document_id", "ordinal")
+        short.select("query_id", places.alias("position"))
+        .join(positive.unionByName(negative), ["query_id", "position"], "left_anti")
+        .select("query_id", "position", F.lit(0.0).alias("r"))
     )
 
 
@@ -252,8 +243,8 @@ def index_fingerprints(index: LexicalIndex) -> DataFrame:
 
 def snapshot_problems(index: LexicalIndex) -> DataFrame:
     """Consistency of a stored index: unique ids, equal lengths, matching totals."""
-    totals = index.postings.groupBy("chunk_id").agg(F.sum("tf").alias("sum_tf"), F.max("dl").alias("dl"))
-    uneven = totals.filter("sum_tf <> dl").select(
+    totals = index.postings.groupBy("position").agg(F.sum("tf").alias("sum_tf"), F.max("dl").alias("dl"))
+    uneven = totals.filter("sum_tf <> dl").join(index.chunks.select("position", "chunk_id"), "position").select(
         F.col("chunk_id").alias("entity_id"), F.lit("length_mismatch").alias("rule"), F.lit(1).cast("long").alias("copies")
     )
     return duplicates(index.chunks, ["chunk_id"], "duplicate_chunk_id").unionByName(uneven)

@@ -99,21 +99,13 @@ def fresh_qrels(spark: SparkSession, folder: str) -> DataFrame:
     words = tx.words(F.col("query"))
     anchors = queries(spark, folder).select("query_id", "query", words.alias("w")).filter(F.size("w") >= 7)
     anchors = anchors.select("query_id", "query", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("h"))
-    split = chunks(spark, folder).select("chunk_id", "text", tx.words(F.col("text")).alias("w"), F.lit(1).alias("one"))
-    runs = split.filter(F.size("w") >= 5).select(
-        "chunk_id", "text",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("w") - 4),
-                    lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(5)), " ")),
-                )
-            )
-        ).alias("h"),
-    )
-    return (
-        runs.join(anchors, "h").filter(F.contains("text", "query")).select("query_id", "chunk_id").distinct()
-    )
+    base = chunks(spark, folder)
+    split = base.select("chunk_id", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
+    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(5)), " ")))
+    runs = split.select("chunk_id", F.explode(F.array_distinct(shingles)).alias("h"))
+    # Only ids and hashes travel; texts are joined to the few pairs that share a run.
+    pairs = runs.join(anchors, "h").select("query_id", "query", "chunk_id")
+    return pairs.join(base.select("chunk_id", "text"), "chunk_id").filter(F.contains("text", "query")).select("query_id", "chunk_id").distinct()
 
 
 def index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:

@@ -45,35 +45,36 @@ def brute_bm25(texts, query, k, k1=1.5, b=0.75):
     return [(f"c{i}", -s + 0.0) for s, i in sorted(scores)[:k]]
 
 
-@pytest.mark.parametrize("query", ["alpha beta beta", "gamma", "zeta", "alpha common"])
-def test_bm25_matches_the_formula_with_padding(spark, query):
-    texts = ["alpha common beta", "beta common", "common gamma gamma", "common delta", "alpha alpha common", "eps", "beta beta beta common"]
-    q = spark.createDataFrame([(1, query)], "query_id long, query string")
-    got = lexical.bm25_top_k(lexical.build_index(chunks(spark, texts)), q, 6).orderBy("rank").collect()
-    want = brute_bm25(texts, query, 6)
-    assert [r.chunk_id for r in got] == [c for c, _ in want]
-    assert np.allclose([r.score for r in got], [s for _, s in want])
+def stored(spark, texts, folder):
+    lexical.save_index(lexical.build_index(chunks(spark, texts)), str(folder))
+    return lexical.load_index(spark, str(folder))
 
 
-def test_negative_floor_ranks_padding_above_matches(spark):
+def test_bm25_matches_the_formula_with_padding(spark, tmp_path):
+    texts = ["alpha common beta", "beta common", "common gamma gamma", "common delta", "alpha alpha common", "eps", "beta beta beta common"]
+    asked = ["alpha beta beta", "gamma", "zeta", "alpha common"]
+    index = stored(spark, texts, tmp_path / "ix")
+    q = spark.createDataFrame([*enumerate(asked), (7, " "), (8, "of the")], "query_id long, query string")
+    got = {}
+    for r in lexical.bm25_top_k(index, q, 6).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, r.score))
+    assert set(got) == set(range(len(asked)))
+    for i, query in enumerate(asked):
+        want = brute_bm25(texts, query, 6)
+        mine = sorted(got[i])
+        assert [c for _, c, _ in mine] == [c for c, _ in want]
+        assert np.allclose([s for _, _, s in mine], [s for _, s in want])
+    assert {(r.query_id, r.reason) for r in lexical.rejected_queries(q).collect()} == {(7, "blank_query"), (8, "no_tokens")}
+    assert lexical.snapshot_problems(index).count() == 0
+
+
+def test_negative_floor_ranks_padding_above_matches(spark, tmp_path):
     texts = ["same word", "same word", "same word other"]
     q = spark.createDataFrame([(1, "same")], "query_id long, query string")
-    got = lexical.bm25_top_k(lexical.build_index(chunks(spark, texts)), q, 3).orderBy("rank").collect()
+    got = lexical.bm25_top_k(stored(spark, texts, tmp_path / "ix"), q, 3).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == [c for c, _ in brute_bm25(texts, "same", 3)]
 
 
-def test_index_survives_storage_and_bad_queries_are_named(spark, tmp_path):
-    index = lexical.build_index(chunks(spark, ["a1 b1", "b1 c1", "c1 d1 d1"]))
-    lexical.save_index(index, str(tmp_path / "ix"))
-    again = lexical.load_index(spark, str(tmp_path / "ix"))
-    q = spark.createDataFrame([(1, "b1 d1"), (2, " "), (3, "of the")], "query_id long, query string")
-    one = {(r.query_id, r.chunk_id, r.rank) for r in lexical.bm25_top_k(index, q, 3).collect()}
-    two = {(r.query_id, r.chunk_id, r.rank) for r in lexical.bm25_top_k(again, q, 3).collect()}
-    assert one == two and {x[0] for x in one} == {1}
-    assert {(r.query_id, r.reason) for r in lexical.rejected_queries(q).collect()} == {(2, "blank_query"), (3, "no_tokens")}
-    assert lexical.snapshot_problems(again).count() == 0
-
-
 def vector_table(spark, n, dim, seed, name):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(x) for x in rng.normal(size=dim)], f"s{i % 3}") for i in range(n)]
