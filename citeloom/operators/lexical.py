@@ -78,14 +78,16 @@ def build_index(chunks: DataFrame, *, k1: float = 1.5, b: float = 0.75, normalis
     return index_from_counts(counted, k1=k1, b=b)
 
 
-def index_from_counts(counted: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> LexicalIndex:
-    """Index of ``(chunk_id, document_id, ordinal, dl, counts)``.
+def index_from_counts(
+    counted: DataFrame, *, k1: float = 1.5, b: float = 0.75, places: DataFrame | None = None
+) -> LexicalIndex:
+    """Index of ``(chunk_id, document_id, ordinal, dl, counts)``; ``places`` are stored corpus positions.
 
     Counting needs no shuffle: one chunk is one row, so its term counts are made in place. Only the
     term statistics are aggregated across rows, with map-side combining.
     """
     stats = counted.select("chunk_id", "document_id", "ordinal", "dl")
-    places = corpus_positions(stats).select("chunk_id", "position")
+    places = (corpus_positions(stats) if places is None else places).select("chunk_id", "position")
     postings = each_term(counted.join(places, "chunk_id"), "position", "dl").select("term", "position", "tf", "dl")
     corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     nd = each_term(counted).groupBy("term").agg(F.count("*").alias("nd"))

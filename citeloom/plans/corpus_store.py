@@ -36,7 +36,9 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     counted = lexical.with_term_counts(lexical.tokenised(chunks))
     counted.select("chunk_id", "document_id", "ordinal", F.size("tokens").alias("dl"), "counts").write.parquet(f"{root}/counts")
     counts = spark.read.parquet(f"{root}/counts")
-    lexical.save_index(lexical.index_from_counts(counts), f"{root}/lexical")
+    lexical.corpus_positions(counts).select("chunk_id", "position").write.parquet(f"{root}/positions")
+    places = spark.read.parquet(f"{root}/positions")
+    lexical.save_index(lexical.index_from_counts(counts, places=places), f"{root}/lexical")
     embedded = vectors.hashed_embedding(lexical.each_term(counts, "chunk_id"), "chunk_id", dim=dim)
     embedded.join(chunks.select("chunk_id", "source"), "chunk_id").write.partitionBy("source").parquet(f"{root}/vectors")
 
