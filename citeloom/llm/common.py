@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.session import cut_lineage
 
-__all__ = ["cut_lineage", "read", "pick", "blocks", "text_bytes", "columns_of", "mix", "Prefix", "row_copies"]
+__all__ = ["cut_lineage", "read", "pick", "blocks", "text_bytes", "columns_of", "mix", "Prefix", "with_field"]
 
 #: Bytes of text that one step of a task holds in memory at once (a single longer text is a step of its own).
 BLOCK_BYTES = 16 << 20
@@ -96,8 +96,5 @@ class Prefix:
         return mix((self.sums[k:] - self.sums[:-k]) * self.back[: len(self.sums) - k])
 
 
-def row_copies(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Number rows that share ``key`` (column ``copy``), so that every row has a name of its own."""
-    from pyspark.sql import Window
-
-    return df.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
+    return T.StructType(list(schema.fields)).add(name, kind)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import packing
-from citeloom.llm.common import read
+from citeloom.llm import mixing, packing, toxicity
+from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +25,19 @@ def op1_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
     )
+
+
+@query
+def op8_pivotal_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is taken so that sources come near their targets."""
+    mixed = mixing.mix(read(spark, folder, "documents"))
+    return mixed.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+@query
+def op9_ngram_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(pick(docs, doc_id="doc_id", text="text"), model).select("doc_id", "score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
