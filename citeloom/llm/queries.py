@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import mixing, packing, toxicity
+from citeloom.llm import lines, mixing, packing, toxicity
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op9_ngram_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
     scored = toxicity.score(pick(docs, doc_id="doc_id", text="text"), model).select("doc_id", "score")
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op6_line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the three-line windows that occurred before."""
+    docs = pick(read(spark, folder, "documents"), doc_id="doc_id", text="text")
+    return lines.remove_repeats(docs)
+
+
+SQL["op6_line_windows"] = lines.SQL
