@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import lines, mixing, packing, toxicity
+from citeloom.llm import lines, metric_tree, mixing, packing, pruned_graph, toxicity, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,26 @@ def op6_line_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op6_line_windows"] = lines.SQL
+
+
+@query
+def op3_metric_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest whole-number inner products of every 20th vector, exactly."""
+    rows = vector_cells.usable(read(spark, folder, "embeddings"), "vec_id", "embedding")
+    rows = rows.select("id", vector_cells.quantised(F.col("v")).alias("v"))
+    return metric_tree.top_products(rows, vector_cells.divisible(rows, 20), 20)
+
+
+@query
+def op5_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest vectors found by cosine of every 50th vector."""
+    rows = vector_cells.usable(read(spark, folder, "embeddings"), "vec_id", "embedding")
+    return pruned_graph.nearest(rows, vector_cells.divisible(rows, 50), 5)
+
+
+SQL["op3_metric_tree"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0)
+SELECT query_id, rank, vec_id, score FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)) WHERE rank <= 20"""
