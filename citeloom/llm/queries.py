@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import lines, metric_tree, mixing, packing, pruned_graph, toxicity, vector_cells
+from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pruned_graph, toxicity, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ SELECT query_id, rank, vec_id, score FROM (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)) WHERE rank <= 20"""
+
+
+@query
+def op10_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_duplicates.groups(read(spark, folder, "documents"))
