@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pruned_graph, toxicity, vector_cells
+from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pruned_graph, toxicity, url_templates, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,10 @@ SELECT query_id, rank, vec_id, score FROM (
 def op10_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates.groups(read(spark, folder, "documents"))
+
+
+@query
+def op4_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """A verdict on every page's url; the path templates learn from the quality labels of the documents shown."""
+    labels = read(spark, folder, "labels").select(F.col("doc_id").alias("number"), (F.col("quality") == 0).alias("bad"))
+    return url_templates.judge(read(spark, folder, "pages"), labels)
