@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pruned_graph, toxicity, url_templates, vector_cells
+from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, toxicity, url_templates, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,11 @@ def op4_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     """A verdict on every page's url; the path templates learn from the quality labels of the documents shown."""
     labels = read(spark, folder, "labels").select(F.col("doc_id").alias("number"), (F.col("quality") == 0).alias("bad"))
     return url_templates.judge(read(spark, folder, "pages"), labels)
+
+
+@query
+def op7_lstm_crf_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: the patterns' spans and the tagger's."""
+    docs = read(spark, folder, "documents")
+    found = pii.detect(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
