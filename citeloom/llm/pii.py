@@ -187,7 +187,7 @@ def train(docs: DataFrame) -> Tagger | None:
         tagger = fit(group["text"].tolist())
         return pd.DataFrame({"data": [tagger.dump() if tagger else b""]})
 
-    found = fits.join(F.broadcast(ids), "doc_id").limit(2 * FIT_ROWS).groupBy(F.lit(0)).applyInPandas(work, "data binary").first()
+    found = fits.join(F.broadcast(ids), "doc_id").limit(2 * FIT_ROWS).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(work, "data binary").first()
     return Tagger.load(bytes(found.data)) if found and found.data else None
 
 

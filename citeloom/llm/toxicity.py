@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
         model = fit(group["text"].tolist(), group["toxic"].to_numpy(bool))
         return pd.DataFrame({"prior": [model.prior], "weights": [model.weights.tobytes()]})
 
-    found = sample(docs, labels, allowed).limit(2 * FIT_ROWS).groupBy(F.lit(0)).applyInPandas(work, "prior double, weights binary").first()
+    found = sample(docs, labels, allowed).limit(2 * FIT_ROWS).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(work, "prior double, weights binary").first()
     return Model(found.prior, np.frombuffer(found.weights, np.float32)) if found else fit([], np.array([]))
 
 
