@@ -27,7 +27,7 @@ from citeloom.llm import vector_cells as cells
 from citeloom.llm.common import cut_lineage
 
 #: Entries of a page.
-PAGE = 48
+PAGE = 256
 PAGES = ("dim int, shard int, page int, leaf boolean, vectors binary, radius binary, to_parent binary, child binary, ids array<array<long>>")
 
 
@@ -74,20 +74,23 @@ def build(group: pd.DataFrame) -> pd.DataFrame:
 
 
 class Tree:
+    """A shard's pages. All extended vectors of a shard have the norm ``M``, so a product gives a distance."""
+
     def __init__(self, pages: pd.DataFrame):
         dim = int(pages["dim"].iloc[0]) + 1
-        self.pages = {}
+        self.pages, self.computed, self.longest = {}, 0, 0.0
         for p in pages.itertuples(index=False):
             v = np.frombuffer(p.vectors).reshape(-1, dim)
-            self.pages[p.page] = (p.leaf, v, np.frombuffer(p.radius), np.frombuffer(p.to_parent), np.frombuffer(p.child, np.int32), p.ids)
-        self.computed = 0
+            self.longest = max(self.longest, float((v[0] * v[0]).sum()))
+            self.pages[p.page] = (p.leaf, np.ascontiguousarray(v[:, :-1]), np.frombuffer(p.radius), np.frombuffer(p.to_parent), np.frombuffer(p.child, np.int32), p.ids)
 
     def nearest(self, query: np.ndarray, k: int) -> list[tuple[float, int, list[int]]]:
         """(score, first id, ids) of the ``k`` largest inner products, ties to smaller first ids."""
-        q = np.append(query, 0.0)
+        base = float(query @ query) + self.longest
+        margin = 1e-6 * (1 + np.sqrt(base))
         best: list[tuple[float, int, list[int]]] = []  # a heap whose head is the worst of the best
         reach = np.inf
-        queue = [(0.0, 0, float(np.sqrt(q @ q)))]
+        queue = [(0.0, 0, float(np.sqrt(query @ query)))]
         while queue:
             bound, number, from_page = heapq.heappop(queue)
             if bound > reach:
@@ -95,32 +98,24 @@ class Tree:
             leaf, vectors, radius, to_parent, child, ids = self.pages[number]
             near = np.nonzero(np.abs(from_page - to_parent) - radius <= reach)[0]
             self.computed += len(near)
-            away = distances(vectors[near], q)
+            scores = (vectors if len(near) == len(vectors) else vectors[near]) @ query
             if not leaf:
-                low = np.maximum(away - radius[near], bound)
+                away = np.sqrt(np.maximum(base - 2 * scores, 0.0))
+                low = np.maximum(away - radius[near] - margin, bound)
                 for j in np.nonzero(low <= reach)[0]:
                     heapq.heappush(queue, (float(low[j]), int(child[near[j]]), float(away[j])))
                 continue
-            scores = vectors[near, :-1] @ query
-            for j in np.nonzero(away <= reach)[0]:
+            floor = best[0][0] if len(best) == k else np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+            for j in np.nonzero(scores >= floor)[0]:
                 item = (float(scores[j]), -int(ids[near[j]][0]), ids[near[j]])
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item[:2] > best[0][:2]:
                     heapq.heapreplace(best, item)
             if len(best) == k:
-                # the distance of the k-th score: every page of the tree has the same M
-                norm = float(q @ q) + self.longest - 2 * best[0][0]
-                reach = np.sqrt(max(norm, 0.0)) * (1 + 1e-9) + 1e-6
+                reach = np.sqrt(max(base - 2 * best[0][0], 0.0)) + margin
         return sorted(best, key=lambda b: (-b[0], -b[1]))
 
-    @property
-    def longest(self) -> float:
-        if not hasattr(self, "_longest"):
-            leaf = next(p for p in self.pages.values() if p[0] and len(p[1]))
-            self._longest = float(leaf[1][0] @ leaf[1][0])
-        return self._longest
-
 
 def searcher(top: int) -> Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]:
     def search(pages: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
