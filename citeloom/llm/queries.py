@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, toxicity, url_templates, vector_cells
+from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, suffix_dedup, toxicity, url_templates, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op7_lstm_crf_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     found = pii.detect(docs, pii.train(docs))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 200-byte strings that occur anywhere else."""
+    kept = suffix_dedup.remove_repeats(read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
