@@ -60,7 +60,9 @@ class Suffixes:
         periods = -(-self.size // PERIOD) + 1
         padded = np.zeros(periods * PERIOD + DEPTH + PERIOD + 8, np.uint8)
         padded[: self.size] = text
-        self.bytes = padded
+        # The eight bytes from every position on, as a number in byte order.
+        view = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        self.words = np.ascontiguousarray(view).view(">u8").ravel().astype(np.uint64)
         places = (np.arange(periods)[:, None] * PERIOD + COVER).ravel()
         rank = dense(tuple(self.word(places, i) for i in range(WORDS)))
         step = len(COVER)
@@ -71,10 +73,7 @@ class Suffixes:
         self.rank = rank
 
     def word(self, places: np.ndarray, i: int) -> np.ndarray:
-        """Eight bytes from ``places + 8 i`` on, as numbers in byte order."""
-        at = places + 8 * i
-        view = np.lib.stride_tricks.sliding_window_view(self.bytes, 8)
-        return np.ascontiguousarray(view[at]).view(">u8").ravel().astype(np.uint64)
+        return self.words[places + 8 * i]
 
     def sample_rank(self, places: np.ndarray) -> np.ndarray:
         return self.rank[places // PERIOD * len(COVER) + SLOT[places % PERIOD]]

@@ -15,7 +15,7 @@ Texts are named by 96 bits of a digest; equal texts share a name and the result.
 shuffled once, to meet their spans.
 
 Defined cases: a null text is empty; texts shorter than 200 bytes keep all; texts of any length are read in
-pieces of ``BLOCK_BYTES``; repeated rows are copies of each other, and so are removed where they have 200
+pieces of ``PIECE_BYTES``; repeated rows are copies of each other, and so are removed where they have 200
 bytes; a null id stays null; an empty table gives none; other columns are never read.
 """
 
@@ -39,6 +39,8 @@ SPAN = DEPTH - GRAM + 1  # runs of GRAM bytes in a window
 #: Text bytes for each bucket, and the sample that names frequent runs.
 BUCKET_BYTES = 4 << 20
 SAMPLE, SAMPLE_BYTES, OFTEN = 2000, 16384, 0.01
+#: Bytes hashed in one step (its arrays fit a core's cache), and of a piece of a longer text.
+STEP_BYTES, PIECE_BYTES = 256 << 10, 2 << 20
 NAME = 12
 PLACE_BITS = 25
 FLAGS = 1 << 22
@@ -89,18 +91,18 @@ def segments(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, frequent: n
     return place, count, least[place] >> shift, prefix
 
 
-def local_repeats(data: bytes, prefix: Prefix, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, forwarded): segments with an equal one in this block, and one of each kind."""
+def local_repeats(data: bytes, name: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, forwarded): segments with an equal one among these, and one of each kind.
+
+    ``name`` is a hash of a segment's bytes; segments of one name are compared byte by byte.
+    """
     stop = place + count + DEPTH - 1
-    name = prefix.runs(place, stop)
-    order = np.lexsort((place, count, name))
-    a, b = order[:-1], order[1:]
-    twin = (name[a] == name[b]) & (count[a] == count[b])
+    order = np.argsort(name, kind="stable")
     repeated, forward = np.zeros(len(place), bool), np.ones(len(place), bool)
     head = -1
-    for i in np.nonzero(twin)[0].tolist():
+    for i in np.nonzero(name[order[:-1]] == name[order[1:]])[0].tolist():
         x, y = order[i], order[i + 1]
-        if head < 0 or not forward[head] or name[head] != name[y] or count[head] != count[y]:
+        if head < 0 or name[head] != name[y]:
             head = x
         if data[place[head] : stop[head]] == data[place[y] : stop[y]]:
             repeated[head] = repeated[y] = True
@@ -125,7 +127,7 @@ def joined_spans(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tupl
     return owner[first], start[first], reach[last] - lift[first]
 
 
-def pieces(batch: pa.RecordBatch, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """(bytes, starts, stops, base, names) of a batch; a longer text comes in pieces that share 199 bytes."""
     raw, offsets = text_bytes(batch, "text")
     data = raw.tobytes()
@@ -138,47 +140,77 @@ def pieces(batch: pa.RecordBatch, limit: int = BLOCK_BYTES) -> Iterator[tuple[np
         yield part, np.array([0]), np.array([len(part)]), np.array([at]), names
 
 
+class Dealer:
+    """Segments of many small steps, packed together for each bucket."""
+
+    def __init__(self, buckets: int, frequent: np.ndarray | None):
+        self.buckets, self.frequent, self.packer = buckets, frequent, zstandard.ZstdCompressor(level=3)
+        self.clear()
+
+    def clear(self) -> None:
+        self.size, self.data, self.names, self.parts = 0, [], [], []
+
+    def add(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: np.ndarray, names: list[bytes]) -> None:
+        place, count, anchor, prefix = segments(raw, starts, stops, self.frequent)
+        if len(place):
+            full = np.nonzero(stops > starts)[0]  # empty texts start where others do
+            owner = full[np.searchsorted(starts[full], place, side="right") - 1]
+            name = prefix.runs(place, place + count + DEPTH - 1)
+            self.parts.append((place + self.size, count, anchor, name, owner + len(self.names), place - starts[owner] + base[owner]))
+            self.data.append(raw.tobytes())
+            self.names += names
+            self.size += len(raw)
+
+    def rows(self) -> list[tuple[int, int, bytes]]:
+        """(bucket, kind, payload) of all that was added, which is then forgotten."""
+        if not self.parts:
+            return []
+        data, names = b"".join(self.data), self.names
+        place, count, anchor, name, owner, begin = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.clear()
+        repeated, forward = local_repeats(data, name, place, count)
+        out = []
+        o, a, b = joined_spans(owner[repeated], begin[repeated], begin[repeated] + count[repeated] + DEPTH - 1)
+        if len(o):
+            body = b"".join(names[x] for x in o) + a.astype("<i8").tobytes() + b.astype("<i8").tobytes()
+            out.append((int.from_bytes(names[o[0]][:4], "little") % self.buckets, 1, self.packer.compress(body)))
+        chosen = np.nonzero(forward)[0]
+        bucket = (mix(anchor[chosen].copy()) >> np.uint64(20)) % np.uint64(self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        chosen, bucket = chosen[order], bucket[order]
+        cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = chosen[lo:hi]
+            p, c = place[own], count[own]
+            head = [len(own).to_bytes(8, "little"), *[names[x] for x in owner[own]], begin[own].astype("<i8").tobytes(),
+                    c.astype("<u2").tobytes(), (anchor[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()]
+            body = b"".join(head + [data[x:y] for x, y in zip(p.tolist(), (p + c + DEPTH - 1).tolist(), strict=True)])
+            out.append((int(bucket[lo]), 0, self.packer.compress(body)))
+        return out
+
+
 def deal(docs: DataFrame, buckets: int, frequent: bytes | None) -> DataFrame:
     """(bucket, kind, payload): packed segments (kind 0) and spans found within a task (kind 1)."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def packed(dealer: Dealer) -> pa.RecordBatch:
+        rows = dealer.rows()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+            ["bucket", "kind", "payload"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = None
         if held.value:
             flags = np.zeros(FLAGS, bool)
             flags[flag_index(np.frombuffer(held.value, np.uint64))] = True
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in blocks(batches, "text"):
-            for raw, starts, stops, base, names in pieces(batch):
-                place, count, anchor, prefix = segments(raw, starts, stops, flags)
-                if not len(place):
-                    continue
-                data = raw.tobytes()
-                owner = np.searchsorted(starts, place, side="right") - 1
-                while len(bad := np.nonzero(stops[owner] <= place)[0]):  # empty texts start at the same place
-                    owner[bad] -= 1
-                repeated, forward = local_repeats(data, prefix, place, count)
-                begin = place - starts[owner] + base[owner]
-                rows = []
-                o, a, b = joined_spans(owner[repeated], begin[repeated], begin[repeated] + count[repeated] + DEPTH - 1)
-                if len(o):
-                    body = b"".join(names[x] for x in o) + a.astype("<i8").tobytes() + b.astype("<i8").tobytes()
-                    rows.append((int.from_bytes(names[o[0]][:4], "little") % buckets, 1, packer.compress(body)))
-                chosen = np.nonzero(forward)[0]
-                bucket = (mix(anchor[chosen].copy()) >> np.uint64(20)) % np.uint64(buckets)
-                chosen = chosen[np.argsort(bucket, kind="stable")]
-                bucket = np.sort(bucket)
-                cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]])
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    own = chosen[lo:hi]
-                    p, c = place[own], count[own]
-                    body = b"".join([
-                        len(own).to_bytes(8, "little"), b"".join([names[x] for x in owner[own]]), begin[own].astype("<i8").tobytes(), c.astype("<u2").tobytes(),
-                        (anchor[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), *[data[x:y] for x, y in zip(p.tolist(), (p + c + DEPTH - 1).tolist(), strict=True)]])
-                    rows.append((int(bucket[lo]), 0, packer.compress(body)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-                    ["bucket", "kind", "payload"])
+        dealer = Dealer(buckets, flags)
+        for batch in blocks(batches, "text", STEP_BYTES):
+            for piece in pieces(batch):
+                dealer.add(*piece)
+                if dealer.size >= BLOCK_BYTES:
+                    yield packed(dealer)
+        yield packed(dealer)
 
     return docs.mapInArrow(work, "bucket int, kind int, payload binary")
 
