@@ -249,7 +249,7 @@ def learned_decision(*, threshold: float = 0.50) -> Column:
     fall = lambda prefix: F.struct(
         rule["action"].alias("action"), rule["route"].alias("route"), F.concat(F.lit(prefix), rule["reason"]).alias("reason"), rule["confidence"].alias("confidence")
     )
-    route = F.when(F.col("predicted").startswith("retrieve_"), F.substring(F.col("predicted"), 10, 20))
+    route = F.when(F.col("predicted").startswith("retrieve_"), F.regexp_replace("predicted", "^retrieve_", ""))
     return (
         F.when(spent & good, _decision("stop", "learned_guardrail_budget_sufficient_stop", 0.90))
         .when(spent, _decision("abstain", "learned_guardrail_budget_exhausted_abstain", 0.95))

@@ -161,7 +161,7 @@ def uniform_hits(hits: DataFrame) -> DataFrame:
 
 def https_problem(url: Column) -> Column:
     """Why a URL is not a canonical https address, or NULL."""
-    rest = F.substring(url, 9, 1_000_000)
+    rest = F.substr(url, F.lit(9))
     host_port = F.regexp_extract(rest, r"^[^/?]*", 0)
     host = F.substring_index(host_port, ":", 1)
     port = F.when(host_port.contains(":"), F.regexp_extract(host_port, r"^[^:]*:(.*)$", 1))

@@ -1,9 +1,14 @@
-"""HTML pages to Markdown-like text."""
+"""HTML pages to Markdown-like text, as one chain of expressions over the page.
+
+Hidden elements go first, then the page is split at its preformatted blocks. Outside of them, tags are
+replaced by the line ends or marks they stand for; each block becomes a fence longer than any run of
+tildes in it. Character references are resolved last, by a small Arrow function that sees only pages
+with an ampersand. Preformatted blocks inside each other count as one up to the first end tag.
+"""
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
+import html as _html
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,69 +17,55 @@ from pyspark.sql import types as T
 
 from citeloom.functions import text as tx
 
-# Tags whose content is dropped, tags that open a block, and heading levels.
-HIDDEN = frozenset("head script style noscript template".split())
-BLOCKS = frozenset("p div section article blockquote br".split())
-HEADINGS = {f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)}
-_LANGUAGE = re.compile(r"(?:^|\s)language-([A-Za-z0-9_+-]+)")
-
-
-class _Visible(HTMLParser):
-    """Collects visible text. What a tag means depends on the tags still open around it."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.code: list[str] = []
-        self.hidden = self.pre = 0
-        self.language = ""
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden += 1
-        elif self.hidden:
-            pass
-        elif tag == "pre":
-            self.pre += 1
-            self.code = []
-        elif self.pre:
-            if tag == "code":
-                found = [m[1] for k, v in attrs if k == "class" and v and (m := _LANGUAGE.search(v))]
-                self.language = found[-1] if found else self.language
-        else:
-            self.out.append(HEADINGS.get(tag) or ("\n- " if tag == "li" else "\n\n" if tag in BLOCKS else ""))
-
-    def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif self.hidden:
-            pass
-        elif tag == "pre" and self.pre:
-            self.pre -= 1
-            body = "".join(self.code).strip("\n")
-            if body:
-                longest = max((len(run) for run in re.findall("~+", body)), default=0)
-                fence = "~" * max(3, longest + 1)
-                self.out.append(f"\n\n{fence}{self.language}\n{body}\n{fence}\n")
-            self.language, self.code = "", []
-        elif tag in BLOCKS or tag.startswith("h"):
-            self.out.append("\n\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            (self.code if self.pre else self.out).append(data)
-
-
-def visible_text(html: str) -> str:
-    parser = _Visible()
-    parser.feed(html)
-    parser.close()
-    return "".join(parser.out)
+# Tags whose content is dropped, and tags that open a block.
+HIDDEN = ("head", "script", "style", "noscript", "template")
+BLOCKS = ("p", "div", "section", "article", "blockquote", "br")
+
+_REST = r"""(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_RAW = rf"(?is)<(script|style){_REST}.*?(?:</\1\s*+>|\z)"
+_OTHER = "|".join(t for t in HIDDEN if t not in ("script", "style"))
+# An element without another hidden one inside; what is never closed hides the rest of the page.
+_INNER = rf"(?is)<({_OTHER}){_REST}[^<]*+(?:<(?!/?(?:{_OTHER})[\s/>])[^<]*+)*+</\1\s*+>"
+_OPEN = rf"(?is)<({_OTHER}){_REST}.*\z"
+_PRE = rf"(?is)<pre{_REST}(.*?)</pre\s*+>"
+_ANY_TAG = rf"(?is)</?[a-z][^\s/>]*+{_REST}|</[a-z][^>]*+>"
+_NEST = 3
+
+
+def _breaks(page: Column) -> Column:
+    """Text between preformatted blocks: marks and line ends for tags."""
+    for level in range(1, 7):
+        page = F.regexp_replace(page, rf"(?is)<h{level}{_REST}", "\n\n" + "#" * level + " ")
+    page = F.regexp_replace(page, rf"(?is)<li{_REST}", "\n- ")
+    opened, closed = "|".join(BLOCKS), "|".join((*BLOCKS, r"h[^\s/>]*+"))
+    page = F.regexp_replace(page, rf"(?is)<(?:{opened}){_REST}|</(?:{closed})(?=[\s/>])[^>]*+>", "\n\n")
+    return F.regexp_replace(page, _ANY_TAG, "")
+
+
+def _fenced(block: Column) -> Column:
+    language = F.regexp_extract(block, r"""(?is)<code\s(?:[^>]*?\s)?class\s*=\s*(?:["'][^"'>]*?\s|["']|)language-([A-Za-z0-9_+-]+)""", 1)
+    body = F.regexp_replace(F.regexp_replace(block, _ANY_TAG, ""), r"^\n+|\n+\z", "")
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(body, F.lit("~+"), F.lit(0)), F.length)), F.lit(0))
+    fence = F.repeat(F.lit("~"), F.greatest(longest + 1, F.lit(3)))
+    return F.when(body == "", "").otherwise(F.concat(F.lit("\n\n"), fence, language, F.lit("\n"), body, F.lit("\n"), fence, F.lit("\n")))
 
 
 @F.pandas_udf(T.StringType())
-def _visible(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda html: None if html is None else visible_text(html))
+def _resolved(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda page: None if page is None else _html.unescape(page))
+
+
+def visible_text(page: Column) -> Column:
+    page = F.regexp_replace(page, r"(?s)<!--.*?-->|<[!?][^>]*+>", "")
+    page = F.regexp_replace(page, _RAW, "")
+    for _ in range(_NEST):
+        page = F.regexp_replace(page, _INNER, "")
+    page = F.regexp_replace(page, _OPEN, "")
+    outside, blocks = F.split(page, _PRE, -1), F.regexp_extract_all(page, F.lit(_PRE), F.lit(1))
+    pieces = F.transform(outside, lambda part, i: F.concat(_breaks(part), F.coalesce(_fenced(F.get(blocks, i)), F.lit(""))))
+    text = F.array_join(pieces, "")
+    marked = F.contains(text, F.lit("&"))
+    return F.when(marked, _resolved(F.when(marked, text))).otherwise(text)
 
 
 def unix_lines(text: Column) -> Column:
@@ -82,6 +73,6 @@ def unix_lines(text: Column) -> Column:
 
 
 def normalise_html(html: Column) -> Column:
-    """Only the tag walk runs in Python; line ends, trailing blanks and blank runs are expressions."""
-    lines = F.regexp_replace(unix_lines(_visible(html)), r"[ \t]+\n", "\n")
+    """Visible text without trailing blanks on lines and without runs of blank lines."""
+    lines = F.regexp_replace(unix_lines(visible_text(html)), r"[ \t]+\n", "\n")
     return tx.strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions import text as tx
 from citeloom.operators import evidence as ev
 
 # Fixed value: what a system says when it has nothing to answer from.
@@ -33,10 +34,10 @@ def system_outputs(rows: DataFrame, answers: DataFrame, *, max_chunks: int = 6,
         F.when(F.size(selected) == 0, "no_evidence_retrieved")
         .when(F.col("answer").isNull(), "no_evidence_retrieved")
         .when(ev.says_abstain(F.col("answer")), "generator_abstained")
-        .when(F.size(ev.citation_errors(F.trim("answer"), allowed)) > 0, "invalid_citations")
+        .when(F.size(ev.citation_errors(tx.strip(F.col("answer")), allowed)) > 0, "invalid_citations")
     )
     df = asked.withColumn("abstention_reason", reason).withColumn("retrieved", selected)
-    text = F.when(F.col("abstention_reason").isin("no_evidence_retrieved", "invalid_citations"), NO_ANSWER).otherwise(F.trim("answer"))
+    text = F.when(F.col("abstention_reason").isin("no_evidence_retrieved", "invalid_citations"), NO_ANSWER).otherwise(tx.strip(F.col("answer")))
     calls = F.coalesce(*[F.when(F.col("system_name") == n, F.lit(c)) for n, c in CALLS.items()], F.lit(1))
     return df.select(
         "system_name", "query_id", text.alias("answer"), "abstention_reason",

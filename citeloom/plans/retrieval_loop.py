@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions import text as tx
 from citeloom.functions.checks import violations
 from citeloom.operators import controller as ct
 from citeloom.operators import evidence as ev
@@ -45,7 +46,7 @@ def initial_state(queries: DataFrame, limits: LoopLimits = LoopLimits()) -> Data
     none = F.lit(None).cast("string")
     texts = F.array().cast("array<string>")
     return queries.select(
-        "query_id", F.trim("query").alias("original_query"), F.trim("query").alias("active_query"), cite.alias("require_citations"),
+        "query_id", tx.strip(F.col("query")).alias("original_query"), tx.strip(F.col("query")).alias("active_query"), cite.alias("require_citations"),
         F.lit("running").alias("status"), none.alias("route"), none.alias("next_action"), none.alias("abstention_reason"),
         F.lit(0).alias("retrieval_calls"), F.lit(0).alias("iteration_count"),
         F.lit(limits.max_retrieval_calls).alias("max_retrieval_calls"), F.lit(limits.max_iterations).alias("max_iterations"),
@@ -279,10 +280,10 @@ def state_problems(states: DataFrame) -> DataFrame:
         "too_many_rounds": F.col("iteration_count") > F.col("max_iterations"),
         "too_many_calls": F.col("retrieval_calls") > F.col("max_retrieval_calls"),
         "terminal_with_action": terminal & F.col("next_action").isNotNull(),
-        "completed_without_answer": complete & F.coalesce(F.trim("answer") == "", F.lit(True)),
+        "completed_without_answer": complete & F.coalesce(tx.strip(F.col("answer")) == "", F.lit(True)),
         "completed_without_citation": factual & (F.size(cited) == 0),
         "citation_not_allowed": factual & (F.size(F.array_except(cited, F.col("allowed"))) > 0),
         "citations_differ": factual & (F.array_sort(cited) != F.array_sort("citations")),
-        "abstained_without_reason": (F.col("status") == "abstained") & F.coalesce(F.trim("abstention_reason") == "", F.lit(True)),
+        "abstained_without_reason": (F.col("status") == "abstained") & F.coalesce(tx.strip(F.col("abstention_reason")) == "", F.lit(True)),
     }
     return violations(states, F.col("query_id"), rules)

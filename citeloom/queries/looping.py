@@ -141,8 +141,18 @@ def search_by_mode(spark, folder):
     return out
 
 
+SYSTEM_TOP = 6
+
+
+def two_pass(spark, folder, top=SYSTEM_TOP):
+    """The first ``2 * top`` fused results, reordered by overlap."""
+    pool = inp.run(spark, folder, "hybrid").filter(F.col("rank") <= 2 * top)
+    pairs = fusion.hydrate(pool, inp.chunks(spark, folder), "text").join(inp.queries(spark, folder), "query_id")
+    return fusion.reorder(pool, fusion.overlap_scores(pairs), top)
+
+
 def system_rows(spark, folder):
-    parts = {"dense": inp.run(spark, folder, "dense"), "sparse": inp.run(spark, folder, "sparse"), "two_pass": inp.run(spark, folder, "reranked")}
+    parts = {"dense": inp.run(spark, folder, "dense"), "sparse": inp.run(spark, folder, "sparse"), "two_pass": two_pass(spark, folder)}
     out = None
     for name, df in parts.items():
         rerank = F.col("rerank_score") if name == "two_pass" else F.lit(None).cast("double")
@@ -152,9 +162,12 @@ def system_rows(spark, folder):
     return out.join(inp.chunks(spark, folder).select("chunk_id", "document_id", "title", "source_uri", "text"), "chunk_id")
 
 
+fragment("bq_two_pass", """SELECT * FROM (SELECT h.query_id, h.chunk_id, h.rank AS retrieval_rank, o.rerank_score,
+        row_number() OVER (PARTITION BY h.query_id ORDER BY round(o.rerank_score, 12) DESC, h.rank, h.chunk_id) AS rank
+    FROM bq_hybrid h JOIN bq_overlap o USING (query_id, chunk_id) WHERE h.rank <= 12) WHERE rank <= 6""", "bq_hybrid", "bq_overlap")
 fragment("sys_rows", """SELECT s.name || ':' || r.query_id AS query_id, r.chunk_id, r.retrieval_rank, r.rerank_score, c.title, c.source_uri, c.text FROM (
     SELECT 'dense' AS name, query_id, chunk_id, rank AS retrieval_rank, NULL::DOUBLE AS rerank_score FROM bq_dense WHERE rank <= 6 UNION ALL SELECT 'sparse', query_id, chunk_id, rank, NULL FROM bq_sparse WHERE rank <= 6
-    UNION ALL SELECT 'two_pass', query_id, chunk_id, retrieval_rank, rerank_score FROM bq_reranked) r JOIN chunks c USING (chunk_id), LATERAL (SELECT r.name) s(name)""", "bq_dense", "bq_sparse", "bq_reranked", "chunks")
+    UNION ALL SELECT 'two_pass', query_id, chunk_id, retrieval_rank, rerank_score FROM bq_two_pass) r JOIN chunks c USING (chunk_id), LATERAL (SELECT r.name) s(name)""", "bq_dense", "bq_sparse", "bq_two_pass", "chunks")
 pack_fragments("sy", "sys_rows", limit=6, budget=24000)
 
 

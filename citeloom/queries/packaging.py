@@ -35,7 +35,7 @@ def packages(spark, folder):
 
 def fresh_packages(spark, folder):
     """Packages of the fused results; the first two items of some queries are exact copies."""
-    top = inp.hybrid_top(spark, folder).filter("rank <= 6").select(
+    top = inp.hybrid_top(spark, folder).select(
         "query_id", "chunk_id", "rank", "score", F.lit("hybrid").alias("method"), F.lit(None).cast("string").alias("heading_path")
     )
     cand = fusion.corpus_candidates(fusion.hydrate(top, inp.chunks(spark, folder)), "corpus_docs")
@@ -49,7 +49,7 @@ _r = "[" + ",".join(f"'{r}'" for r in _reasons) + "]"
 fragment("pkg_requests", f"""SELECT query_id, '  ' || query || chr(10) AS raw, {inp.sql_strip('query')} AS normalized, query_id % 8 = 7 AS blocked,
     CASE WHEN query_id % 8 = 7 THEN {_r}[(query_id // 8) % 4 + 1] ELSE 'default_local' END AS reasons FROM bench_queries""", "bench_queries")
 fragment("pkg_candidates", """SELECT query_id, candidate_id, rank + 1 AS rank, document_id, chunk_id, title, source_label, text, score FROM (
-    SELECT h.query_id, h.chunk_id AS candidate_id, h.rank, c.document_id, c.chunk_id, c.title, c.source_uri AS source_label, c.text, h.score FROM bq_hybrid h JOIN chunks c USING (chunk_id) WHERE h.rank <= 6
+    SELECT h.query_id, h.chunk_id AS candidate_id, h.rank, c.document_id, c.chunk_id, c.title, c.source_uri AS source_label, c.text, h.score FROM bq_hybrid h JOIN chunks c USING (chunk_id)
     UNION ALL SELECT h.query_id, h.chunk_id || '-copy', 0, c.document_id, c.chunk_id, c.title, c.source_uri, c.text, h.score FROM bq_hybrid h JOIN chunks c USING (chunk_id) WHERE h.rank = 1 AND h.query_id % 3 = 0)
     WHERE query_id % 8 NOT IN (5, 7)""", "bq_hybrid", "chunks")
 BLOCK = "'Source: ' || source_label || chr(10) || 'Title: ' || title || chr(10) || 'Section: ' || chr(10) || 'Content:' || chr(10) || {0} || chr(10) || chr(10) || '[END '"
