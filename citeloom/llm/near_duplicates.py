@@ -8,9 +8,12 @@ standard deviations under the threshold. What passes is confirmed on the full se
 shares no band with a probability of 1e-10.
 
 Groups may be huge, so their pairs are never listed. Documents of equal sets are one node. In each band
-bucket a node is paired with the bucket's least node, and only its best such pair is confirmed first. After
-the components of these links, the nodes outside a bucket's most frequent component are met with the
-bucket's nodes of other components, in a join that can be split; links inside a component change nothing.
+bucket a node is paired with the bucket's least node; its best such pair is confirmed first, and gives first
+components. Pairs estimated near enough join nodes to clusters; nodes of different clusters that share a
+bucket are compared by their signatures, and what is near joins the clusters too. All candidate pairs then
+lie inside clusters. In each, the nodes outside its largest component are met with those of all others, in
+cells of at most ``CELL`` nodes a side, where full sets are compared and only links that join components are
+returned; links inside a component change nothing.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; repeated rows are
 linked by their equal sets; a null id takes part, but names no component (rows linked only with such rows
@@ -23,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,8 @@ from citeloom.llm.graph import components
 WORDS, PERCENT = 5, 75
 MINIMA, ROWS, BANDS = 128, 3, 42
 CUT = 0.48
+#: Nodes and shingles of a side of a cell, and shingles compared at once.
+CELL, CELL_SHINGLES, COLUMNS = 128, 1 << 18, 4096
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -164,6 +170,77 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.filter(100 * common >= percent * (F.col("n") + F.col("m") - common)).select("a", "b")
 
 
+def _across(placed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Near pairs (a, b) that share a bucket but no cluster, for ``placed``: (key, node, c)."""
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
+    placed = cut_lineage(placed.join(mixed, "key").join(marks, "node"))
+    outside = placed.filter("c <> main").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
+    every = placed.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("sig").alias("sb"), (F.col("c") == F.col("main")).alias("inside"))
+    # A pair of two outside nodes is met from its larger one only.
+    return outside.join(every, "key").filter((F.col("ca") != F.col("cb")) & (F.col("inside") | (F.col("b") < F.col("a"))) & (estimate("sa", "sb") >= CUT)).select("a", "b").distinct()
+
+
+def cell_links(rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """Links of one cell that join components: its left nodes against its right ones, by full sets."""
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []})
+    sizes = [np.array([len(x) for x in side["shingles"]]) for side in (left, right)]
+    own = [np.concatenate(side["shingles"].to_numpy()) for side in (left, right)]
+    shared = np.intersect1d(own[0], own[1])
+    if not len(shared):
+        return pd.DataFrame({"a": [], "b": []})
+    places = [np.minimum(np.searchsorted(shared, x), len(shared) - 1) for x in own]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        width, parts = min(COLUMNS, len(shared) - start), []
+        for x, at, n in zip(own, places, sizes, strict=True):
+            part = np.zeros((len(n), width), np.float32)
+            ok = (shared[at] == x) & (at >= start) & (at < start + width)
+            part[np.repeat(np.arange(len(n)), n)[ok], at[ok] - start] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    c = [side["c"].to_numpy() for side in (left, right)]
+    linked &= c[0][:, None] != c[1][None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    out, nodes = [], [side["node"].to_numpy() for side in (left, right)]
+    for i, j in np.argwhere(linked).tolist():
+        x, y = root(int(c[0][i])), root(int(c[1][j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(nodes[0][i]), int(nodes[1][j])))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def inner_links(clusters: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of one cluster, for all pairs that ``found`` leaves apart."""
+    placed = clusters.withColumnRenamed("component", "cluster").join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c"))
+    placed = cut_lineage(placed.join(sets.select("node", "n"), "node"))
+    each = placed.groupBy("cluster", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    totals = each.groupBy("cluster").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max("k").alias("km"), F.max_by("n", F.struct("k", "c")).alias("nm"), F.count("*").alias("parts"))
+
+    def count(nodes: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(nodes / CELL), F.ceil(shingles / CELL_SHINGLES), F.lit(1)).cast("int")
+
+    totals = cut_lineage(totals.filter("parts > 1").select(
+        "cluster", "main", count(F.col("k") - F.col("km"), F.col("n") - F.col("nm")).alias("rows"), count(F.col("k"), F.col("n")).alias("columns")))
+    each = placed.select("node", "cluster", "c").join(totals, "cluster").join(sets, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["cluster", "node", "c", "shingles"]
+    left = each.filter("c <> main").select(*keep, F.lit(0).alias("side"), own("rows").alias("i"), other("columns").alias("j"))
+    right = each.select(*keep, F.lit(1).alias("side"), own("columns").alias("j"), other("rows").alias("i"))
+    return left.unionByName(right).groupBy("cluster", "i", "j").applyInPandas(lambda rows: cell_links(rows), "a long, b long")
+
+
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     source = pick(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"))
@@ -177,11 +254,11 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     shared = banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail").select("key", "head")
     members = cut_lineage(banded.join(shared, "key"))
 
-    # The best pair of each node with the head of one of its buckets.
+    # Pairs of nodes with the heads of their buckets, and the best of each node.
     heads = members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     rated = heads.join(marks.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(marks.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
-    rated = rated.select("a", "b", estimate("sa", "sb").alias("e")).filter(F.col("e") >= CUT)
-    best = cut_lineage(rated.groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b")))
+    near = cut_lineage(rated.select("a", "b", estimate("sa", "sb").alias("e")).filter(F.col("e") >= CUT))
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b"))
 
     # Full sets of the nodes of shared buckets only.
     wanted = members.select("node").distinct().join(reps.select("node", "n", "x", "y", "low"), "node")
@@ -194,17 +271,13 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     links = cut_lineage(confirm(best, sets))
     found = cut_lineage(components(links))
 
-    # Nodes outside the most frequent component of a bucket meet the bucket's other components.
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-    placed = cut_lineage(placed.join(mixed, "key").join(marks, "node"))
-    outside = placed.filter("c <> main").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
-    every = placed.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("sig").alias("sb"), (F.col("c") == F.col("main")).alias("inside"))
-    # A pair of two outside nodes is met from its larger one only.
-    across = outside.join(every, "key").filter("ca <> cb AND (inside OR b < a)").filter(estimate("sa", "sb") >= CUT).select("a", "b").distinct()
-    across = across.join(best, ["a", "b"], "left_anti")
-    further = confirm(cut_lineage(across), sets)
+    # Clusters of near nodes, then pairs that share a bucket across clusters.
+    clusters = cut_lineage(components(near))
+    placed = members.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    bridges = cut_lineage(_across(placed, marks))
+    clusters = components(near.select("a", "b").unionByName(bridges))
+
+    further = inner_links(clusters, found, sets)
     final = cut_lineage(components(links.unionByName(further)))
 
     named = reps.join(final, "node", "left").withColumn("c", F.coalesce("component", "node"))
