@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +12,19 @@ from pyspark.sql import types as T
 from citeloom.functions import text as tx
 from citeloom.operators.packages import HEADER, PackagePolicy, evidence_block, package_id, render
 
-# Abbreviations that do not end a sentence.
-ABBREVIATIONS = frozenset(
-    "e.g. i.e. etc. dr. mr. mrs. ms. prof. vs. fig. al. no. vol. p. pp.".split()
+# Abbreviations that do not end a sentence, and bullet marks.
+ABBREVIATIONS = (
+    "e.g.", "i.e.", "etc.", "dr.", "mr.", "mrs.", "ms.", "prof.", "vs.", "fig.", "al.", "no.", "vol.", "p.", "pp.",
 )
-_BULLET = re.compile(r"^(\s*[-*•]\s+|\s*\d+[\.\)]\s+)")
-_BREAK = re.compile(r"([.?!][\"']?)(\s+)(?=[A-Z0-9\"'])")
-_NOT_AN_END = re.compile(r"^[a-z]\.$|\d\.$")
+_BULLET = r"^(\s*[-*\x{2022}]\s+|\s*\d+[.)]\s+)"
+_LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+_LINE = rf"[^{_LINE_END}]*+(?:\r\n|[{_LINE_END}])|[^{_LINE_END}]++"
+# A word that ends a sentence: not an abbreviation, a single letter or a number before its full stop.
+_KEPT = "|".join(re.escape(a) for a in ABBREVIATIONS)
+_BREAK = (
+    rf"(?<![^{tx.SPACE}])(?!(?i:{_KEPT}|[a-z]\.)[{tx.SPACE}])([^{tx.SPACE}]*[.?!][\"']?)(?<!\d\.)([{tx.SPACE}]+)(?=[A-Z0-9\"'])"
+)
+_SEP, _END = "\x05", "\x06"  # between a sentence and what separates it, and after that
 
 
 @dataclass(frozen=True)
@@ -40,85 +45,58 @@ class CompressionPolicy:
 # ---------------------------------------------------------------- sentence boundaries
 
 
-def boundaries(text: str | None) -> list[tuple[str, str]]:
-    """``(sentence, separator after it)`` of a text: paragraphs, then bullets or sentences.
+def _entry(text: Column, sep: Column) -> Column:
+    return F.struct(text.alias("text"), sep.alias("sep"))
 
-    Whether a full stop ends a sentence depends on the word before it since the last accepted
-    break, which is why this stays a small function rather than one regular expression.
-    """
-    out: list[tuple[str, str]] = []
-    parts = re.split(r"(\n\n+)", text or "")
-    for block, gap in zip(parts[::2], [*parts[1::2], ""]):
-        body = block.strip()
-        if not body:
-            continue
-        lines = body.splitlines(keepends=True)
-        if len(lines) > 1 and any(_BULLET.match(line) for line in lines):
-            found = _bullets(lines)
-        else:
-            found = _sentences(body)
-        if gap or found[-1][1]:
-            found[-1] = (found[-1][0], gap or found[-1][1])
-        out.extend(found)
-    return out
-
-
-def _bullets(lines: list[str]) -> list[tuple[str, str]]:
-    items: list[str] = []
-    for line in lines:
-        if _BULLET.match(line) or not items:
-            items.append(line)
-        else:
-            items[-1] += line
-    ends = [next((e for e in ("\r\n", "\n") if item.endswith(e)), "") for item in items]
-    last = len(items) - 1
-    return [(item[: len(item) - len(e)], e if i == last else e or "\n") for i, (item, e) in enumerate(zip(items, ends))]
-
-
-def _sentences(body: str) -> list[tuple[str, str]]:
-    found, start = [], 0
-    for m in _BREAK.finditer(body):
-        sentence = body[start : m.end(1)].strip()
-        words = sentence.lower().split()
-        if words and (words[-1] in ABBREVIATIONS or _NOT_AN_END.search(words[-1])):
-            continue
-        found.append((sentence, m[2]))
-        start = m.end()
-    rest = body[start:].strip()
-    if rest:
-        found.append((rest, ""))
-    return found
-
-
-_SENTENCES = T.ArrayType(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("sep", T.StringType())])))
-
-
-@F.pandas_udf(_SENTENCES)
-def parse_excerpts(excerpts: pd.Series) -> pd.Series:
-    return excerpts.map(lambda row: [[{"text": t, "sep": s} for t, s in boundaries(x)] for x in row])
-
-
-def in_order(original: str, kept: str) -> bool:
+
+def _of_sentences(body: Column) -> Column:
+    """Sentences of running text: every break is marked by one expression, then the text is split there."""
+    pieces = F.split(F.regexp_replace(body, _BREAK, f"$1{_SEP}$2{_END}"), _END, -1)
+    return F.transform(pieces, lambda p: _entry(F.substring_index(p, _SEP, 1), F.regexp_extract(p, f"(?s){_SEP}(.*)$", 1)))
+
+
+def _of_bullets(lines: Column) -> Column:
+    """Items of a list: a line with a bullet starts one, other lines go on with it."""
+    marked = F.transform(lines, lambda line, i: F.concat(F.when((i > 0) & line.rlike(_BULLET), _END).otherwise(""), line))
+    items = F.split(F.array_join(marked, ""), _END, -1)
+    text, end = lambda t: F.regexp_replace(t, r"\r?\n\z", ""), lambda t: F.regexp_extract(t, r"(\r?\n)\z", 1)
+    between = lambda t, i: F.when((end(t) == "") & (i < F.size(items) - 1), "\n").otherwise(end(t))
+    return F.transform(items, lambda t, i: _entry(text(t), between(t, i)))
+
+
+def boundaries(text: Column) -> Column:
+    """``(text, sep)`` of every sentence or list item, with what separates it from the next one."""
+    source = F.coalesce(text, F.lit(""))
+    blocks, gaps = F.split(source, "\n\n+", -1), F.regexp_extract_all(source, F.lit("\n\n+"), F.lit(0))
+
+    def of_block(block: Column, i: Column) -> Column:
+        body = tx.strip(block)
+        lines = F.regexp_extract_all(body, F.lit(_LINE), F.lit(0))
+        listed = (F.size(lines) > 1) & F.exists(lines, lambda line: line.rlike(_BULLET))
+        found = F.when(listed, _of_bullets(lines)).otherwise(_of_sentences(body))
+        gap = F.coalesce(F.get(gaps, i), F.lit(""))
+        closed = F.transform(found, lambda e, k: _entry(e["text"], F.when((k == F.size(found) - 1) & (gap != ""), gap).otherwise(e["sep"])))
+        return F.when(body == "", F.array().cast(closed_type)).otherwise(closed)
+
+    closed_type = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("sep", T.StringType())]))
+    return F.flatten(F.transform(blocks, of_block))
+
+
+def in_order(original: Column, kept: Column) -> Column:
     """Whether ``kept`` is made of whole sentences of ``original``, in order, with their separators."""
-    source = boundaries(original)
-    wanted = boundaries(kept)
-    if not wanted:
-        return not source
-    at, used = 0, []
-    for sentence, _ in wanted:
-        while at < len(source) and source[at][0] != sentence:
-            at += 1
-        if at == len(source):
-            return False
-        used.append(at)
-        at += 1
-    rebuilt = "".join(source[i][0] + (source[i][1] or " ") for i in used[:-1]) + source[used[-1]][0]
-    return rebuilt == kept
-
-
-@F.pandas_udf(T.BooleanType())
-def excerpts_in_order(originals: pd.Series, kept: pd.Series) -> pd.Series:
-    return pd.Series([in_order(a, b) for a, b in zip(originals, kept)])
+    source, wanted = boundaries(original), boundaries(kept)
+    texts = F.transform(source, lambda e: e["text"])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("built"), F.lit("").alias("sep"))
+
+    def take(state: Column, entry: Column) -> Column:
+        step = F.array_position(F.slice(texts, state["at"] + 1, F.size(texts)), entry["text"]).cast("int")
+        at = state["at"] + step
+        sep = F.get(source, at - 1)["sep"]
+        found = F.struct(at.alias("at"), F.concat(state["built"], state["sep"], entry["text"]).alias("built"), F.when(sep == "", " ").otherwise(sep).alias("sep"))
+        return F.when(state["at"].isNotNull() & (step > 0), found).otherwise(F.struct(F.lit(None).cast("int").alias("at"), F.lit("").alias("built"), F.lit("").alias("sep")))
+
+    end = F.aggregate(wanted, start, take)
+    return F.when(F.size(wanted) == 0, F.size(source) == 0).otherwise(end["at"].isNotNull() & (end["built"] == kept))
 
 
 # ---------------------------------------------------------------- compression
@@ -139,7 +117,7 @@ def compress(packages: DataFrame, policy: CompressionPolicy, package_policy: Pac
         (F.lit(True) if policy.target_chars is None else chars <= policy.target_chars)
         & (F.lit(True) if policy.target_tokens is None else tokens <= policy.target_tokens)
     )
-    df = packages.withColumn("parsed", parse_excerpts(F.transform("evidence", lambda e: e["excerpt"])))
+    df = packages.withColumn("parsed", F.transform("evidence", lambda e: boundaries(e["excerpt"])))
     df = df.withColumn("query_words", F.array_distinct(tx.unicode_words(F.lower("normalized_query"))))
     df = df.withColumn("untouched", fits(F.col("context_chars"), F.col("estimated_tokens")) | (F.size("evidence") == 0))
     prints = F.transform(
@@ -200,7 +178,7 @@ def compress(packages: DataFrame, policy: CompressionPolicy, package_policy: Pac
         ).otherwise(0),
     })
     # Sentences of what was retained are counted on the shortened text itself.
-    df = df.withColumn("reparsed", parse_excerpts(F.transform("work", lambda w: w["excerpt"])))
+    df = df.withColumn("reparsed", F.transform("work", lambda w: boundaries(w["excerpt"])))
     ids = F.transform("compressed", lambda e: e["citation_id"])
 
     def entry(w: Column) -> Column:
@@ -281,7 +259,7 @@ def quality_problems(compressed: DataFrame, policy: CompressionPolicy) -> DataFr
     pairs = compressed.select("package_id", F.explode_outer("compressed").alias("c"), "evidence").filter("c is not null").select(
         "package_id", F.col("c.excerpt").alias("kept"), origin(F.col("c"))["excerpt"].alias("original")
     )
-    changed = pairs.filter("original is not null and kept <> original").withColumn("ordered", excerpts_in_order("original", "kept"))
+    changed = pairs.filter("original is not null and kept <> original").withColumn("ordered", in_order(F.col("original"), F.col("kept")))
     return plain.unionByName(
         changed.filter("not ordered").select(F.col("package_id").alias("entity_id"), F.lit("not_ordered_sentences").alias("rule")).distinct()
     )

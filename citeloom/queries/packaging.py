@@ -107,7 +107,7 @@ sentences_fragment("pkg_sentences", "pkg_evidence", "query_id, cite", "text")
 @register("sentence_boundaries", "I8", sql(
     """SELECT doc_id, count(*) AS sentences, sum(length(sentence))::BIGINT AS chars, sha256(string_agg(sentence || chr(5) || sep, chr(6) ORDER BY idx)) AS digest FROM doc_sentences GROUP BY doc_id""", "doc_sentences"))
 def sentence_boundaries(spark, folder):
-    d = inp.docs(spark, folder).select("doc_id", co.parse_excerpts(F.array("text")).alias("p")).select("doc_id", F.get("p", F.lit(0)).alias("s"))
+    d = inp.docs(spark, folder).select("doc_id", co.boundaries(F.col("text")).alias("s"))
     glued = F.array_join(F.transform("s", lambda x: F.concat(x["text"], F.lit("\x05"), x["sep"])), "\x06")
     return d.select(
         "doc_id", F.size("s").alias("sentences"), F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x["text"])).alias("chars"), F.sha2(glued, 256).alias("digest")

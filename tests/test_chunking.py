@@ -1,6 +1,7 @@
 """Chunk rules on hand-made documents, and the word windows against a plain loop."""
 
 import hashlib
+import re
 
 import pytest
 
@@ -22,7 +23,7 @@ def test_word_windows_match_a_plain_loop(spark):
     got = {(r.document_id, r.ordinal): r for r in ch.word_windows(docs(spark, *texts)).collect()}
     want = {}
     for i, text in enumerate(texts):
-        pieces = [m.span() for m in ch._WORD.finditer(text)]
+        pieces = [m.span() for m in re.finditer(r"\S+", text)]
         count = max(1, -(-(len(pieces) - 60) // 540))
         for k in range(count):
             part = pieces[k * 540 : k * 540 + 600]

@@ -52,13 +52,20 @@ def test_citations(spark):
     assert got[0] == [] and "malformed:[c1]" in got[1] and "empty_answer" in got[2] and got[3] == ["unknown:C9"]
 
 
-def test_sentences():
-    assert [t for t, _ in co.boundaries("See e.g. section 4.1 for details. Dr. Smith agreed with the result.")] == [
+def test_sentences(spark):
+    def cut(text):
+        row = spark.createDataFrame([(text,)], "t string").select(co.boundaries(F.col("t")).alias("b")).first()
+        return [tuple(e) for e in row.b]
+
+    assert [t for t, _ in cut("See e.g. section 4.1 for details. Dr. Smith agreed with the result.")] == [
         "See e.g. section 4.1 for details.", "Dr. Smith agreed with the result."
     ]
-    assert co.boundaries("- one\n- two\n  more\n\nNext. Last") == [("- one", "\n"), ("- two\n  more", "\n\n"), ("Next.", " "), ("Last", "")]
+    assert cut("- one\n- two\n  more\n\nNext. Last") == [("- one", "\n"), ("- two\n  more", "\n\n"), ("Next.", " "), ("Last", "")]
+    assert cut("Item 3. Two. \"Three.\" x. Y") == [("Item 3. Two.", " "), ("\"Three.\" x. Y", "")] and cut(" \n\n ") == []
     three = "Aa bb. Cc dd. Ee ff."
-    assert co.in_order(three, "Aa bb. Ee ff.") and not co.in_order(three, "Cc dd. Aa bb.") and not co.in_order(three, "Aa bb")
+    pairs = [(three, "Aa bb. Ee ff."), (three, "Cc dd. Aa bb."), (three, "Aa bb"), (three, three), (three, "")]
+    df = spark.createDataFrame(pairs, "o string, k string").select(co.in_order(F.col("o"), F.col("k")).alias("x"))
+    assert [r.x for r in df.collect()] == [True, False, False, True, False]
 
 
 def test_rules_and_reformulation(spark):
