@@ -7,6 +7,7 @@ are ASCII-only in Java while the behaviour to match is Unicode-aware.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ TOKENIZER_VERSION = "1.0"
 _NFKC_CANDIDATE = r"[^\x00-\x7F\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends."""
     return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")

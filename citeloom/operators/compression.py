@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from citeloom.functions import text as tx
 from citeloom.operators.packages import HEADER, PackagePolicy, evidence_block, package_id, render
@@ -58,10 +57,9 @@ def _of_sentences(body: Column) -> Column:
 def _of_bullets(lines: Column) -> Column:
     """Items of a list: a line with a bullet starts one, other lines go on with it."""
     marked = F.transform(lines, lambda line, i: F.concat(F.when((i > 0) & line.rlike(_BULLET), _END).otherwise(""), line))
-    items = F.split(F.array_join(marked, ""), _END, -1)
     text, end = lambda t: F.regexp_replace(t, r"\r?\n\z", ""), lambda t: F.regexp_extract(t, r"(\r?\n)\z", 1)
-    between = lambda t, i: F.when((end(t) == "") & (i < F.size(items) - 1), "\n").otherwise(end(t))
-    return F.transform(items, lambda t, i: _entry(text(t), between(t, i)))
+    between = lambda t, i, items: F.when((end(t) == "") & (i < F.size(items) - 1), "\n").otherwise(end(t))
+    return tx.let(F.split(F.array_join(marked, ""), _END, -1), lambda items: F.transform(items, lambda t, i: _entry(text(t), between(t, i, items))))
 
 
 def boundaries(text: Column) -> Column:
@@ -69,34 +67,40 @@ def boundaries(text: Column) -> Column:
     source = F.coalesce(text, F.lit(""))
     blocks, gaps = F.split(source, "\n\n+", -1), F.regexp_extract_all(source, F.lit("\n\n+"), F.lit(0))
 
-    def of_block(block: Column, i: Column) -> Column:
-        body = tx.strip(block)
-        lines = F.regexp_extract_all(body, F.lit(_LINE), F.lit(0))
-        listed = (F.size(lines) > 1) & F.exists(lines, lambda line: line.rlike(_BULLET))
-        found = F.when(listed, _of_bullets(lines)).otherwise(_of_sentences(body))
-        gap = F.coalesce(F.get(gaps, i), F.lit(""))
-        closed = F.transform(found, lambda e, k: _entry(e["text"], F.when((k == F.size(found) - 1) & (gap != ""), gap).otherwise(e["sep"])))
-        return F.when(body == "", F.array().cast(closed_type)).otherwise(closed)
+    def units(body: Column) -> Column:
+        listed = lambda lines: (F.size(lines) > 1) & F.exists(lines, lambda line: line.rlike(_BULLET))
+        return tx.let(F.regexp_extract_all(body, F.lit(_LINE), F.lit(0)), lambda lines: F.when(listed(lines), _of_bullets(lines)).otherwise(_of_sentences(body)))
 
-    closed_type = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("sep", T.StringType())]))
-    return F.flatten(F.transform(blocks, of_block))
+    def closed(found: Column, gap: Column) -> Column:
+        return F.transform(found, lambda e, k: _entry(e["text"], F.when((k == F.size(found) - 1) & (gap != ""), gap).otherwise(e["sep"])))
+
+    def of_block(pair: Column) -> Column:
+        none = F.array().cast("array<struct<text:string,sep:string>>")
+        filled = lambda body: tx.let(units(body), lambda found: closed(found, F.coalesce(pair["gap"], F.lit(""))))
+        return tx.let(tx.strip(pair["block"]), lambda body: F.when(body == "", none).otherwise(filled(body)))
+
+    pairs = F.zip_with(blocks, gaps, lambda block, gap: F.struct(block.alias("block"), gap.alias("gap")))
+    return F.flatten(F.transform(pairs, of_block))
 
 
 def in_order(original: Column, kept: Column) -> Column:
     """Whether ``kept`` is made of whole sentences of ``original``, in order, with their separators."""
-    source, wanted = boundaries(original), boundaries(kept)
-    texts = F.transform(source, lambda e: e["text"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("built"), F.lit("").alias("sep"))
 
-    def take(state: Column, entry: Column) -> Column:
-        step = F.array_position(F.slice(texts, state["at"] + 1, F.size(texts)), entry["text"]).cast("int")
+    def take(state: Column, entry: Column, source: Column) -> Column:
+        rest = F.slice(source, state["at"] + 1, F.size(source))
+        step = F.array_position(F.transform(rest, lambda e: e["text"]), entry["text"]).cast("int")
         at = state["at"] + step
         sep = F.get(source, at - 1)["sep"]
         found = F.struct(at.alias("at"), F.concat(state["built"], state["sep"], entry["text"]).alias("built"), F.when(sep == "", " ").otherwise(sep).alias("sep"))
         return F.when(state["at"].isNotNull() & (step > 0), found).otherwise(F.struct(F.lit(None).cast("int").alias("at"), F.lit("").alias("built"), F.lit("").alias("sep")))
 
-    end = F.aggregate(wanted, start, take)
-    return F.when(F.size(wanted) == 0, F.size(source) == 0).otherwise(end["at"].isNotNull() & (end["built"] == kept))
+    def judged(source: Column, wanted: Column) -> Column:
+        end = F.aggregate(wanted, start, lambda state, entry: take(state, entry, source))
+        whole = tx.let(end, lambda e: e["at"].isNotNull() & (e["built"] == kept))
+        return F.when(F.size(wanted) == 0, F.size(source) == 0).otherwise(whole)
+
+    return tx.let(boundaries(original), lambda source: tx.let(boundaries(kept), lambda wanted: judged(source, wanted)))
 
 
 # ---------------------------------------------------------------- compression
@@ -107,6 +111,18 @@ def overlap_score(sentence: Column, query_words: Column) -> Column:
     return F.size(F.filter(tx.unicode_words(F.lower(sentence)), lambda w: F.array_contains(query_words, w)))
 
 
+def best_sentences(sentences: Column, excerpt: Column, query_words: Column, count: int) -> Column:
+    """The ``count`` sentences with most query words, in their order; a text with no more stays whole."""
+    def chosen(found: Column) -> Column:
+        rated = F.transform(
+            found, lambda s, i: F.struct((-overlap_score(s["text"], query_words)).alias("a"), i.alias("i"), s["text"].alias("text"), s["sep"].alias("sep")))
+        best = F.array_sort(F.transform(F.slice(F.array_sort(rated), 1, count), lambda s: F.struct(s["i"].alias("i"), s["text"].alias("text"), s["sep"].alias("sep"))))
+        joined = F.transform(best, lambda s, k: F.concat(s["text"], F.when(k == count - 1, "").when(s["sep"] == "", " ").otherwise(s["sep"])))
+        return F.when(F.size(found) <= count, excerpt).otherwise(F.array_join(joined, ""))
+
+    return tx.let(sentences, chosen)
+
+
 def compress(packages: DataFrame, policy: CompressionPolicy, package_policy: PackagePolicy = PackagePolicy()) -> DataFrame:
     """Add ``compressed`` evidence, its text and the report columns to every package.
 
@@ -127,17 +143,7 @@ def compress(packages: DataFrame, policy: CompressionPolicy, package_policy: Pac
     df = df.withColumn("prints", prints)
 
     def shorten(sentences: Column, excerpt: Column) -> Column:
-        ranked = F.array_sort(
-            F.transform(
-                sentences,
-                lambda s, i: F.struct((-overlap_score(s["text"], F.col("query_words"))).alias("a"), i.alias("i"), s["text"].alias("text"), s["sep"].alias("sep")),
-            )
-        )
-        best = F.array_sort(F.transform(F.slice(ranked, 1, policy.max_sentences), lambda s: F.struct(s["i"].alias("i"), s["text"].alias("text"), s["sep"].alias("sep"))))
-        joined = F.array_join(
-            F.transform(best, lambda s, k: F.concat(s["text"], F.when(k == policy.max_sentences - 1, "").when(s["sep"] == "", " ").otherwise(s["sep"]))), ""
-        )
-        return F.when(F.size(sentences) <= policy.max_sentences, excerpt).otherwise(joined)
+        return best_sentences(sentences, excerpt, F.col("query_words"), policy.max_sentences)
 
     def work(e: Column, i: Column) -> Column:
         sentences = F.get("parsed", i)

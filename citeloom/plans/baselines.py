@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions import text as tx
 from citeloom.operators.packages import blocked_stop
 
 
@@ -68,5 +69,6 @@ def baseline_results(cases: DataFrame, hits: DataFrame, *, local_source: str, we
         F.coalesce("context_characters", F.lit(0)).alias("context_characters"), F.coalesce("estimated_tokens", F.lit(0)).alias("estimated_tokens"),
         F.coalesce("blocked_stop", F.when(got > 0, "success").otherwise("no_evidence")).alias("stop_reason"),
         asked.cast("long").alias("retrieval_calls"), web.cast("long").alias("web_calls"), (web.cast("long") * web_cost).alias("cost"),
-        F.lit(True).alias("citations_valid"), F.lit(True).alias("provenance_preserved"),
+        F.forall(F.coalesce("evidence_ids", F.array().cast("array<string>")), lambda e: ~tx.is_blank(e)).alias("citations_valid"),
+        ((got == 0) | F.col("source_id").isNotNull()).alias("provenance_preserved"),
     )

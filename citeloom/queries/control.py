@@ -275,9 +275,14 @@ fragment("sources", """SELECT * FROM (VALUES ('docs_main', 'local_document', tru
 
 
 def source_requests(spark, folder):
+    return shaped_requests(requests(spark, folder))
+
+
+def shaped_requests(rows):
+    """Requests with policy inputs (profile, consent, budgets, wanted source) taken from ``conv_id`` and ``turn``."""
     a, b = F.col("conv_id"), F.col("turn")
     wanted = F.element_at(F.array(*[F.lit(x) for x in (None, "web_main", "docs_old", "web_off", "docs_strict", "web_search", "nowhere", None, None)]), ((a * 5 + b) % 9 + 1).cast("int"))
-    base = requests(spark, folder).select("request_id", "query", "conv_id", "turn", wanted.alias("wanted_source"))
+    base = rows.select("request_id", "query", "conv_id", "turn", wanted.alias("wanted_source"))
     shaped = base.withColumns({
         "execution_profile": F.when((a + b) % 3 == 0, "local_only").otherwise("hybrid"),
         "allow_external_query": b % 2 == 0,
@@ -286,14 +291,15 @@ def source_requests(spark, folder):
     return so.default_budget(so.planner_features(shaped))
 
 
-fragment("source_requests", f"""SELECT *, (execution_profile = 'hybrid' AND allow_external_query) AS open_web,
+def request_fragments(prefix: str, base: str) -> None:
+    fragment(f"{prefix}source_requests", f"""SELECT *, (execution_profile = 'hybrid' AND allow_external_query) AS open_web,
     CASE WHEN conv_id % 11 = 0 THEN 0 ELSE 1 END AS p_calls, CASE WHEN conv_id % 7 = 0 THEN 0 WHEN execution_profile = 'hybrid' AND allow_external_query THEN 1 ELSE 0 END AS p_web,
     CASE WHEN conv_id % 6 = 0 THEN 700 WHEN execution_profile = 'hybrid' AND allow_external_query THEN 1000000 ELSE 0 END AS p_cost,
     length(q) AS normalized_length, len({inp.sql_words('q')}) AS token_like_count, regexp_matches(lower(q), '{tx.bounded(so.FRESHNESS)}') AS fresh,
     regexp_matches(lower(q), '{tx.bounded(so.LOCAL_REFERENCE)}') AS localref, regexp_matches(lower(q), '{tx.bounded(so.TIME_REFERENCE)}') AS timeref
     FROM (SELECT request_id, conv_id, turn, query, {inp.sql_strip('query')} AS q, [NULL,'web_main','docs_old','web_off','docs_strict','web_search','nowhere',NULL,NULL][(conv_id * 5 + turn) % 9 + 1] AS wanted,
-      CASE WHEN (conv_id + turn) % 3 = 0 THEN 'local_only' ELSE 'hybrid' END AS execution_profile, turn % 2 = 0 AS allow_external_query FROM requests)""", "requests")
-fragment("planned", """SELECT *, split_part(d, '|', 1) AS route, nullif(split_part(d, '|', 2), '') AS source_id, split_part(d, '|', 3) AS reasons FROM (SELECT *, CASE
+      CASE WHEN (conv_id + turn) % 3 = 0 THEN 'local_only' ELSE 'hybrid' END AS execution_profile, turn % 2 = 0 AS allow_external_query FROM {base})""", base)
+    fragment(f"{prefix}planned", f"""SELECT *, split_part(d, '|', 1) AS route, nullif(split_part(d, '|', 2), '') AS source_id, split_part(d, '|', 3) AS reasons FROM (SELECT *, CASE
     WHEN p_calls = 0 THEN 'blocked||retrieval_budget_exhausted'
     WHEN wanted = 'web_search' THEN 'blocked||web_source_unavailable' WHEN wanted = 'nowhere' THEN 'unknown_source||unknown_source'
     WHEN wanted = 'web_off' THEN 'blocked||web_source_unavailable' WHEN wanted = 'docs_old' THEN 'blocked||local_source_unavailable'
@@ -302,7 +308,10 @@ fragment("planned", """SELECT *, split_part(d, '|', 1) AS route, nullif(split_pa
     WHEN localref THEN 'local|docs_main|default_local' WHEN fresh AND web_no IS NULL THEN 'web|web_main|freshness_cue'
     WHEN fresh THEN 'local|docs_main|' || web_no || ',default_local' ELSE 'local|docs_main|default_local' END AS d
     FROM (SELECT *, CASE WHEN execution_profile <> 'hybrid' THEN 'invalid_profile' WHEN NOT allow_external_query THEN 'external_query_not_allowed'
-        WHEN p_web < 1 THEN 'web_call_budget_exhausted' WHEN p_cost < 800 THEN 'external_cost_budget_exhausted' END AS web_no FROM source_requests))""", "source_requests")
+        WHEN p_web < 1 THEN 'web_call_budget_exhausted' WHEN p_cost < 800 THEN 'external_cost_budget_exhausted' END AS web_no FROM {prefix}source_requests))""", f"{prefix}source_requests")
+
+
+request_fragments("", "requests")
 
 
 @register("planner_features", "G12, G22", sql(

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
 from citeloom.functions.quantiles import exact_quantiles
-from citeloom.operators import fusion, metrics, resampling, samples, scoring
+from citeloom.operators import compression, controller, fusion, markup, metrics, resampling, samples, scoring, sourcing
 from citeloom.operators import sourcing as so
 from citeloom.plans.baselines import baseline_results
 from citeloom.queries import control
 from citeloom.queries import inputs as inp
 from citeloom.queries.base import fragment, register, sql
-from citeloom.queries import retrieval
+from citeloom.queries import packaging, retrieval
 
 
 
@@ -383,59 +383,104 @@ def case_hits(spark, folder):
     return inp.stored(spark, folder, "case_hits", lambda: fresh_case_hits(spark, folder))
 
 
+def flat(text):
+    return F.regexp_replace(tx.strip(text), rf"[{tx.SPACE}]+", " ")
+
+
+KEEP = 3  # sentences that compression leaves of an item
+
+
 def fresh_case_hits(spark, folder):
-    """Hits of every retriever a baseline may choose; compression keeps two thirds of each text."""
-    local = samples.substring_relevance(case_queries(spark, folder), local_evidence(spark, folder), 6).join(local_evidence(spark, folder).select("evidence_id", F.length("text").alias("chars")), "evidence_id")
-    web = samples.substring_relevance(case_queries(spark, folder), web_evidence(spark, folder), 6).join(web_evidence(spark, folder).select("evidence_id", F.length("text").alias("chars")), "evidence_id")
-    corpus = inp.run(spark, folder, "sparse").filter("rank <= 6").join(inp.chunks(spark, folder).select("chunk_id", F.length("text").alias("chars")), "chunk_id").withColumnRenamed("chunk_id", "evidence_id")
+    """Hits of every retriever a baseline may choose. Compression keeps the best sentences of each hit."""
+    asked = case_queries(spark, folder)
+    words = asked.select("query_id", F.array_distinct(tx.unicode_words(F.lower("query"))).alias("qw"))
+    pages = inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("evidence_id"), markup.normalise_html(F.col("html")).alias("text"))
+    texts = {"local": local_evidence(spark, folder).select("evidence_id", "text"), "web": pages, "corpus": inp.chunks(spark, folder).select(F.col("chunk_id").alias("evidence_id"), "text")}
+    found = {
+        "local": samples.substring_relevance(asked, local_evidence(spark, folder), 6), "web": samples.substring_relevance(asked, web_evidence(spark, folder), 6),
+        "corpus": inp.run(spark, folder, "sparse").filter("rank <= 6").withColumnRenamed("chunk_id", "evidence_id"),
+    }
     out = None
-    for name, df in (("local", local), ("web", web), ("corpus", corpus)):
-        for suffix in ("", "_compressed") if name != "corpus" else ("",):
-            size = F.col("chars") if not suffix else F.expr("chars * 2 div 3")
-            part = df.select(F.col("query_id").alias("case_id"), F.lit(name + suffix).alias("retriever"), "evidence_id", size.alias("chars"))
+    for name, hits in found.items():
+        rows = hits.select("query_id", "evidence_id").join(texts[name].select("evidence_id", flat(F.col("text")).alias("text")), "evidence_id").join(words, "query_id")
+        short = compression.best_sentences(compression.boundaries(F.col("text")), F.col("text"), F.col("qw"), KEEP)
+        sizes = {"": F.length("text")} | ({"_compressed": F.length(short)} if name != "corpus" else {})
+        for suffix, size in sizes.items():
+            part = rows.select(F.col("query_id").alias("case_id"), F.lit(name + suffix).alias("retriever"), "evidence_id", size.alias("chars"))
             out = part if out is None else out.unionByName(part)
     return out
 
 
-fragment("case_hits", """SELECT query_id AS case_id, 'local' || s AS retriever, evidence_id, CASE WHEN s = '' THEN length(text) ELSE length(text) * 2 // 3 END AS chars FROM local_hits JOIN local_evidence USING (evidence_id), (VALUES (''), ('_compressed')) v(s)
-    UNION ALL SELECT query_id, 'web' || s, evidence_id, CASE WHEN s = '' THEN length(text) ELSE length(text) * 2 // 3 END FROM web_hits JOIN web_evidence USING (evidence_id), (VALUES (''), ('_compressed')) v(s)
-    UNION ALL SELECT query_id, 'corpus', chunk_id, length(text) FROM bq_sparse JOIN chunks USING (chunk_id) WHERE rank <= 6""", "local_hits", "local_evidence", "web_hits", "web_evidence", "bq_sparse", "chunks")
+def _flat_sql(text: str) -> str:
+    return f"regexp_replace({inp.sql_strip(text)}, '[{tx.SPACE}]+', ' ', 'g')"
+
+
+fragment("hit_texts", f"""SELECT 'local' AS kind, h.query_id, h.evidence_id, {_flat_sql('e.text')} AS text FROM local_hits h JOIN local_evidence e USING (evidence_id)
+    UNION ALL SELECT 'web', h.query_id, h.evidence_id, {_flat_sql('p.t')} FROM web_hits h JOIN page_text p ON CAST(p.page_id AS VARCHAR) = h.evidence_id
+    UNION ALL SELECT 'corpus', query_id, chunk_id, {_flat_sql('text')} FROM bq_sparse JOIN chunks USING (chunk_id) WHERE rank <= 6""", "local_hits", "local_evidence", "web_hits", "page_text", "bq_sparse", "chunks")
+packaging.sentences_fragment("hit_sentences", "hit_texts", "kind, query_id, evidence_id", "text")
+fragment("hit_best", f"""SELECT kind, query_id, evidence_id, any_value(n) AS n, string_agg(sentence || CASE WHEN last THEN '' WHEN sep = '' THEN ' ' ELSE sep END, '' ORDER BY idx) AS joined FROM (
+    SELECT *, idx = max(idx) OVER (PARTITION BY kind, query_id, evidence_id) AS last FROM (
+      SELECT s.*, row_number() OVER (PARTITION BY kind, query_id, evidence_id ORDER BY len(list_filter(regexp_extract_all(lower(sentence), '[{tx.WORD}]+'), lambda w: list_contains(qw, w))) DESC, idx) AS r
+      FROM hit_sentences s JOIN (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[{tx.WORD}]+')) AS qw FROM bench_queries) USING (query_id)) WHERE r <= {KEEP}) GROUP BY ALL""", "hit_sentences", "bench_queries")
+fragment("case_hits", f"""SELECT query_id AS case_id, kind AS retriever, evidence_id, length(text) AS chars FROM hit_texts
+    UNION ALL SELECT t.query_id, t.kind || '_compressed', t.evidence_id, CASE WHEN b.n IS NULL OR b.n <= {KEEP} THEN length(t.text) ELSE length(b.joined) END FROM hit_texts t LEFT JOIN hit_best b USING (kind, query_id, evidence_id) WHERE t.kind <> 'corpus'""", "hit_texts", "hit_best")
+
+# Fixed coefficients of a learned router over three of the request's features and a constant.
+ROUTER = {"blocked": (0.0, 0.0, -2.0, 1.0), "local": (-1.0, 1.0, 0.5, 0.0), "web": (2.0, -2.0, 1.0, -1.5)}
 
 
 def case_rows(spark, folder):
+    """Cases of the benchmark queries: planned by the rules, predicted by the router, labelled by the gold chunks.
+
+    Profile, consent and budgets come from the query id; a case with gold chunks is to be answered locally,
+    one without from the web where consent and budget allow it.
+    """
     i = F.col("query_id")
-    route = F.when(i % 5 == 0, "web").when(i % 5 == 1, "blocked").otherwise("local")
-    reasons = F.when(i % 10 == 1, "invalid_profile").otherwise("web_call_budget_exhausted")
-    plan = F.struct(route.alias("route"), F.when(route == "web", "web_main").when(route == "local", "docs_main").alias("source_id"), F.when(route == "blocked", reasons).otherwise("default_local").alias("reasons"))
-    return inp.queries(spark, folder).select(
-        i.alias("case_id"), F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (i % 3 + 1).cast("int")).alias("split"),
-        (i % 11 != 0).cast("int").alias("max_retrieval_calls"), (i % 2 == 0).alias("allow_external_query"), (i % 6 != 0).cast("int").alias("max_web_calls"), F.lit(900).alias("max_cost"),
-        plan.alias("plan"), F.when(i % 4 == 0, "web").when(i % 4 == 1, "blocked").otherwise("local").alias("predicted_route"),
-        F.when(i % 7 == 0, "web").otherwise(route).alias("expected_route"), F.when(route == "web", "web_main").when(route == "local", "docs_main").alias("expected_source_id"),
-        (route != "blocked").alias("expected_answerable"), F.when(i % 10 == 1, "unsupported_profile").alias("expected_stop_reason"),
+    asked = inp.queries(spark, folder).select(i.cast("string").alias("request_id"), "query", i.alias("conv_id"), (i % 5).alias("turn"))
+    plans = sourcing.plan_sources(control.shaped_requests(asked), control.source_table(spark))
+    open_web = F.col("allow_external_query") & (F.col("max_web_calls") > 0) & (F.col("max_cost") > 0)
+    features = F.array(F.col("has_freshness_cue").cast("double"), F.col("has_local_reference_cue").cast("double"), open_web.cast("double"), F.lit(1.0))
+    policy = spark.createDataFrame([(k, list(v), 0.0) for k, v in ROUTER.items()], "label string, weights array<double>, intercept double")
+    rows = controller.score_policy(plans.withColumn("features", features), policy)
+    gold = inp.qrels(spark, folder).select(F.col("query_id").alias("conv_id")).distinct().withColumn("gold", F.lit(True))
+    rows = rows.join(gold, "conv_id", "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
+    wanted = F.when(F.col("gold"), "local").when(open_web, "web").otherwise("blocked")
+    return rows.select(
+        F.col("conv_id").alias("case_id"), F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("conv_id") % 3 + 1).cast("int")).alias("split"),
+        "max_retrieval_calls", "allow_external_query", "max_web_calls", "max_cost", "plan", F.col("predicted").alias("predicted_route"),
+        wanted.alias("expected_route"), F.when(wanted == "web", "web_main").when(wanted == "local", "docs_main").alias("expected_source_id"),
+        (wanted != "blocked").alias("expected_answerable"), F.lit(None).cast("string").alias("expected_stop_reason"),
     )
 
 
-fragment("case_rows", """SELECT *, CASE route WHEN 'web' THEN 'web_main' WHEN 'local' THEN 'docs_main' END AS src FROM (SELECT query_id AS case_id, ['train', 'validation', 'test'][query_id % 3 + 1] AS split, query_id % 11 <> 0 AS calls, query_id % 2 = 0 AS consent, query_id % 6 <> 0 AS paid,
-    CASE query_id % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'blocked' ELSE 'local' END AS route, CASE query_id % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'blocked' ELSE 'local' END AS predicted FROM bench_queries)""", "bench_queries")
+fragment("case_requests", "SELECT CAST(query_id AS VARCHAR) AS request_id, query_id AS conv_id, query_id % 5 AS turn, query FROM bench_queries", "bench_queries")
+control.request_fragments("case_", "case_requests")
+_x = lambda w: f"({w[0]} * fresh::INT + {w[1]} * localref::INT + {w[2]} * open_budget::INT + {w[3]})"
+fragment("case_rows", f"""SELECT *, CASE WHEN zb >= zl AND zb >= zw THEN 'blocked' WHEN zl >= zw THEN 'local' ELSE 'web' END AS predicted, CASE expected WHEN 'web' THEN 'web_main' WHEN 'local' THEN 'docs_main' END AS expected_source
+    FROM (SELECT *, {_x(ROUTER['blocked'])} AS zb, {_x(ROUTER['local'])} AS zl, {_x(ROUTER['web'])} AS zw, CASE WHEN gold THEN 'local' WHEN open_budget THEN 'web' ELSE 'blocked' END AS expected FROM (
+      SELECT conv_id AS case_id, ['train', 'validation', 'test'][conv_id % 3 + 1] AS split, p_calls > 0 AS calls, allow_external_query AS consent, p_web > 0 AND p_cost > 0 AS paid, fresh, localref,
+        allow_external_query AND p_web > 0 AND p_cost > 0 AS open_budget, route, source_id AS src, conv_id IN (SELECT query_id FROM qrels) AS gold,
+        CASE WHEN route = 'unknown_source' THEN 'source_unavailable' WHEN route = 'blocked' THEN CASE split_part(reasons, ',', 1) WHEN 'invalid_profile' THEN 'unsupported_profile' WHEN 'external_query_not_allowed' THEN 'unsupported_profile'
+          WHEN 'local_source_unavailable' THEN 'source_unavailable' WHEN 'web_source_unavailable' THEN 'source_unavailable' ELSE 'budget_exceeded' END END AS plan_stop FROM case_planned))""", "case_planned", "qrels")
 fragment("base_choice", """SELECT case_id, split, b, CASE WHEN stop IS NULL THEN r ELSE 'blocked' END AS route, CASE WHEN stop IS NULL THEN s END AS source_id, stop, CASE WHEN stop IS NULL THEN rt END AS retriever FROM (
     SELECT case_id, split, 'no_retrieval' AS b, 'no_retrieval' AS r, NULL AS s, NULL AS stop, NULL AS rt FROM case_rows
     UNION ALL SELECT case_id, split, 'fixed_local', 'local', 'docs_main', CASE WHEN NOT calls THEN 'budget_exceeded' END, 'local' FROM case_rows
     UNION ALL SELECT case_id, split, 'fixed_web', 'web', 'web_main', CASE WHEN NOT consent THEN 'unsupported_profile' WHEN NOT paid THEN 'budget_exceeded' END, 'web' FROM case_rows
-    UNION ALL SELECT case_id, split, 'heuristic_planner', route, src, CASE WHEN route = 'blocked' THEN CASE WHEN case_id % 10 = 1 THEN 'unsupported_profile' ELSE 'budget_exceeded' END END, CASE WHEN route = 'web' THEN 'web' ELSE 'local' END FROM case_rows
-    UNION ALL SELECT case_id, split, 'heuristic_plus_compression', route, src, CASE WHEN route = 'blocked' THEN CASE WHEN case_id % 10 = 1 THEN 'unsupported_profile' ELSE 'budget_exceeded' END END, CASE WHEN route = 'web' THEN 'web_compressed' ELSE 'local_compressed' END FROM case_rows
+    UNION ALL SELECT case_id, split, 'heuristic_planner', route, src, plan_stop, CASE WHEN route = 'web' THEN 'web' ELSE 'local' END FROM case_rows
+    UNION ALL SELECT case_id, split, 'heuristic_plus_compression', route, src, plan_stop, CASE WHEN route = 'web' THEN 'web_compressed' ELSE 'local_compressed' END FROM case_rows
     UNION ALL SELECT case_id, split, 'learned_planner', CASE WHEN predicted = 'web' THEN 'web' ELSE 'local' END, CASE WHEN predicted = 'web' THEN 'web_main' ELSE 'docs_main' END, CASE WHEN predicted = 'blocked' THEN 'unsupported_profile' WHEN predicted = 'web' THEN CASE WHEN NOT consent THEN 'unsupported_profile' WHEN NOT paid THEN 'budget_exceeded' END WHEN NOT calls THEN 'budget_exceeded' END, CASE WHEN predicted = 'web' THEN 'web' ELSE 'local' END FROM case_rows
-    UNION ALL SELECT case_id, split, 'corpus_adapter', route, src, CASE WHEN route = 'blocked' THEN CASE WHEN case_id % 10 = 1 THEN 'unsupported_profile' ELSE 'budget_exceeded' END END, CASE WHEN route = 'web' THEN 'web' ELSE 'corpus' END FROM case_rows)""", "case_rows")
+    UNION ALL SELECT case_id, split, 'corpus_adapter', route, src, plan_stop, CASE WHEN route = 'web' THEN 'web' ELSE 'corpus' END FROM case_rows)""", "case_rows")
 fragment("base_results", """SELECT c.case_id, c.split, c.b AS baseline_name, c.route, c.source_id, coalesce(h.n, 0) AS evidence_count, coalesce(h.chars, 0)::BIGINT AS context_characters, coalesce(h.toks, 0)::BIGINT AS estimated_tokens,
-    coalesce(c.stop, CASE WHEN h.n > 0 THEN 'success' ELSE 'no_evidence' END) AS stop_reason, (c.retriever IS NOT NULL)::INT::BIGINT AS retrieval_calls, (c.route = 'web')::INT::BIGINT AS web_calls, ((c.route = 'web')::INT * 800)::BIGINT AS cost
-    FROM base_choice c LEFT JOIN (SELECT case_id, retriever, count(*) AS n, sum(chars) AS chars, sum(ceil(chars / 4.0)) AS toks FROM case_hits GROUP BY 1, 2) h USING (case_id, retriever)""", "base_choice", "case_hits")
+    coalesce(c.stop, CASE WHEN h.n > 0 THEN 'success' ELSE 'no_evidence' END) AS stop_reason, (c.retriever IS NOT NULL)::INT::BIGINT AS retrieval_calls, (c.route = 'web')::INT::BIGINT AS web_calls, ((c.route = 'web')::INT * 800)::BIGINT AS cost, h.least_id
+    FROM base_choice c LEFT JOIN (SELECT case_id, retriever, count(*) AS n, sum(chars) AS chars, sum(ceil(chars / 4.0)) AS toks, min(trim(evidence_id)) AS least_id FROM case_hits GROUP BY 1, 2) h USING (case_id, retriever)""", "base_choice", "case_hits")
 
 
 def baselines(spark, folder):
     return baseline_results(case_rows(spark, folder), case_hits(spark, folder), local_source="docs_main", web_source="web_main", web_cost=800)
 
 
-@register("baseline_results", "J23", sql("SELECT * FROM base_results", "base_results"))
+@register("baseline_results", "J23", sql("SELECT * EXCLUDE (least_id) FROM base_results", "base_results"))
 def baselines_query(spark, folder):
     return baselines(spark, folder).drop("evidence_ids", "citations_valid", "provenance_preserved")
 
@@ -459,19 +504,19 @@ def baseline_evidence_recall(spark, folder):
 
 
 def flagged(spark, folder):
-    """Baseline rows beside their cases; recall is taken as the share of three wanted items."""
-    rows = baselines(spark, folder).withColumn("evidence_recall", F.least(F.col("evidence_count") / 3, F.lit(1.0)))
+    """Baseline rows with their evidence recall, beside their cases."""
+    rows = baselines(spark, folder).join(baseline_evidence_recall(spark, folder), ["case_id", "baseline_name"])
     cases = case_rows(spark, folder).select("case_id", "expected_route", "expected_source_id", "expected_answerable", "expected_stop_reason")
     return samples.case_flags(rows, cases)
 
 
 @register("fixture_metrics", "J18", sql(
-    """SELECT baseline_name, coalesce(split, 'overall') AS split, count(*) AS case_count, round(avg((route = er)::INT), 6) AS route_accuracy, round(avg((source_id IS NOT DISTINCT FROM es)::INT), 6) AS source_accuracy, round(avg(least(evidence_count / 3, 1)), 6) AS evidence_recall,
+    """SELECT baseline_name, coalesce(split, 'overall') AS split, count(*) AS case_count, round(avg((route = er)::INT), 6) AS route_accuracy, round(avg((source_id IS NOT DISTINCT FROM es)::INT), 6) AS source_accuracy, round(avg(evidence_recall), 6) AS evidence_recall,
         round(avg(((stop_reason = 'success' AND evidence_count > 0) = ea)::INT), 6) AS answerability, round(avg((CASE WHEN er = 'blocked' THEN route = 'blocked' AND stop_reason = coalesce(esr, stop_reason) ELSE true END)::INT), 6) AS blocked_correctness,
         round(avg((CASE WHEN er = 'blocked' THEN route = 'blocked' AND stop_reason = coalesce(esr, stop_reason) ELSE route <> 'blocked' END)::INT), 6) AS blocked_correctness_strict, sum(retrieval_calls)::BIGINT AS retrieval_calls, sum(web_calls)::BIGINT AS web_calls, sum(cost)::BIGINT AS cost,
-        round(avg(context_characters), 6) AS avg_characters, 1.0::DOUBLE AS citation_rate, 1.0::DOUBLE AS provenance_rate
-       FROM (SELECT b.*, CASE WHEN c.case_id % 7 = 0 THEN 'web' ELSE c.route END AS er, c.src AS es, c.route <> 'blocked' AS ea, CASE WHEN c.case_id % 10 = 1 THEN 'unsupported_profile' END AS esr FROM base_results b JOIN case_rows c USING (case_id))
-       GROUP BY GROUPING SETS ((baseline_name, split), (baseline_name))""", "base_results", "case_rows"))
+        round(avg(context_characters), 6) AS avg_characters, round(avg((coalesce(least_id, 'none') <> '')::INT), 6) AS citation_rate, round(avg((evidence_count = 0 OR source_id IS NOT NULL)::INT), 6) AS provenance_rate
+       FROM (SELECT b.*, r.evidence_recall, c.expected AS er, c.expected_source AS es, c.expected <> 'blocked' AS ea, NULL AS esr FROM base_results b JOIN case_rows c USING (case_id) JOIN base_recall r USING (case_id, baseline_name))
+       GROUP BY GROUPING SETS ((baseline_name, split), (baseline_name))""", "base_results", "case_rows", "base_recall"))
 def fixture_metrics(spark, folder):
     return samples.fixture_metrics(flagged(spark, folder))
 
@@ -488,15 +533,22 @@ def determinism_digest(spark, folder):
     return samples.determinism_digest(baselines(spark, folder), "baseline_name", "case_id", "route", "stop_reason", "context_characters", "duration_ms")
 
 
+fragment("gate_before", "SELECT query_id AS case_id, chunk_id AS evidence_id, length(text) AS chars FROM pkg_evidence", "pkg_evidence")
+fragment("gate_after", "SELECT query_id AS case_id, chunk_id AS evidence_id, CASE WHEN untouched THEN length(text) ELSE length(kept) END AS chars FROM pkg_held WHERE held", "pkg_held")
+
+
 @register("compression_gate", "J24", sql(
     """SELECT count(*) AS eligible, count(k.case_id) AS preserved, CASE WHEN count(*) > 0 THEN round(count(k.case_id) / count(*), 4) ELSE 1 END AS support_rate,
-        ((SELECT sum(chars) FROM case_hits WHERE retriever = 'local') - (SELECT sum(chars) FROM case_hits WHERE retriever = 'local_compressed'))::DOUBLE AS chars_removed,
-        round(((SELECT sum(chars) FROM case_hits WHERE retriever = 'local') - (SELECT sum(chars) FROM case_hits WHERE retriever = 'local_compressed')) / (SELECT sum(chars) FROM case_hits WHERE retriever = 'local') * 100, 2) AS reduction_pct,
-        count(*) = count(k.case_id) AS gate_open
-       FROM (SELECT DISTINCT case_id FROM case_hits JOIN expected_evidence USING (case_id, evidence_id) WHERE retriever = 'local') h LEFT JOIN (SELECT DISTINCT case_id FROM case_hits JOIN expected_evidence USING (case_id, evidence_id) WHERE retriever = 'local_compressed') k USING (case_id)""", "case_hits", "expected_evidence"))
+        ((SELECT sum(chars) FROM gate_before) - (SELECT sum(chars) FROM gate_after))::DOUBLE AS chars_removed,
+        round(((SELECT sum(chars) FROM gate_before) - (SELECT sum(chars) FROM gate_after)) / (SELECT sum(chars) FROM gate_before) * 100, 2) AS reduction_pct, count(*) = count(k.case_id) AS gate_open
+       FROM (SELECT DISTINCT case_id FROM gate_before JOIN expected_evidence USING (case_id, evidence_id)) h LEFT JOIN (SELECT DISTINCT case_id FROM gate_after JOIN expected_evidence USING (case_id, evidence_id)) k USING (case_id)""",
+    "gate_before", "gate_after", "expected_evidence"))
 def compression_gate(spark, folder):
-    hits = case_hits(spark, folder)
-    return samples.compression_gate(hits.filter("retriever = 'local'"), hits.filter("retriever = 'local_compressed'"), expected_evidence(spark, folder))
+    """What the compressed packages keep of the packages' evidence."""
+    packages = packaging.compressed(spark, folder)
+    items = lambda c: packages.select(F.col("query_id").alias("case_id"), F.explode(c).alias("e")).select(
+        "case_id", F.col("e.chunk_id").alias("evidence_id"), F.length("e.excerpt").alias("chars"))
+    return samples.compression_gate(items("evidence"), items("compressed"), expected_evidence(spark, folder))
 
 
 @register("evidence_flags", "J22", sql(

@@ -127,12 +127,16 @@ fragment("pkg_report", """SELECT p.query_id, p.package_id, p.context_chars, p.es
     FROM pkg p LEFT JOIN (SELECT query_id, max(CASE WHEN untouched THEN context_chars ELSE upto END) FILTER (held) AS chars FROM pkg_held GROUP BY query_id) c USING (query_id)""", "pkg", "pkg_held")
 
 
+def compressed(spark, folder):
+    return co.compress(packages(spark, folder), SQUEEZE, POLICY)
+
+
 @register("compressed_packages", "I9, I10, I11, I12, I13", sql(
     """SELECT query_id, compressed_chars::BIGINT AS compressed_chars, compressed_tokens, CASE WHEN untouched THEN 'no_reduction' WHEN compressed_chars <= 1600 AND compressed_tokens <= 400 THEN 'reduced' ELSE 'target_unachievable' END AS outcome,
         greatest(context_chars - compressed_chars, 0)::BIGINT AS chars_removed, greatest(estimated_tokens - compressed_tokens, 0) AS tokens_removed,
         CASE WHEN estimated_tokens > 0 THEN greatest(0, (estimated_tokens - compressed_tokens) * 10000 // estimated_tokens) ELSE 0 END AS reduction_basis_points FROM pkg_report""", "pkg_report"))
 def compressed_packages(spark, folder):
-    return co.compress(packages(spark, folder), SQUEEZE, POLICY).select(
+    return compressed(spark, folder).select(
         "query_id", "compressed_chars", "compressed_tokens", "outcome", "chars_removed", "tokens_removed", "reduction_basis_points"
     )
 
