@@ -103,8 +103,9 @@ def index_from_counts(
 
 
 def save_index(index: LexicalIndex, root: str) -> None:
-    """Write the four tables; postings are clustered by term so that a lookup reads few row groups."""
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
+    """Write the four tables; postings lie in ranges of term and place, so a lookup reads few row groups and
+    a term of every chunk is spread over as many files as it needs."""
+    index.postings.repartitionByRange("term", "position").sortWithinPartitions("term", "position").write.mode("overwrite").parquet(f"{root}/postings")
     index.terms.write.mode("overwrite").parquet(f"{root}/terms")
     index.chunks.write.mode("overwrite").parquet(f"{root}/chunks")
     index.meta.withColumn("k1", F.lit(index.k1)).withColumn("b", F.lit(index.b)).withColumn(

@@ -54,10 +54,14 @@ def tidy(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- SQL fragments
 
 FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {}
+STORED: set[str] = set()
 
 
-def fragment(name: str, body: str, *needs: str) -> None:
+def fragment(name: str, body: str, *needs: str, stored: bool = False) -> None:
+    """A common table expression; ``stored`` ones are computed once however often they are named."""
     FRAGMENTS[name] = (needs, body)
+    if stored:
+        STORED.add(name)
 
 
 def sql(body: str, *needs: str) -> Callable[[], str]:
@@ -78,5 +82,5 @@ def _render(body: str, needs: tuple[str, ...]) -> str:
         visit(name)
     if not order:
         return body
-    ctes = ",\n".join(f"{n} AS ({FRAGMENTS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({FRAGMENTS[n][1]})" for n in order)
     return f"WITH RECURSIVE {ctes}\n{body}"

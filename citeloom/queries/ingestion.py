@@ -273,4 +273,4 @@ def stream_user_sessions(spark, folder):
 @register("stream_last_handles", "S4", sql(
     "SELECT user_id, place, run_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, run_id DESC) AS place FROM run_rows) WHERE place <= 3", "run_rows"))
 def stream_last_handles(spark, folder):
-    return jobs.run_to_table(jobs.last_handles(run_stream(spark, folder)), *_paths(spark, "handles"))
+    return jobs.run_to_latest(jobs.last_handles(run_stream(spark, folder)), "user_id", *_paths(spark, "handles"))

@@ -266,25 +266,25 @@ fragment(
 fragment(
     "chunk_tokens",
     f"SELECT chunk_id, document_id, ordinal, {sql_tokens('text')} AS toks FROM chunks",
-    "chunks",
+    "chunks", stored=True,
 )
 fragment("chunk_stats", "SELECT chunk_id, document_id, ordinal, len(toks) AS dl FROM chunk_tokens", "chunk_tokens")
 fragment(
     "postings",
     """SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM chunk_tokens)
         GROUP BY chunk_id, term""",
-    "chunk_tokens",
+    "chunk_tokens", stored=True,
 )
 fragment("corpus_meta", "SELECT count(*) AS n, avg(dl) AS avgdl FROM chunk_stats", "chunk_stats")
 fragment(
     "raw_idf",
     """SELECT term, nd, ln(n - nd + 0.5) - ln(nd + 0.5) AS raw
         FROM (SELECT term, count(*) AS nd FROM postings GROUP BY term), corpus_meta""",
-    "postings", "corpus_meta",
+    "postings", "corpus_meta", stored=True,
 )
 fragment(
     "term_stats",
-    """SELECT term, nd, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw_idf) ELSE raw END AS idf
+    """SELECT term, nd, CASE WHEN raw < 0 THEN avg(raw) OVER () * 0.25 ELSE raw END AS idf
         FROM raw_idf""",
     "raw_idf",
 )

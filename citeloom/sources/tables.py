@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from citeloom.operators.ingest import dispositions
 
@@ -13,11 +12,15 @@ class ConflictError(ValueError):
     """A stored document differs from the incoming one and may not be overwritten."""
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been written under ``path``, on any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and len(files.listStatus(place)) > 0
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    return spark.read.parquet(path) if holds_files(spark, path) else None
 
 
 def payload_hash(df: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from citeloom.operators.chunking import ChunkSizes, word_windows
+from citeloom.sources.tables import holds_files
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType, *, files_per_batch: int = 64) -> DataFrame:
@@ -32,22 +32,37 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_to_latest(stream: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there and return, for every ``key``, the rows of the last batch that named it.
+
+    Each batch replaces its own partition, so a replayed batch is stored once.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch_id", "long")).parquet(path)
+    last = rows.groupBy(F.col(key).alias("k")).agg(F.max("batch_id").alias("last"))
+    return rows.join(last, (F.col(key) == F.col("k")) & (F.col("batch_id") == F.col("last"))).drop("k", "last", "batch_id")
+
+
 def ingest_stream(documents: DataFrame, path: str, checkpoint: str, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """Chunk arriving documents into the chunk table.
 
     Each batch writes its own partition ``batch_id`` and replaces it when the batch is replayed, and
-    chunks that an earlier batch has written are left out, so a document sent twice is stored once.
+    documents that an earlier batch has written are left out, so one sent twice is stored once.
     """
     spark = documents.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = word_windows(batch.dropDuplicates(["document_id"]), sizes)
-        try:
-            done = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") != batch_id).select("chunk_id")
-            fresh = fresh.join(done, "chunk_id", "left_anti")
-        except AnalysisException:
-            pass  # first batch: nothing stored yet
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        fresh = batch.dropDuplicates(["document_id"])
+        if holds_files(batch.sparkSession, path):  # known documents are left out before any text is cut
+            done = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") != batch_id).select("document_id").distinct()
+            fresh = fresh.join(done, "document_id", "left_anti")
+        word_windows(fresh, sizes).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -84,10 +99,11 @@ def user_sessions(events: DataFrame, *, gap: str = "5 minutes", late: str = "10
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-def last_handles(events: DataFrame, *, keep: int = 3, ttl_ms: int = 300_000, late: str = "10 minutes") -> DataFrame:
-    """The latest ``keep`` handles per user; a user's state expires ``ttl_ms`` after the last event.
+def last_handles(events: DataFrame, *, keep: int = 3, ttl_ms: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """The latest ``keep`` handles per user, given anew by every batch that brings one of the user's events.
 
-    The state of a user is at most ``keep`` rows, and a batch is folded into it frame by frame.
+    The state of a user is at most ``keep`` rows, and a batch is folded into it frame by frame. With
+    ``ttl_ms`` a user's state expires so long after the last event; without, no handle is forgotten.
     """
 
     def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -100,12 +116,14 @@ def last_handles(events: DataFrame, *, keep: int = 3, ttl_ms: int = 300_000, lat
             held = sorted(held, reverse=True)[:keep]
         times, ids = [int(t) for t, _ in held], [int(i) for _, i in held]
         state.update((times, ids))
-        state.setTimeoutTimestamp(max(times[0] // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        if ttl_ms is not None:
+            state.setTimeoutTimestamp(max(times[0] // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]] * len(ids), "place": range(1, len(ids) + 1), "run_id": ids})
 
     return (
         events.withWatermark("ts", late).groupBy("user_id")
         .applyInPandasWithState(
-            update, "user_id long, place int, run_id long", "times array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout
+            update, "user_id long, place int, run_id long", "times array<long>, ids array<long>", "update",
+            GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.EventTimeTimeout,
         )
     )
