@@ -13,10 +13,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
     hung = around.join(least, "a")
-    if large:
-        out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    else:
-        out = hung.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
+    if large:  # repeated edges are dropped by the small star
+        return hung.filter("b > a AND b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    out = hung.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
     return out.filter("a <> b").distinct()
 
 

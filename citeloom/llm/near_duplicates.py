@@ -9,7 +9,7 @@ shares no band with a probability of 1e-10.
 
 Groups may be huge, so their pairs are never listed. Documents of equal sets are one node. In each band
 bucket a node is paired with the bucket's least node; its best such pair is confirmed first, and gives first
-components. Pairs estimated near enough join nodes to clusters; nodes of different clusters that share a
+components (a node goes with its head). Pairs estimated near enough join nodes to clusters; nodes of different clusters that share a
 bucket are compared by their signatures, and what is near joins the clusters too. All candidate pairs then
 lie inside clusters. In each, the nodes outside its largest component are met with those of all others, in
 cells of at most ``CELL`` nodes a side, where full sets are compared and only links that join components are
@@ -269,13 +269,16 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     sets = full_sets(candidates).join(wanted, ["n", "x", "y"]).dropDuplicates(["node"]).select("node", "n", "shingles")
     sets = cut_lineage(sets)
     links = cut_lineage(confirm(best, sets))
-    found = cut_lineage(components(links))
+    # First components: a node goes with the head of its link, and once more with that head's.
+    heads = links.select(F.col("a").alias("b"), F.col("b").alias("above"))
+    found = cut_lineage(links.join(heads, "b", "left").select(F.col("a").alias("node"), F.coalesce("above", "b").alias("component")))
 
     # Clusters of near nodes, then pairs that share a bucket across clusters.
     clusters = cut_lineage(components(near))
     placed = members.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     bridges = cut_lineage(_across(placed, marks))
-    clusters = components(near.select("a", "b").unionByName(bridges))
+    if bridges.limit(1).count():
+        clusters = components(near.select("a", "b").unionByName(bridges))
 
     further = inner_links(clusters, found, sets)
     final = cut_lineage(components(links.unionByName(further)))
