@@ -2,8 +2,7 @@
 
 Hidden elements go first, then the page is split at its preformatted blocks. Outside of them, tags are
 replaced by the line ends or marks they stand for; each block becomes a fence longer than any run of
-tildes in it. Character references are resolved last, by a small Arrow function that sees only pages
-with an ampersand. Preformatted blocks inside each other count as one up to the first end tag.
+tildes in it. Character references are resolved last, by a small Arrow function. Preformatted blocks inside each other count as one up to the first end tag.
 """
 
 from __future__ import annotations
@@ -52,7 +51,7 @@ def _fenced(block: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _resolved(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda page: None if page is None else _html.unescape(page))
+    return pages.map(lambda page: page if page is None or "&" not in page else _html.unescape(page))
 
 
 def visible_text(page: Column) -> Column:
@@ -63,9 +62,8 @@ def visible_text(page: Column) -> Column:
     page = F.regexp_replace(page, _OPEN, "")
     outside, blocks = F.split(page, _PRE, -1), F.regexp_extract_all(page, F.lit(_PRE), F.lit(1))
     pieces = F.transform(outside, lambda part, i: F.concat(_breaks(part), F.coalesce(_fenced(F.get(blocks, i)), F.lit(""))))
-    text = F.array_join(pieces, "")
-    marked = F.contains(text, F.lit("&"))
-    return F.when(marked, _resolved(F.when(marked, text))).otherwise(text)
+    # The function is given every page, so that Spark computes its argument once and goes on from its result.
+    return _resolved(F.array_join(pieces, ""))
 
 
 def unix_lines(text: Column) -> Column:
