@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
@@ -222,6 +222,23 @@ def policy_problems(policy: DataFrame, *, allowed: tuple[str, ...] = ACTIONS, fe
     return single.unionByName(twice)
 
 
+def _checked(policy: DataFrame, features: int) -> DataFrame:
+    broken = policy_problems(policy, features=features).limit(1).collect()
+    if broken:
+        raise ValueError(f"policy parameters are not usable: {broken[0].rule} for {broken[0].entity_id}")
+    return policy
+
+
+def save_policy(policy: DataFrame, path: str, *, features: int = 10) -> None:
+    """Write checked parameters; an existing path is an error."""
+    _checked(policy, features).write.mode("errorifexists").parquet(path)
+
+
+def load_policy(spark: SparkSession, path: str, *, features: int = 10) -> DataFrame:
+    """Read parameters and check them before use."""
+    return _checked(spark.read.schema("label string, weights array<double>, intercept double").parquet(path), features)
+
+
 def score_policy(rows: DataFrame, policy: DataFrame) -> DataFrame:
     """Add ``predicted`` and ``probability``. All classes sit in one small array on every row."""
     classes = policy.agg(F.array_sort(F.collect_list(F.struct("label", "weights", "intercept"))).alias("p")).scalar()
