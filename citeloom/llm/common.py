@@ -85,7 +85,8 @@ class Prefix:
             held = np.full(max(n, 1 << 20), np.uint64(base), np.uint64)
             held[0] = 1
             held = np.multiply.accumulate(held)
-            cls._cache[base] = held
+            if n <= 1 << 22:  # those of a very long text are not kept
+                cls._cache[base] = held
         return held[:n]
 
     def runs(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -37,6 +37,8 @@ from citeloom.llm.graph import components
 WORDS, PERCENT = 5, 75
 MINIMA, ROWS, BANDS = 128, 3, 42
 CUT = 0.48
+#: Bytes of text hashed in one step; its arrays stay small.
+STEP_BYTES = 1 << 20
 #: Nodes and shingles of a side of a cell, and shingles compared at once.
 CELL, CELL_SHINGLES, COLUMNS = 128, 1 << 18, 4096
 SPACES = np.zeros(256, bool)
@@ -123,7 +125,7 @@ def features(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): size and name of its set, band keys, packed signature."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 8 << 20):
+        for batch in blocks(batches, "text", STEP_BYTES):
             raw, offsets = text_bytes(batch, "text")
             hashes, bounds = shingle_sets(raw, offsets)
             n = np.diff(bounds)
@@ -143,7 +145,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """(n, x, y, shingles) of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 4 << 20):
+        for batch in blocks(batches, "text", STEP_BYTES):
             raw, offsets = text_bytes(batch, "text")
             hashes, bounds = shingle_sets(raw, offsets)
             x, y = set_names(hashes, bounds)
