@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.identity import uuid5
+from citeloom.session import cut_lineage
 
 # A query side up to this many bytes of doubles travels to every task; beyond it blocks are shuffled.
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
+# Scores that a task holds at a time.
+SCORE_BYTES = 64 << 20
 POINT_LABEL = "citeloom:chunk:"
 
 EmbedFunction = Callable[[list[str]], np.ndarray]
@@ -198,10 +201,12 @@ def _scan_with(table: pa.Table, k: int, filtered: bool):
             ids = np.array(batch.column("vector_id").to_pylist(), dtype=object)
             if not len(ids):
                 continue
-            scores = _score_block(qmat, _matrix(batch.column("embedding")))
+            vmat, step = _matrix(batch.column("embedding")), max(1, SCORE_BYTES // (8 * len(ids)))
             tags = np.array(batch.column("filter_value").to_pylist(), dtype=object) if filtered else None
             for i in range(len(qids)):
-                row, names = scores[i], ids
+                if i % step == 0:
+                    scores = _score_block(qmat[i : i + step], vmat)
+                row, names = scores[i % step], ids
                 if filtered and wanted[i] is not None:
                     at = np.flatnonzero(tags == wanted[i])
                     row, names = row[at], names[at]
@@ -229,47 +234,136 @@ def _block_join(q: DataFrame, v: DataFrame, k: int, filtered: bool, schema: str)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("qb", place(q, "query_id", counts[0])).withColumn("vb", spread(counts[1]))
     right = v.withColumn("vb", place(v, "vector_id", counts[1])).withColumn("qb", spread(counts[0]))
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_pair_with(k, filtered), schema)
 
+
+def _pair_with(k: int, filtered: bool):
     def pair(qs: pa.Table, vs: pa.Table) -> pa.Table:
         out = list(_scan_with(qs, k, filtered)(iter(vs.to_batches()))) if len(qs) else []
         kinds = [("query_id", qs.schema.field("query_id").type), ("vector_id", vs.schema.field("vector_id").type), ("score", pa.float64())]
         return pa.Table.from_batches(out, pa.schema(kinds))
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(pair, schema)
+    return pair
 
 
 # ---------------------------------------------------------------- bucketed variant
 
+# Bits of a signature at most, and the samples that choose the buckets. The samples only steer the work.
+MOST_BITS, ASKED, MET = 16, 256, 4096
+# Share of neighbours that a choice must find in the sample beyond the wanted recall.
+MARGIN = 0.03
+# Cost of a query's row in one bucket, in scored pairs; buckets must cost at most this share of the exact search.
+ROW_COST, WORTH = 100, 0.5
+
 
-def lsh_signature(embedding: Column, *, dim: int, bits: int, table: int) -> Column:
-    """Sign pattern of ``bits`` fixed +-1 projections; the signs come from md5, so every task agrees."""
+def lsh_planes(dim: int, bits: int, tables: int) -> np.ndarray:
+    """``(tables, bits, dim)`` fixed +-1 projections; the signs come from md5, so every task agrees."""
     import hashlib
 
-    def sign(bit: int, d: int) -> float:
-        return 1.0 if hashlib.md5(f"{table}:{bit}:{d}".encode()).digest()[0] & 1 else -1.0
+    sign = lambda *at: 1.0 if hashlib.md5(":".join(map(str, at)).encode()).digest()[0] & 1 else -1.0
+    return np.array([[[sign(t, b, d) for d in range(dim)] for b in range(bits)] for t in range(tables)])
+
+
+def lsh_codes(matrix: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """``(rows, tables)`` sign patterns as numbers, the first projection in the highest bit."""
+    tables, bits, dim = planes.shape
+    signs = (matrix.reshape(-1, dim) @ planes.reshape(-1, dim).T >= 0).reshape(-1, tables, bits)
+    return (signs * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2)
+
 
-    planes = [F.array(*[F.lit(sign(bit, d)) for d in range(dim)]) for bit in range(bits)]
-    dots = [
-        F.aggregate(F.zip_with(embedding, p, lambda x, s: x * s), F.lit(0.0), lambda a, x: a + x) for p in planes
-    ]
-    return F.concat(*[F.when(d >= 0, F.lit("1")).otherwise(F.lit("0")) for d in dots])
+def _masks(bits: int, radius: int) -> np.ndarray:
+    return np.array([m for m in range(1 << bits) if m.bit_count() <= radius])
+
+
+def _choose(q: DataFrame, v: DataFrame, k: int, rows: int, planes: np.ndarray, widths: list[int], recall: float) -> tuple[int, int, int] | None:
+    """``(tables, bits, radius)`` of the cheapest probes that find the wanted share of the exact neighbours.
+
+    The exact neighbours of a sample of queries are searched; copies (which always share a bucket) do not
+    count. ``None``: nothing costs clearly less than the exact search.
+    """
+    tables, longest, _ = planes.shape
+    asked = q.orderBy(F.xxhash64("query_id", F.lit(1)), "query_id").limit(ASKED)
+    near = cosine_top_k(asked, v, k, vector_id="vector_id").filter(F.col("score") < 1 - 1e-8).select("query_id", "vector_id")
+    pairs = near.join(asked, "query_id").join(v.withColumnRenamed("embedding", "other"), "vector_id").select("embedding", "other").toArrow()
+    met = v.orderBy(F.xxhash64("vector_id", F.lit(2)), "vector_id").limit(MET).select("embedding").toArrow()
+    code = lambda column: lsh_codes(_matrix(column), planes)
+    apart = code(pairs.column("embedding")) ^ code(pairs.column("other"))
+    every = code(asked.select("embedding").toArrow().column("embedding"))[:, None] ^ code(met.column("embedding"))[None]
+    found = []
+    for bits in widths:
+        near_by = np.bitwise_count(apart >> (longest - bits))
+        shares = [np.bincount(np.bitwise_count(every[:, :, t] >> (longest - bits)).ravel(), minlength=bits + 1).cumsum() / every[:, :, 0].size for t in range(tables)]
+        for used in sorted({1, 2, 4, 8, 16, tables}):
+            if used > tables:
+                continue
+            least = near_by[:, :used].min(axis=1)
+            for radius in range(bits + 1):
+                if not len(least) or (least <= radius).mean() >= min(1.0, recall + MARGIN):
+                    cost = rows * sum(s[radius] for s in shares[:used]) + ROW_COST * used * len(_masks(bits, radius))
+                    found.append((cost, used, bits, radius))
+                    break
+    best = min(found, default=None)
+    return best[1:] if best and best[0] <= WORTH * rows else None
+
+
+def _bucket_rows(df: DataFrame, key: str, planes: np.ndarray, bits: int, masks: np.ndarray) -> DataFrame:
+    """``(key, embedding, bucket)``: every vector once in each of its buckets."""
+    tables, longest, dim = planes.shape
+    kind = df.schema[key].dataType.simpleString()
+    step = max(1, (32 << 20) // (8 * dim * tables * len(masks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                codes = lsh_codes(_matrix(batch.column("embedding")), planes) >> (longest - bits)
+                keys = (codes[:, :, None] ^ masks) | (np.arange(tables)[None, :, None] << bits)
+                rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), keys[0].size)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys.ravel(), pa.int64())], names=[key, "embedding", "bucket"])
+
+    return df.select(key, "embedding").mapInArrow(run, f"{key} {kind}, embedding array<double>, bucket long")
+
+
+def _in_buckets(q: DataFrame, v: DataFrame, k: int, planes: np.ndarray, bits: int, radius: int) -> DataFrame:
+    """Best ``k`` of every query within each bucket it probes; a bucket is met in cells of bounded size."""
+    left, right = _bucket_rows(q, "query_id", planes, bits, _masks(bits, radius)), _bucket_rows(v, "vector_id", planes, bits, _masks(bits, 0))
+    cells = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
+    sizes = cells(left, "qs").join(cells(right, "vs"), "bucket")
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(sizes, "bucket").withColumn("qb", place("query_id", "qs")).withColumn("vb", spread("vs")).drop("qs", "vs")
+    right = right.join(sizes, "bucket").withColumn("vb", place("vector_id", "vs")).withColumn("qb", spread("qs")).drop("qs", "vs")
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, vector_id {v.schema['vector_id'].dataType.simpleString()}, score double"
+    cell = ("bucket", "qb", "vb")
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_pair_with(k, False), schema)
+    return found.groupBy("query_id", "vector_id").agg(F.max("score").alias("score"))
 
 
 def lsh_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int, *, dim: int, bits: int = 8, tables: int = 4,
-    query_id: str = "query_id", vector_id: str = "chunk_id",
+    queries: DataFrame, vectors: DataFrame, k: int, *, dim: int, bits: int | None = None, tables: int = 8,
+    query_id: str = "query_id", vector_id: str = "chunk_id", recall: float = 0.9,
 ) -> DataFrame:
-    """Approximate search: only vectors sharing a bucket are scored, then ranked exactly."""
-
-    def keyed(df: DataFrame, key: str) -> DataFrame:
-        norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-        base = df.select(F.col(key), F.col("embedding").cast("array<double>").alias("e"))
-        unit = base.withColumn("norm", norm).select(key, F.transform("e", lambda x: x / F.col("norm")).alias("e"))
-        sigs = F.array(*[F.concat(F.lit(f"{t}:"), lsh_signature(F.col("e"), dim=dim, bits=bits, table=t)) for t in range(tables)])
-        return unit.select(key, "e", F.explode(sigs).alias("bucket"))
-
-    a, b = keyed(queries, query_id), keyed(vectors, vector_id).withColumnRenamed("e", "f")
-    dot = F.aggregate(F.zip_with("e", "f", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = a.join(b, "bucket").groupBy(query_id, vector_id).agg(F.max(F.round(dot, 9)).alias("score"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """Search through buckets of sign patterns with a recall of at least ``recall``, scores and ranks exact.
+
+    Number of tables (up to ``tables``), bits (unless given) and how many bits a probed bucket may differ in
+    come from the exact neighbours of a sample of queries. Queries with fewer than ``k`` candidates are
+    searched exactly, and so are all where buckets would not cost clearly less, as with vectors without clusters.
+    """
+    q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.select(F.col(vector_id).alias("vector_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = v.count()
+    widths = [bits] if bits else list(range(2, MOST_BITS + 1, 2))
+    planes = lsh_planes(dim, widths[-1], tables)
+    chosen = _choose(q, v, k, rows, planes, widths, recall) if rows else None
+    if not chosen:
+        return cosine_top_k(queries, vectors, k, query_id=query_id, vector_id=vector_id)
+    found = cut_lineage(_in_buckets(q, v, k, planes[: chosen[0]], chosen[1], chosen[2]))
+    enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k, rows))
+    rest = cosine_top_k(q.join(enough, "query_id", "left_anti"), v, k, vector_id="vector_id").drop("rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
+    both = found.join(enough, "query_id", "left_semi").unionByName(rest)
+    return (
+        both.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
+        .select(F.col("query_id").alias(query_id), F.col("vector_id").alias(vector_id), "score", "rank")
+    )

@@ -217,7 +217,7 @@ def bucketed_vector_search(spark, folder):
     """Recall of the bucketed search against the exact one, per label."""
     e = inp.table(spark, folder, "embeddings")
     q = e.withColumnRenamed("vec_id", "query_id")
-    near = vectors.lsh_top_k(q, e, 10, dim=64, vector_id="vec_id", bits=6, tables=8).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    near = vectors.lsh_top_k(q, e, 10, dim=64, vector_id="vec_id", tables=8).select("query_id", "vec_id", F.lit(1).alias("hit"))
     exact = vectors.cosine_top_k(q, e, 10, vector_id="vec_id")
     return (
         exact.join(near, ["query_id", "vec_id"], "left")

@@ -39,6 +39,44 @@ def test_bucketed_search_scores_what_shares_a_bucket(spark):
     assert {best["c000", 1], best["c000", 2]} == {"c000", "c100"} and best["c007", 1] == "c007"
 
 
+def neighbours(x, k):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    return {(i, int(j)) for i in range(len(x)) for j in np.argsort(-scores[i], kind="stable")[:k]}
+
+
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_bucketed_search_finds_nine_of_ten_neighbours(spark, monkeypatch, clusters):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[np.arange(3000) % clusters] + 0.25 * x
+        x = np.concatenate([x, rng.normal(size=(5, 64))])  # these share buckets with few others
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_id long, embedding array<double>")
+    seen = []
+    inside = vectors._in_buckets
+    monkeypatch.setattr(vectors, "_in_buckets", lambda *a: seen.append(a[4:]) or inside(*a))
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    got = vectors.lsh_top_k(df.withColumnRenamed("chunk_id", "query_id"), df, 10, dim=64).collect()
+    want = neighbours(x, 10)
+    hits = {(r.query_id, r.chunk_id) for r in got} & want
+    others = {p for p in want if p[0] != p[1]}
+    assert len(hits & others) / len(others) >= 0.9 and len(got) == 10 * len(x)
+    assert bool(seen) == bool(clusters)  # buckets where they save work, else the exact search
+
+
+def test_scores_are_held_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_id long, embedding array<double>").coalesce(1)
+    sizes, whole = [], vectors._score_block
+    monkeypatch.setattr(vectors, "SCORE_BYTES", 1 << 15)
+    monkeypatch.setattr(vectors, "_score_block", lambda q, v: sizes.append(8 * len(q) * len(v)) or whole(q, v))
+    table = df.withColumnRenamed("chunk_id", "query_id").toArrow()
+    source = df.withColumnRenamed("chunk_id", "vector_id").toArrow()
+    out = list(vectors._scan_with(table, 5, False)(iter(source.to_batches())))[0].to_pydict()
+    assert max(sizes) <= 1 << 15 and set(zip(out["query_id"], out["vector_id"])) == neighbours(x, 5)
+
+
 def test_policy_is_fitted_saved_checked_and_scored(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = []
