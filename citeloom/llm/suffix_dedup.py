@@ -7,9 +7,12 @@ segments, whatever the input; suffixes whose anchor occurs in one segment only e
 sorted one block at a time with difference-cover ranks (``suffix_blocks``). Bytes are compared, never hashes.
 
 Runs of bytes that many documents hold are kept out of anchors where anything else can be one: a bounded
-sample of documents (``SAMPLE`` texts) names the frequent runs, which rank behind all others. The sample only
-steers how the work is dealt. Segments that are equal within a task are recognised there: one travels, and
-all are marked. So neither copies, shared lines nor shared passages make a bucket grow with their number.
+sample of documents (``SAMPLE`` texts) names the frequent runs, which rank behind all others. Then the bytes of
+segments are counted for each anchor over a share of all text (``EVERY``), in partial sums. Suffixes of an anchor
+that would fill a bucket alone (as of a passage that few, or only long texts hold) travel one by one, dealt by all
+of their 200 bytes. Both only steer how the work is dealt. Segments that are equal within a task are recognised
+there: one travels, and all are marked. So what many suffixes of a bucket share is whole 200-byte strings only,
+and of each of these one travels for every ``BLOCK_BYTES`` of text.
 
 Texts are named by 96 bits of a digest; equal texts share a name and the result. The texts themselves are
 shuffled once, to meet their spans.
@@ -22,11 +25,13 @@ bytes; a null id stays null; an empty table gives none; other columns are never
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,8 @@ SPAN = DEPTH - GRAM + 1  # runs of GRAM bytes in a window
 #: Text bytes for each bucket, and the sample that names frequent runs.
 BUCKET_BYTES = 4 << 20
 SAMPLE, SAMPLE_BYTES, OFTEN = 2000, 16384, 0.01
+#: Anchors are counted over one in so many texts (or slices of ``SAMPLE_BYTES`` of longer ones), or all of a small input.
+EVERY, SMALL_BYTES = 16, 64 << 20
 #: Bytes hashed in one step (its arrays fit a core's cache), and of a piece of a longer text.
 STEP_BYTES, PIECE_BYTES = 256 << 10, 2 << 20
 NAME = 12
@@ -91,6 +98,20 @@ def segments(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, frequent: n
     return place, count, least[place] >> shift, prefix
 
 
+def one_by_one(place: np.ndarray, count: np.ndarray, anchor: np.ndarray, heavy: np.ndarray, prefix: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments, where those of ``heavy`` (sorted) anchors are cut into single suffixes, with a hash of their bytes as anchor."""
+    full = heavy[np.minimum(np.searchsorted(heavy, anchor), len(heavy) - 1)] == anchor
+    if not full.any():
+        return place, count, anchor
+    times = np.where(full, count, 1)
+    first = np.repeat(np.cumsum(times) - times, times)
+    apart = np.repeat(full, times)
+    place = np.repeat(place, times) + np.where(apart, np.arange(len(first)) - first, 0)
+    count, anchor = np.where(apart, 1, np.repeat(count, times)), np.repeat(anchor, times)
+    anchor[apart] = prefix.runs(place[apart], place[apart] + DEPTH) >> np.uint64(PLACE_BITS)
+    return place, count, anchor
+
+
 def local_repeats(data: bytes, name: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(repeated, forwarded): segments with an equal one among these, and one of each kind.
 
@@ -143,8 +164,9 @@ def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[tuple[np
 class Dealer:
     """Segments of many small steps, packed together for each bucket."""
 
-    def __init__(self, buckets: int, frequent: np.ndarray | None):
+    def __init__(self, buckets: int, frequent: np.ndarray | None, heavy: np.ndarray | None = None):
         self.buckets, self.frequent, self.packer = buckets, frequent, zstandard.ZstdCompressor(level=3)
+        self.heavy = heavy if heavy is not None and len(heavy) else None
         self.clear()
 
     def clear(self) -> None:
@@ -152,6 +174,8 @@ class Dealer:
 
     def add(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: np.ndarray, names: list[bytes]) -> None:
         place, count, anchor, prefix = segments(raw, starts, stops, self.frequent)
+        if self.heavy is not None and len(place):
+            place, count, anchor = one_by_one(place, count, anchor, self.heavy, prefix)
         if len(place):
             full = np.nonzero(stops > starts)[0]  # empty texts start where others do
             owner = full[np.searchsorted(starts[full], place, side="right") - 1]
@@ -161,6 +185,16 @@ class Dealer:
             self.names += names
             self.size += len(raw)
 
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor, bytes) of the segments that would travel, which are then forgotten."""
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        place, count, anchor, name = (np.concatenate(x) for x in list(zip(*self.parts, strict=True))[:4])
+        _, forward = local_repeats(b"".join(self.data), name, place, count)
+        self.clear()
+        anchors, at = np.unique(anchor[forward], return_inverse=True)
+        return anchors, np.bincount(at, count[forward] + DEPTH - 1, len(anchors)).astype(np.int64)
+
     def rows(self) -> list[tuple[int, int, bytes]]:
         """(bucket, kind, payload) of all that was added, which is then forgotten."""
         if not self.parts:
@@ -189,9 +223,17 @@ class Dealer:
         return out
 
 
-def deal(docs: DataFrame, buckets: int, frequent: bytes | None) -> DataFrame:
+def flags_of(frequent: bytes | None) -> np.ndarray | None:
+    if not frequent:
+        return None
+    flags = np.zeros(FLAGS, bool)
+    flags[flag_index(np.frombuffer(frequent, np.uint64))] = True
+    return flags
+
+
+def deal(docs: DataFrame, buckets: int, frequent: bytes | None, heavy: bytes = b"") -> DataFrame:
     """(bucket, kind, payload): packed segments (kind 0) and spans found within a task (kind 1)."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast((frequent, heavy))
 
     def packed(dealer: Dealer) -> pa.RecordBatch:
         rows = dealer.rows()
@@ -200,11 +242,7 @@ def deal(docs: DataFrame, buckets: int, frequent: bytes | None) -> DataFrame:
             ["bucket", "kind", "payload"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = None
-        if held.value:
-            flags = np.zeros(FLAGS, bool)
-            flags[flag_index(np.frombuffer(held.value, np.uint64))] = True
-        dealer = Dealer(buckets, flags)
+        dealer = Dealer(buckets, flags_of(held.value[0]), np.frombuffer(held.value[1], np.uint64))
         for batch in blocks(batches, "text", STEP_BYTES):
             for piece in pieces(batch):
                 dealer.add(*piece)
@@ -215,6 +253,37 @@ def deal(docs: DataFrame, buckets: int, frequent: bytes | None) -> DataFrame:
     return docs.mapInArrow(work, "bucket int, kind int, payload binary")
 
 
+def chosen_pieces(batch: pa.RecordBatch, every: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """As ``pieces``, but one in ``every`` texts, or slices of a text that is a batch alone."""
+    for raw, starts, stops, base, names in pieces(batch, SAMPLE_BYTES):
+        take = [zlib.crc32(n + b.tobytes()) % every == 0 for n, b in zip(names, base, strict=True)]
+        if any(take):
+            texts = [raw[a:b] for a, b, t in zip(starts.tolist(), stops.tolist(), take, strict=True) if t]
+            ends = np.cumsum([len(t) for t in texts])
+            yield np.concatenate(texts), ends - [len(t) for t in texts], ends, base[take], [n for n, t in zip(names, take, strict=True) if t]
+
+
+def heavy_anchors(docs: DataFrame, frequent: bytes | None, bound: int, every: int) -> bytes:
+    """Anchors whose segments have more than about ``bound`` bytes, sorted: as many as the text has times the bound, at most."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, read = Dealer(1, flags_of(held.value)), 0
+        sums = lambda: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64), pa.int64()) for x in counter.sizes()], ["anchor", "bytes"])
+        for batch in blocks(batches, "text", STEP_BYTES):
+            for piece in chosen_pieces(batch, every):
+                counter.add(*piece)
+            read += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if read >= BLOCK_BYTES:
+                read = 0
+                yield sums()
+        yield sums()
+
+    counted = docs.mapInArrow(work, "anchor long, bytes long").groupBy("anchor").agg(F.sum("bytes").alias("bytes"))
+    found = counted.filter(F.col("bytes") * every > bound).select("anchor").toArrow().column("anchor").to_numpy()
+    return np.sort(found.astype(np.uint64)).tobytes()
+
+
 def unpack(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     """(names, begin, count, anchor, text) of packed segments put one after the other."""
     parts = []
@@ -267,8 +336,10 @@ def frequent_runs(texts: list[bytes]) -> np.ndarray:
 
 def sampled_runs(docs: DataFrame, rows: int) -> bytes | None:
     """Frequent runs of about ``SAMPLE`` texts, found in one task: some MB at most."""
-    every = max(1, rows // SAMPLE)
-    some = docs.filter((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)).limit(2 * SAMPLE)
+    every, half = max(1, rows // SAMPLE), SAMPLE_BYTES // 2
+    ends = F.concat(F.left("text", F.lit(half)), F.right("text", F.lit(half)))  # of longer texts
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).limit(2 * SAMPLE)
+    some = some.select(F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(ends).alias("text"))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"runs": [frequent_runs([t.encode("utf-8", "surrogatepass") for t in group["text"]]).tobytes()]})
@@ -296,7 +367,8 @@ def spans(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         owner, start, stop = joined_spans(np.array([number[x] for x in held], np.int64), start, stop)
         return pd.DataFrame({"name": [distinct[w] for w in owner.tolist()], "start": start, "stop": stop})
 
-    dealt = deal(docs, buckets, sampled_runs(docs, size.rows))
+    frequent = sampled_runs(docs, size.rows)
+    dealt = deal(docs, buckets, frequent, heavy_anchors(docs, frequent, bucket_bytes, 1 if size.bytes <= SMALL_BYTES else EVERY))
     return dealt.groupBy("bucket").applyInPandas(solve, "name binary, start long, stop long").distinct()
 
 

@@ -92,3 +92,35 @@ def test_frequent_runs_and_empty(make):
     assert len(runs) >= len(line) - sd.GRAM + 1
     assert sd.remove_repeats(make([], SCHEMA)).count() == 0
     assert sd.remove_repeats(make([(1, None, "x", "y")], SCHEMA)).first().n_bytes == 0
+
+
+def test_a_passage_that_no_sample_sees_fills_no_bucket(make):
+    import zstandard
+
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    passage = letters(260)
+    texts = [letters(rng.randint(100, 300)) + passage + letters(rng.randint(100, 300)) for _ in range(800)]
+    docs = make([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA).select("doc_id", "text")
+    bound = 32 << 10
+    heavy = sd.heavy_anchors(docs, None, bound, 1)
+    assert len(heavy)
+    largest = {}
+    for kind, args in (("before", ()), ("after", (heavy,))):
+        size = {}
+        for r in sd.deal(docs, 1 << 16, None, *args).filter("kind = 0").collect():
+            size[r.bucket] = size.get(r.bucket, 0) + len(zstandard.ZstdDecompressor().decompress(bytes(r.payload)))
+        largest[kind] = max(size.values())
+    assert largest["before"] > 2 * bound and largest["after"] <= bound
+    got = sd.remove_repeats(docs, bucket_bytes=bound).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == [(i, *w) for i, w in enumerate(brute(texts))]
+
+
+def test_anchors_of_long_texts_are_counted_in_slices(make):
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    passage = letters(260)
+    texts = ["".join(letters(400) + passage for _ in range(600)) for _ in range(2)]
+    docs = make([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA).select("doc_id", "text")
+    whole, some = (set(np.frombuffer(sd.heavy_anchors(docs, None, 100_000, every), np.uint64).tolist()) for every in (1, 4))
+    assert whole and whole & some
