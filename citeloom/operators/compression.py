@@ -24,6 +24,7 @@ _BREAK = (
     rf"(?<![^{tx.SPACE}])(?!(?i:{_KEPT}|[a-z]\.)[{tx.SPACE}])([^{tx.SPACE}]*[.?!][\"']?)(?<!\d\.)([{tx.SPACE}]+)(?=[A-Z0-9\"'])"
 )
 _SEP, _END = "\x05", "\x06"  # between a sentence and what separates it, and after that
+_ESCAPE = "\x07"  # with a letter, stands for a mark (or itself) in the text
 
 
 @dataclass(frozen=True)
@@ -48,18 +49,31 @@ def _entry(text: Column, sep: Column) -> Column:
     return F.struct(text.alias("text"), sep.alias("sep"))
 
 
+def _free(text: Column) -> Column:
+    """The text without the marks; ``_own`` brings back those it holds itself."""
+    for mark, code in ((_ESCAPE, "a"), (_SEP, "b"), (_END, "c")):
+        text = F.replace(text, F.lit(mark), F.lit(_ESCAPE + code))
+    return text
+
+
+def _own(text: Column) -> Column:
+    for mark, code in ((_END, "c"), (_SEP, "b"), (_ESCAPE, "a")):
+        text = F.replace(text, F.lit(_ESCAPE + code), F.lit(mark))
+    return text
+
+
 def _of_sentences(body: Column) -> Column:
     """Sentences of running text: every break is marked by one expression, then the text is split there."""
-    pieces = F.split(F.regexp_replace(body, _BREAK, f"$1{_SEP}$2{_END}"), _END, -1)
-    return F.transform(pieces, lambda p: _entry(F.substring_index(p, _SEP, 1), F.regexp_extract(p, f"(?s){_SEP}(.*)$", 1)))
+    pieces = F.split(F.regexp_replace(_free(body), _BREAK, f"$1{_SEP}$2{_END}"), _END, -1)
+    return F.transform(pieces, lambda p: _entry(_own(F.substring_index(p, _SEP, 1)), F.regexp_extract(p, f"(?s){_SEP}(.*)$", 1)))
 
 
 def _of_bullets(lines: Column) -> Column:
     """Items of a list: a line with a bullet starts one, other lines go on with it."""
-    marked = F.transform(lines, lambda line, i: F.concat(F.when((i > 0) & line.rlike(_BULLET), _END).otherwise(""), line))
+    marked = F.transform(lines, lambda line, i: F.concat(F.when((i > 0) & line.rlike(_BULLET), _END).otherwise(""), _free(line)))
     text, end = lambda t: F.regexp_replace(t, r"\r?\n\z", ""), lambda t: F.regexp_extract(t, r"(\r?\n)\z", 1)
     between = lambda t, i, items: F.when((end(t) == "") & (i < F.size(items) - 1), "\n").otherwise(end(t))
-    return tx.let(F.split(F.array_join(marked, ""), _END, -1), lambda items: F.transform(items, lambda t, i: _entry(text(t), between(t, i, items))))
+    return tx.let(F.transform(F.split(F.array_join(marked, ""), _END, -1), _own), lambda items: F.transform(items, lambda t, i: _entry(text(t), between(t, i, items))))
 
 
 def boundaries(text: Column) -> Column:

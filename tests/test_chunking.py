@@ -62,6 +62,15 @@ def test_html_becomes_markdown_like_text(spark):
     assert got == "## Use & care\n\nOne\n\n- a\n- b\n\n~~~~py\nx ~~~ y\n~~~~\n\nend"
 
 
+def test_control_characters_of_a_text_are_no_marks(spark):
+    text = "a\x06b " + words(400, "w") + "\n\n\x06 " + words(300, "v") + "\n\nend \x06\x05\x06 last"
+    plain = text.replace("\x06", "x")
+    got, want = (ch.paragraph_chunks(docs(spark, t)).orderBy("ordinal").collect() for t in (text, plain))
+    place = lambda rows: [(r.ordinal, r.start_char, r.end_char) for r in rows]
+    assert place(got) == place(want) and got[-1].end_char == len(text)
+    assert all(r.text == text[r.start_char : r.end_char] for r in got)
+
+
 def test_sizes_are_checked():
     with pytest.raises(ValueError):
         ch.ChunkSizes(target=100)

@@ -135,3 +135,15 @@ def test_loop_outcomes(spark):
     assert got[2].abstention_reason == "unchanged_evidence" and got[2].retrieval_calls == 2
     assert got[3].abstention_reason == "conflicting_evidence" and got[3].evidence_status == "conflicting"
     assert got[4].status == "abstained" and got[4].sufficiency_score == 0.0
+
+
+def test_control_characters_of_a_text_are_kept_in_sentences(spark):
+    running = "One \x05 two\x06 Three. \x07b Four\x07\x06! Five \x05\x06\x07c. Six"
+    listed = "- a\x06b\n- c \x05\x07a d\n- e"
+    for text, want in (
+        (running, [("One \x05 two\x06 Three. \x07b Four\x07\x06!", " "), ("Five \x05\x06\x07c.", " "), ("Six", "")]),
+        (listed, [("- a\x06b", "\n"), ("- c \x05\x07a d", "\n"), ("- e", "")]),
+    ):
+        row = spark.createDataFrame([(text,)], "t string").select(co.boundaries(F.col("t")).alias("b")).first()
+        assert [tuple(e) for e in row.b] == want
+        assert "".join(e.text + e.sep for e in row.b) == text
