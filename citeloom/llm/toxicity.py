@@ -128,69 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
         model = fit(group["text"].tolist(), group["toxic"].to_numpy(bool))
         return pd.DataFrame({"prior": [model.prior], "weights": [model.weights.tobytes()]})
 
-    found = sample(docs, labels, allowed).limit(2 * FIT_ROWS).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(work, "prior double, weights binary").first()
+    found = sample(docs, labels, allowed).orderBy("doc_id", "text").limit(2 * FIT_ROWS).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(work, "prior double, weights binary").first()
     return Model(found.prior, np.frombuffer(found.weights, np.float32)) if found else fit([], np.array([]))
 
 
-def score(self, text: str | None, seen: np.ndarray) -> float:
-        z = self.prior + float(self.weights[grams(text or "", seen)].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
-
-
-def fit(texts: list[str | None], toxic: np.ndarray, *, steps: int = 60, rate: float = 0.05, l2: float = 1e-4) -> Model:
-    """Fit on labelled texts, in numpy."""
-    toxic = np.asarray(toxic, bool)
-    weights = np.zeros(FEATURES, np.float32)
-    if not len(toxic) or toxic.all() or not toxic.any():
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model(-60.0 if share == 0 else 60.0, weights)
-    seen = np.zeros(FEATURES, np.int32)
-    held = [grams(t or "", seen).astype(np.int32) for t in texts]
-    sizes = np.array([len(h) for h in held])
-    ids, row = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), sizes)
-    del held
-    each = np.bincount(ids, minlength=FEATURES)
-    bad = np.bincount(ids[toxic[row]], minlength=FEATURES)
-    ratio = np.log((bad + 1) / (toxic.sum() + 2)) - np.log((each - bad + 1) / ((~toxic).sum() + 2))
-    keep = (each >= max(1, min(LEAST, len(texts) // 4))) & (np.abs(ratio) >= RATIO)
-    place = (np.cumsum(keep) - 1).astype(np.int32)
-    stay = keep[ids]
-    row, ids = row[stay], place[ids[stay]]
-    used, ratio = np.nonzero(keep)[0], ratio[keep]
-    cost = np.where(toxic, MISS_COST, 1.0) / len(texts)
-    w, b = np.zeros(len(used)), 0.0
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    for t in range(1, steps + 1):
-        z = np.bincount(row, (w * ratio)[ids], minlength=len(texts)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - toxic) * cost
-        g = np.bincount(ids, error[row], minlength=len(used)) * ratio + l2 * w
-        gb = error.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        a, c = 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / a) / (np.sqrt(v / c) + 1e-8)
-        b -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-8)
-    weights[used] = w * ratio
-    return Model(float(b), weights)
-
-
-def sample(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``rows`` labelled documents of each class, the lowest hashes of ids."""
-    marked = pick(labels, doc_id="doc_id", toxic="toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(allowed)
-    marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    fits = pick(docs, doc_id="doc_id", text="text").filter(F.octet_length("text") <= FIT_BYTES)
-    ids = fits.select("doc_id").join(marked, "doc_id", "left_semi").distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [marked.filter(c).join(ids, "doc_id", "left_semi").orderBy(*order).limit(rows) for c in (F.col("toxic"), ~F.col("toxic"))]
-    few = chosen[0].unionByName(chosen[1])  # 2 x rows ids at most, so it may be sent to every task
-    return fits.join(F.broadcast(few), "doc_id")
-
-
-def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
-    found = sample(docs, labels, allowed).orderBy("doc_id", "text").limit(2 * FIT_ROWS).toArrow().to_pydict()
-    return fit(found["text"], np.array(found["toxic"], bool))
-
-
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the score of every whole ``text`` as a further column, which replaces one of that name."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input

@@ -59,3 +59,10 @@ def test_one_class_none_and_empty(make):
     empty = make([], SCHEMA)
     model = toxicity.train(empty, make([], "doc_id long, toxic int"), F.lit(True))
     assert toxicity.score(empty, model).count() == 0
+
+
+def test_sample_is_fitted_in_a_task(make, monkeypatch):
+    rows, labels = corpus(80)
+    docs, marks = make(rows, SCHEMA), make(labels, "doc_id long, toxic int, text string")
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: (_ for _ in ()).throw(AssertionError("texts on the driver")))
+    assert toxicity.train(docs, marks, F.lit(True)).weights.any()
