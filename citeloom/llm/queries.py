@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, suffix_dedup, toxicity, url_templates, vector_cells
+from citeloom.llm import importance, lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, suffix_dedup, toxicity, url_templates, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,13 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the 200-byte strings that occur anywhere else."""
     kept = suffix_dedup.remove_repeats(read(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_prefix_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents of at least 20 words, drawn by how much their n-grams look like the benchmark's."""
+    drawn = importance.importance(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op13_prefix_crc_resampling"] = importance.SQL
