@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from citeloom.session import cut_lineage
+from citeloom.session import checkpoint_root, cut_lineage, forget
 
-__all__ = ["cut_lineage", "read", "pick", "blocks", "text_bytes", "columns_of", "mix", "Prefix", "with_field"]
+__all__ = ["checkpoint_root", "cut_lineage", "forget", "read", "pick", "blocks", "text_bytes", "columns_of", "mix", "Prefix", "with_field"]
 
 #: Bytes of text that one step of a task holds in memory at once (a single longer text is a step of its own).
 BLOCK_BYTES = 16 << 20

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import importance, lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, suffix_dedup, toxicity, url_templates, vector_cells
+from citeloom.llm import collocations, importance, lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, suffix_dedup, toxicity, url_templates, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op13_prefix_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_prefix_crc_resampling"] = importance.SQL
+
+
+@query
+def op12_dynamic_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest phrases of each language, counted by dynamic itemset counting."""
+    return collocations.collocations(collocations.phrase_counts(read(spark, folder, "documents"))).drop("cut")
+
+
+SQL["op12_dynamic_collocations"] = collocations.SQL
