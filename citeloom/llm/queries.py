@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import collocations, importance, lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, suffix_dedup, toxicity, url_templates, vector_cells
+from citeloom.llm import collocations, importance, language, lines, metric_tree, mixing, near_duplicates, packing, pii, pruned_graph, suffix_dedup, toxicity, url_templates, vector_cells
 from citeloom.llm.common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,12 @@ def op12_dynamic_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_dynamic_collocations"] = collocations.SQL
+
+
+@query
+def op11_crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    docs = read(spark, folder, "documents")
+    model = language.train(docs, ~language.held_out(F.col("doc_id")))
+    found = language.detect(docs, model, keep=["doc_id"])
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
