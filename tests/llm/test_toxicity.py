@@ -66,3 +66,41 @@ def test_sample_is_fitted_in_a_task(make, monkeypatch):
     docs, marks = make(rows, SCHEMA), make(labels, "doc_id long, toxic int, text string")
     monkeypatch.setattr(type(docs), "toArrow", lambda self: (_ for _ in ()).throw(AssertionError("texts on the driver")))
     assert toxicity.train(docs, marks, F.lit(True)).weights.any()
+
+
+def brute_cost(z, toxic):
+    best = None
+    for t in [z.max() + 2, *((a + b) / 2 for a, b in zip(sorted(set(z), reverse=True), sorted(set(z), reverse=True)[1:])), z.min() - 2]:
+        lost, missed = (z > t)[~toxic].mean(), (z <= t)[toxic].mean()
+        if lost <= toxicity.CLEAN_LOSS and (best is None or missed + toxicity.CLEAN_WEIGHT * lost < best[0] - 1e-12):
+            best = (missed + toxicity.CLEAN_WEIGHT * lost, t)
+    return best[0]
+
+
+def test_border_is_the_cheapest():
+    rng = np.random.default_rng(4)
+    for n in (10, 80, 400):
+        toxic = rng.random(n) < 0.3
+        toxic[:2] = [True, False]
+        z = np.round(rng.normal(0, 1, n) + 1.5 * toxic, 1)  # with ties
+        called = z > toxicity.border(z, toxic)
+        assert called[~toxic].mean() <= toxicity.CLEAN_LOSS
+        assert abs((~called[toxic]).mean() + toxicity.CLEAN_WEIGHT * called[~toxic].mean() - brute_cost(z, toxic)) < 1e-9
+
+
+def test_clean_rows_stay_at_the_shipped_threshold(spark):
+    """Held-out labels of two tables of different size: the share of classes in the sample does not depend on it."""
+    for size, least in (("0.01", 0.3), ("0.1", 0.55)):
+        folder = f"/root/testdata/sf{size}"
+        docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+        model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+        truth = {r.doc_id: bool(r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+        called = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).collect()}
+        assert np.mean([not called[i] for i, t in truth.items() if not t]) >= 0.97
+        assert np.mean([called[i] for i, t in truth.items() if t]) >= least
+
+
+def test_sample_keeps_the_ratio_of_classes(make):
+    rows, labels = corpus(400)
+    chosen = toxicity.sample(make(rows, SCHEMA), make(labels, "doc_id long, toxic int, text string"), F.lit(True), rows=200).collect()
+    assert len(chosen) == 200 and 0.15 < np.mean([r.toxic for r in chosen]) < 0.35
