@@ -47,14 +47,94 @@ def ingest_failures(spark, folder):
     return ingest.prepare(raw_sources(spark, folder))[1]
 
 
-@register("ingest_run_counts", "A7, B10", None)
+# ---------------------------------------------------------------- chunk rules in SQL
+
+# Fixed value: a heading line.
+_HEAD = r"^\s{0,3}(#{1,6})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*\n?$"
+
+
+def window_fragment(name: str, docs: str) -> None:
+    """Strict word windows of ``docs`` (document_id, text)."""
+    fragment(name, f"""SELECT document_id, ordinal, text, start_char, start_char + length(text) AS end_char, words AS token_estimate, '' AS heading_path,
+            sha256(document_id || ':' || ordinal || ':' || text) AS chunk_id
+        FROM (SELECT document_id, i AS ordinal, regexp_replace(array_to_string(p[i*540+1 : i*540+600], ''), '[{inp.WS}]+$', '') AS text,
+                CASE WHEN i = 0 THEN 0 ELSE length(array_to_string(p[1 : i*540], '')) END AS start_char, len(p[i*540+1 : i*540+600]) AS words
+            FROM (SELECT *, unnest(range(CAST(greatest(1, ceil((len(p) - 60) / 540.0)) AS BIGINT))) AS i
+                FROM (SELECT document_id, regexp_extract_all(text, '[^{inp.WS}]+[{inp.WS}]*') AS p FROM {docs})))""", docs)
+
+
+def paragraph_fragments(p: str, docs: str) -> None:
+    """Paragraph-aware chunks of ``docs`` (document_id, stripped text): the fold is a recursion over the parts."""
+    marked = f"regexp_replace(text, '([^{inp.WS}])(\\n[{inp.WS}]*\\n[{inp.WS}]*)', '\\1\\2' || chr(6), 'g')"
+    marked = f"regexp_replace({marked}, '(^|\\x06)([^{inp.WS}][{inp.WS}]*)\\x06', '\\1\\2', 'g')"
+    fragment(f"{p}_cut", f"""SELECT document_id, j, r, array_to_string(w[r*540+1 : r*540+540], '') AS t, len(w[r*540+1 : r*540+540]) AS n
+        FROM (SELECT document_id, j, regexp_extract_all(par, '[^{inp.WS}]+[{inp.WS}]*') AS w
+            FROM (SELECT document_id, pars, unnest(range(1, len(pars) + 1)) AS j, unnest(pars) AS par FROM (SELECT document_id, string_split({marked}, chr(6)) AS pars FROM {docs}))),
+            range(CAST(ceil(len(w) / 540.0) AS BIGINT)) AS u(r)""", docs)
+    fragment(f"{p}_parts", f"""SELECT document_id, list(n ORDER BY j, r) AS w, list_prepend(0, list(c ORDER BY j, r)) AS c, list_prepend(0, list(e ORDER BY j, r)) AS e, list(t ORDER BY j, r) AS t
+        FROM (SELECT *, sum(n) OVER o AS c, sum(length(t)) OVER o AS e FROM {p}_cut WINDOW o AS (PARTITION BY document_id ORDER BY j, r)) GROUP BY document_id""", f"{p}_cut")
+    tail = lambda first, last: f"greatest({first}, len(list_filter(c, lambda x: x <= c[{last} + 1] - 60)))"
+    fragment(f"{p}_walk", f"""SELECT document_id, w, c, 0 AS i, 1::BIGINT AS first, NULL::BIGINT AS a, NULL::BIGINT AS b FROM {p}_parts
+        UNION ALL
+        SELECT document_id, w, c, i, CASE WHEN b IS NOT NULL THEN {tail('b', 'i')} ELSE f1 END AS first, a, b FROM (
+            SELECT document_id, w, c, i, f1, a, CASE WHEN c[i + 1] - c[f1] >= 500 THEN f1 END AS b FROM (
+                SELECT document_id, w, c, i + 1 AS i, CASE WHEN a IS NOT NULL THEN {tail('a', 'i')} ELSE first END AS f1, a FROM (
+                    SELECT *, CASE WHEN first < i + 1 AND c[i + 1] - c[first] + w[i + 1] > 600 THEN first END AS a FROM (SELECT * EXCLUDE (a, b) FROM {p}_walk WHERE i < len(w)))))""", f"{p}_parts")
+    fragment(f"{p}_groups", f"""SELECT document_id, i, 1 AS o, a AS x, i - 1 AS y FROM {p}_walk WHERE a IS NOT NULL UNION ALL SELECT document_id, i, 2, b, i FROM {p}_walk WHERE b IS NOT NULL
+        UNION ALL SELECT document_id, i, 3, first, i FROM {p}_walk WHERE i = len(w) AND first <= i AND b IS DISTINCT FROM first""", f"{p}_walk")
+    fragment(f"{p}_chunks", f"""SELECT *, start_char + length(text) AS end_char, sha256(document_id || ':' || ordinal || ':' || text) AS chunk_id, len({inp.sql_words('text')}) AS token_estimate
+        FROM (SELECT g.document_id, row_number() OVER (PARTITION BY g.document_id ORDER BY i, o) - 1 AS ordinal, e[x] AS start_char,
+            regexp_replace(array_to_string(t[x : y], ''), '[{inp.WS}]+$', '') AS text FROM {p}_groups g JOIN {p}_parts p USING (document_id))""", f"{p}_groups", f"{p}_parts")
+
+
+def markdown_fragments(p: str, docs: str) -> None:
+    """Structure-aware chunks of ``docs`` (document_id, stripped text), whose texts hold no fences."""
+    blank = f"{inp.sql_strip('line')} = ''"
+    fragment(f"{p}_lines", f"""SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at",
+            length(regexp_extract(line, '{_HEAD}', 1)) AS level, {inp.sql_strip(f"regexp_extract(line, '{_HEAD}', 2)")} AS name, {blank} AS blank
+        FROM (SELECT document_id, i, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS line FROM (SELECT document_id, string_split(text, chr(10)) AS l FROM {docs}), range(1, len(l) + 1) AS u(i))""", docs)
+    last = ", ".join(f"last_value(CASE WHEN level = {k} THEN name END IGNORE NULLS) OVER up AS n{k}, max(CASE WHEN level = {k} THEN i END) OVER up AS h{k}" for k in range(1, 7))
+    fragment(f"{p}_marked", f"""SELECT *, sum(CASE WHEN level = 0 AND (i = 1 OR blank OR before > 0) THEN 1 ELSE 0 END) OVER up AS block FROM (
+            SELECT *, lag(level) OVER (PARTITION BY document_id ORDER BY i) AS before, {last} FROM {p}_lines WINDOW up AS (PARTITION BY document_id ORDER BY i))
+        WINDOW up AS (PARTITION BY document_id ORDER BY i)""", f"{p}_lines")
+    names = ", ".join(f"CASE WHEN h{k} > coalesce(greatest({', '.join(['0', *(f'h{j}' for j in range(1, k))])}), 0) THEN {{'d': {k}, 'n': n{k}}} END" for k in range(1, 7))
+    fragment(f"{p}_blocks", f"""SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY block) AS p FROM (
+            SELECT document_id, block, min("at") AS s, max("at" + length(line)) AS e, len({inp.sql_words("string_agg(line, '' ORDER BY i)")}) AS n,
+                arg_min(list_filter([{names}], lambda x: x IS NOT NULL), i) AS heads FROM {p}_marked WHERE level = 0 GROUP BY document_id, block) WHERE n > 0""", f"{p}_marked")
+    fragment(f"{p}_walk", f"""SELECT document_id, list(n ORDER BY p) AS w, 0::BIGINT AS i, 0::BIGINT AS g, 601::BIGINT AS total FROM {p}_blocks GROUP BY document_id
+        UNION ALL SELECT document_id, w, i + 1, CASE WHEN total + w[i + 1] > 600 THEN g + 1 ELSE g END, CASE WHEN total + w[i + 1] > 600 THEN w[i + 1] ELSE total + w[i + 1] END FROM {p}_walk WHERE i < len(w)""", f"{p}_blocks")
+    fragment(f"{p}_grouped", f"""SELECT b.*, g, coalesce(sum(n) OVER (PARTITION BY document_id, g ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60 AS tail
+        FROM {p}_blocks b JOIN {p}_walk w USING (document_id) WHERE w.i = b.p""", f"{p}_blocks", f"{p}_walk")
+    fragment(f"{p}_spans", f"""SELECT o.document_id, o.g - 1 AS ordinal, coalesce(t.s, o.s) AS s, o.e, o.heads, coalesce(t.n, 0) AS overlap_words
+        FROM (SELECT document_id, g, min(s) AS s, max(e) AS e, arg_min(heads, p) AS heads FROM {p}_grouped GROUP BY document_id, g) o
+        LEFT JOIN (SELECT document_id, g + 1 AS g, min(s) AS s, sum(n) AS n FROM {p}_grouped WHERE tail GROUP BY document_id, g) t USING (document_id, g)""", f"{p}_grouped")
+    titles = "list_transform(heads, lambda h: repeat('#', h.d) || ' ' || h.n)"
+    prefix = f"CASE WHEN len(heads) > 0 AND NOT starts_with(regexp_replace(source, '^[{inp.WS}]+', ''), {titles}[-1]) THEN array_to_string(list_transform({titles}, lambda t: t || chr(10) || chr(10)), '') ELSE '' END"
+    fragment(f"{p}_chunks", f"""SELECT *, sha256(document_id || ':' || ordinal || ':' || text) AS chunk_id, greatest(1, word_count) AS token_estimate FROM (
+            SELECT document_id, ordinal, s AS start_char, e AS end_char, overlap_words, array_to_string(list_transform(heads, lambda h: h.n), ' > ') AS heading_path,
+                len({inp.sql_words('source')}) AS word_count, {prefix} || source AS text
+            FROM (SELECT s.*, substr(d.text, s.s::BIGINT + 1, (s.e - s.s)::BIGINT) AS source FROM {p}_spans s JOIN {docs} d USING (document_id)))""", f"{p}_spans", docs)
+
+
+fragment("ingested_docs", f"SELECT source_type, source_uri, sha256(source_uri || ':' || sha256(raw)) AS document_id, {inp.sql_strip('raw')} AS text FROM ingested WHERE code IS NULL", "ingested")
+fragment("ingested_plain", "SELECT * FROM ingested_docs WHERE source_type = 'text'", "ingested_docs")
+fragment("ingested_marked", "SELECT * FROM ingested_docs WHERE source_type = 'markdown'", "ingested_docs")
+window_fragment("plain_chunks", "ingested_plain")
+markdown_fragments("md", "ingested_marked")
+_by_type = ", ".join(("document_id", "ordinal", "chunk_id", "token_estimate", "heading_path", "start_char", "end_char"))
+fragment("chunks_by_type", f"SELECT {_by_type} FROM plain_chunks UNION ALL SELECT {_by_type} FROM md_chunks", "plain_chunks", "md_chunks")
+
+
+@register("ingest_run_counts", "A7, B10", sql(
+    """SELECT 'run-1' AS run_id, (SELECT count(*) FROM ingested_docs) AS document_count, (SELECT count(*) FROM chunks_by_type) AS chunk_count, f AS failed_count, CASE WHEN f > 0 THEN 'failed' ELSE 'completed' END AS status
+       FROM (SELECT count(*) AS f FROM ingested WHERE code IS NOT NULL)""", "ingested", "ingested_docs", "chunks_by_type"))
 def ingest_run_counts(spark, folder):
     docs, failures = ingest.prepare(raw_sources(spark, folder))
     run, _ = ingest.manifest("run-1", docs, ingest.chunk_documents(docs), failures)
     return run
 
 
-@register("ingest_chunks_by_type", "B2, B3, B4, B5, B10", None)
+@register("ingest_chunks_by_type", "B2, B3, B4, B5, B10", sql("SELECT * FROM chunks_by_type", "chunks_by_type"))
 def ingest_chunks_by_type(spark, folder):
     """Text by words and Markdown by structure, dispatched on the source type."""
     docs, _ = ingest.prepare(raw_sources(spark, folder))
@@ -85,10 +165,15 @@ def html_to_text(spark, folder):
     return t.select("page_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
-@register("html_structure_chunks", "B1, B2, B3, B4, B5", None)
+fragment("page_docs", "SELECT CAST(page_id AS VARCHAR) AS document_id, t AS text FROM page_text", "page_text")
+markdown_fragments("page", "page_docs")
+
+
+@register("html_structure_chunks", "B1, B2, B3, B4, B5", sql(
+    "SELECT document_id, ordinal, chunk_id, heading_path, word_count, overlap_words, start_char, end_char FROM page_chunks", "page_chunks"))
 def html_structure_chunks(spark, folder):
     pages = inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("document_id"), markup.normalise_html(F.col("html")).alias("text"))
-    return chunking.markdown_chunks(pages).select("document_id", "ordinal", "chunk_id", "heading_path", "word_count", "start_char", "end_char")
+    return chunking.markdown_chunks(pages).select("document_id", "ordinal", "chunk_id", "heading_path", "word_count", "overlap_words", "start_char", "end_char")
 
 
 @register("word_window_chunks", "B6, B7, B9", sql(
@@ -97,11 +182,26 @@ def word_window_chunks(spark, folder):
     return inp.fresh_chunks(spark, folder).select("document_id", "ordinal", "chunk_id", "start_char", "end_char", "token_estimate", "overlap_words")
 
 
-@register("paragraph_chunks", "B6, B7, B8", None)
+paragraph_fragments("para", "docs")
+_paragraph = "SELECT document_id, ordinal, chunk_id, start_char, end_char, token_estimate FROM {}"
+
+
+@register("paragraph_chunks", "B6, B7, B8", sql(_paragraph.format("para_chunks"), "para_chunks"))
 def paragraph_chunks(spark, folder):
     return chunking.paragraph_chunks(inp.docs(spark, folder)).select("document_id", "ordinal", "chunk_id", "start_char", "end_char", "token_estimate")
 
 
+fragment("spaced_docs", "SELECT document_id, regexp_replace(text, '\\n', chr(10) || ' ' || chr(10), 'g') AS text FROM docs", "docs")
+paragraph_fragments("line", "spaced_docs")
+
+
+@register("line_paragraph_chunks", "B6, B7, B8", sql(_paragraph.format("line_chunks"), "line_chunks"))
+def line_paragraph_chunks(spark, folder):
+    """Documents whose every line is a paragraph, so that groups and overlaps are made of many parts."""
+    spaced = inp.docs(spark, folder).select("document_id", F.regexp_replace("text", "\n", "\n \n").alias("text"))
+    return chunking.paragraph_chunks(spaced).select("document_id", "ordinal", "chunk_id", "start_char", "end_char", "token_estimate")
+
+
 @register("write_dispositions", "A5", sql(
     """SELECT document_id, CASE WHEN doc_id % 3 = 2 THEN 'created' WHEN doc_id % 3 = 0 THEN 'unchanged' WHEN doc_id % 2 = 0 THEN 'overwritten' ELSE 'conflict' END AS disposition FROM docs""", "docs"))
 def write_dispositions(spark, folder):

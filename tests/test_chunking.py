@@ -1,6 +1,7 @@
 """Chunk rules on hand-made documents, and the word windows against a plain loop."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -76,3 +77,48 @@ def test_sizes_are_checked():
         ch.ChunkSizes(target=100)
     with pytest.raises(ValueError):
         ch.ChunkSizes(overlap=90)
+
+
+def test_long_documents_cost_what_they_hold(spark):
+    """Every block of a long document is read a fixed number of times: twice the blocks, about twice the work."""
+    from time import perf_counter
+
+    def seconds(rule, blocks):
+        text = "\n\n".join(("# H\n\n" if i % 50 == 0 else "") + words(20) for i in range(blocks))
+        df = docs(spark, text)
+        start = perf_counter()
+        found = rule(df).selectExpr("max(end_char) AS e", "count(*) AS n").first()
+        assert found.e == len(text) and found.n >= blocks * 20 / 660
+        return perf_counter() - start
+
+    for rule in (ch.markdown_chunks, ch.paragraph_chunks):
+        seconds(rule, 100)
+        small, large = seconds(rule, 12_000), seconds(rule, 24_000)
+        assert large < 2.6 * small + 2
+
+
+def test_groups_against_a_plain_restatement():
+    sizes = ch.ChunkSizes()
+    rng = random.Random(7)
+    for _ in range(300):
+        sized = [rng.choice([1, 5, 30, 70, 200, 400, 540]) for _ in range(rng.randrange(1, 30))]
+        groups = ch.paragraph_groups(sized, sizes)
+        assert groups[0][0] == 0 and groups[-1][1] == len(sized) - 1
+        for (a, b), (c, d) in zip(groups, groups[1:]):
+            lead = sized[c : b + 1]
+            assert a <= c <= b + 1 and b <= d and (sum(lead) >= sizes.overlap or c == a)
+            assert sum(lead[1:]) < sizes.overlap
+        for (_, before), (a, b) in zip([(0, -1), *groups], groups):
+            assert sum(sized[a:b]) < sizes.target or b <= before + 1  # a long lead alone closes nothing
+
+
+def test_starts_are_running_sums(spark):
+    lengths = list(range(1, 1000))
+    df = spark.createDataFrame([(lengths,), ([5],)], "x array<int>")
+    got = [r.s for r in df.select(ch._starts(ch.F.col("x"), ch.F.lit(3)).alias("s")).collect()]
+    assert got == [[3 + sum(lengths[:i]) for i in range(len(lengths))], [3]]
+
+
+def test_blank_documents_have_no_chunks(spark):
+    df = docs(spark, "", "# only a heading", "\n\n")
+    assert ch.paragraph_chunks(df.filter("text <> '# only a heading'")).count() == 0 and ch.markdown_chunks(df).count() == 0
