@@ -42,8 +42,8 @@ def prepare(sources: DataFrame, *, max_bytes: int = MAX_BYTES) -> tuple[DataFram
     base = sources.withColumn("source_type", kind)
     lines = markup.unix_lines(F.regexp_replace("content", "^﻿", ""))
     base = base.withColumn("lines", lines)
-    text = F.when(F.col("source_type") == "html", markup.normalise_html(F.when(F.col("source_type") == "html", F.col("lines")))).otherwise(F.col("lines"))
-    base = base.withColumn("raw", text)
+    base = markup.with_visible_text(base, F.when(F.col("source_type") == "html", F.col("lines")), "raw")
+    base = base.withColumn("raw", F.when(F.col("source_type") == "html", F.col("raw")).otherwise(F.col("lines")))
     problem = (
         F.when(F.col("source_type").isNull(), "unsupported_source")
         .when(F.col("byte_size") > max_bytes, "source_too_large")

@@ -394,7 +394,7 @@ def fresh_case_hits(spark, folder):
     """Hits of every retriever a baseline may choose. Compression keeps the best sentences of each hit."""
     asked = case_queries(spark, folder)
     words = asked.select("query_id", F.array_distinct(tx.unicode_words(F.lower("query"))).alias("qw"))
-    pages = inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("evidence_id"), markup.normalise_html(F.col("html")).alias("text"))
+    pages = markup.with_visible_text(inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("evidence_id"), "html"), F.col("html"), "text").drop("html")
     texts = {"local": local_evidence(spark, folder).select("evidence_id", "text"), "web": pages, "corpus": inp.chunks(spark, folder).select(F.col("chunk_id").alias("evidence_id"), "text")}
     found = {
         "local": samples.substring_relevance(asked, local_evidence(spark, folder), 6), "web": samples.substring_relevance(asked, web_evidence(spark, folder), 6),

@@ -161,7 +161,7 @@ fragment("page_text", f"""SELECT page_id, {inp.sql_strip("regexp_replace(regexp_
 
 @register("html_to_text", "B1", sql("SELECT page_id, length(t) AS chars, sha256(t) AS digest FROM page_text", "page_text"))
 def html_to_text(spark, folder):
-    t = inp.table(spark, folder, "pages").select("page_id", markup.normalise_html(F.col("html")).alias("t"))
+    t = markup.with_visible_text(inp.table(spark, folder, "pages").select("page_id", "html"), F.col("html"), "t")
     return t.select("page_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
@@ -172,7 +172,8 @@ markdown_fragments("page", "page_docs")
 @register("html_structure_chunks", "B1, B2, B3, B4, B5", sql(
     "SELECT document_id, ordinal, chunk_id, heading_path, word_count, overlap_words, start_char, end_char FROM page_chunks", "page_chunks"))
 def html_structure_chunks(spark, folder):
-    pages = inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("document_id"), markup.normalise_html(F.col("html")).alias("text"))
+    pages = inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("document_id"), "html")
+    pages = markup.with_visible_text(pages, F.col("html"), "text")
     return chunking.markdown_chunks(pages).select("document_id", "ordinal", "chunk_id", "heading_path", "word_count", "overlap_words", "start_char", "end_char")
 
 

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from citeloom.operators import chunking as ch
-from citeloom.operators.markup import normalise_html
+from citeloom.operators.markup import with_visible_text
 
 
 def docs(spark, *texts):
@@ -59,7 +59,7 @@ def test_html_becomes_markdown_like_text(spark):
         "<pre><code class='big language-py'>x ~~~ y\n</code></pre><div>end  </div>\n\n\n\n"
     )
     df = spark.createDataFrame([(html,)], "html string")
-    got = df.select(normalise_html(df.html).alias("t")).head().t
+    got = with_visible_text(df, df.html, "t").head().t
     assert got == "## Use & care\n\nOne\n\n- a\n- b\n\n~~~~py\nx ~~~ y\n~~~~\n\nend"
 
 
@@ -122,3 +122,36 @@ def test_starts_are_running_sums(spark):
 def test_blank_documents_have_no_chunks(spark):
     df = docs(spark, "", "# only a heading", "\n\n")
     assert ch.paragraph_chunks(df.filter("text <> '# only a heading'")).count() == 0 and ch.markdown_chunks(df).count() == 0
+
+
+def visible(spark, *pages):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    return [r.t for r in with_visible_text(df, df.html, "t").orderBy("i").collect()]
+
+
+def test_hidden_elements_nest_to_any_depth(spark):
+    nested = "<template>" * 6 + "no" + "</template>" * 6
+    mixed = "<noscript><template>a</noscript>b</template>after"
+    got = visible(
+        spark, f"<p>before</p>{nested}<p>after</p>", mixed, "x<template>never closed <p>y", "</template></head>shown", "<template/>kept<script/>too<br/>end",
+        "<script>if (a < b) { '</p>' }</script>s<style>p{}</style><!-- <template> -->t", None, "")
+    assert got == ["before\n\nafter", "after", "x", "shown", "kepttoo\n\nend", "st", None, ""]
+
+
+def test_preformatted_blocks_nest_and_skip_hidden_parts(spark):
+    got = visible(
+        spark, "a<pre>one<template>no</template> two</pre>b", "<pre>lost<pre>inner</pre>outer</pre>", "<pre></pre>x", "t<pre>open to the end", "<pre><code class='language-py'>a &lt; b</code></pre>")
+    assert got == ["a\n\n~~~\none two\n~~~\nb", "~~~\ninner\n~~~\n\n~~~\nouter\n~~~", "x", "t", "~~~py\na < b\n~~~"]
+
+
+def test_references_are_those_of_html(spark):
+    import html
+
+    texts = ["a &amp; b &copy &notit; &#65;&#x1F600; &bogus; &;&", "&amp;amp; &lt;p&gt; not a tag", "no references", "&NotEqualTilde;&#0;&#xD800;"]
+    assert visible(spark, *texts) == [html.unescape(t) for t in texts]
+
+
+def test_a_large_page_costs_what_it_holds(spark):
+    page = "".join(f"<div><p>word{i} &amp; more</p><template><template>x</template></template></div>" for i in range(20_000))
+    got = visible(spark, page)[0]
+    assert got.startswith("word0 & more\n\nword1 & more") and got.count("\n\n") == 19_999
