@@ -5,15 +5,18 @@ into ``SHARDS`` shards, and steps scan one shard after the other, round and roun
 the first round. A longer phrase is active from the step after both its parts (without the last and without
 the first word) have reached ``LEAST`` so far, and stays so for one full cycle; lengths are mixed in every
 scan. The run ends when no part became frequent in a whole cycle, so each phrase that can reach ``LEAST``
-has met every shard. A phrase keeps one count per shard, and a repeated count of a shard replaces it by the
-same number, so totals are exact.
+has met every shard.
+
+A scan's counts are one table, kept for a cycle. A phrase with ``LEAST`` occurrences in at most ``SHARDS``
+shards has ``LEAST / SHARDS`` in one of them, so only phrases that had so many in some shard are carried
+from step to step, with one count per shard: those of the shards before are read back when a phrase joins,
+and a repeated count of a shard is the same number again, so totals are exact.
 
 Scans learn what is active from two bit fields of ``BITS`` bits each (parts that are frequent, and those that
 became so within the last cycle), built by tasks and broadcast: their size is fixed. Bits of other phrases
 may be set by chance; then a phrase is counted that need not be, which changes no total. Counts are added up
 by block, by task and then by phrase, so a very common phrase sends one row a task.
-The table of counts is written at every step; phrases that are not frequent leave it when they were not seen
-for a cycle, and the tables of earlier steps are deleted.
+Tables of steps are deleted when no later step reads them.
 
 Defined cases: null and empty texts have no words; a null language is ``und`` (together with rows of that
 name); repeated rows count as often as they stand there; an empty table gives none; other columns never
@@ -47,7 +50,7 @@ BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 OUTSIDE = BREAK.copy()
 OUTSIDE[[9, 32]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
-FIELDS = "lang string, phrase string, k int, c long"
+FIELDS = "lang string, phrase string, c long"
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -114,8 +117,7 @@ def count_block(batch: pa.RecordBatch, active: Active | None, every_word: bool,
         texts = [distinct.take(pa.array(parts[:, j])) for j in range(parts.shape[1])]
         joined = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if len(texts) > 1 else texts[0]
         return pa.RecordBatch.from_arrays(
-            [names.take(pa.array(of)).cast(pa.string()), joined.cast(pa.binary()).cast(pa.string()), pa.array(np.full(len(of), len(texts), np.int32)), pa.array(counts)],
-            names=["lang", "phrase", "k", "c"],
+            [names.take(pa.array(of)).cast(pa.string()), joined.cast(pa.binary()).cast(pa.string()), pa.array(counts)], names=["lang", "phrase", "c"]
         )
 
     code, own = pd.factorize(lang * d + word)
@@ -125,7 +127,7 @@ def count_block(batch: pa.RecordBatch, active: Active | None, every_word: bool,
         n = np.bincount(lang, minlength=len(names))
         used = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays(
-            [names.take(pa.array(used)).cast(pa.string()), pa.array([""] * len(used)), pa.array(np.zeros(len(used), np.int32)), pa.array(n[used])], names=["lang", "phrase", "k", "c"]
+            [names.take(pa.array(used)).cast(pa.string()), pa.array([""] * len(used)), pa.array(n[used])], names=["lang", "phrase", "c"]
         )
     if active is None:
         return
@@ -154,7 +156,7 @@ def count_block(batch: pa.RecordBatch, active: Active | None, every_word: bool,
 
 
 def scan(shard: DataFrame, active: Active | None, every_word: bool, longest: int) -> DataFrame:
-    """(lang, phrase, k, c) of one shard, several rows a phrase; ``k`` 0 counts all words of a language."""
+    """(lang, phrase, c) of one shard, several rows a phrase; the empty phrase counts all words of a language."""
     held = shard.sparkSession.sparkContext.broadcast(active)  # two fields of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,28 +211,37 @@ def phrase_counts(
     dealt = dealt.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(f"{root}/texts")
     texts = spark.read.schema("text string, lang string, shard int").parquet(f"{root}/texts")
+    share = -(-least // shards)
     each = [f"c{j}" for j in range(shards)]
-    state = spark.createDataFrame([], "lang string, phrase string, k int, since int, seen int, " + ", ".join(f"{c} long" for c in each))
+    counts = [F.coalesce(c, F.lit(0)) for c in each]
+    known = spark.createDataFrame([], "lang string, phrase string, k int, since int, " + ", ".join(f"{c} long" for c in each))
+    logs: dict[int, DataFrame] = {}
     for step in itertools.count():
-        fields = bit_fields(state, step - shards, longest, bits) if step else None
+        fields = bit_fields(known, step - shards, longest, bits) if step else None
         if step >= shards and not fields[1].any():
             break
         scanned = scan(texts.filter(F.col("shard") == step % shards), None if fields is None else Active(fields), step < shards, longest)
-        rows = scanned.select("lang", "phrase", "k", "c").unionByName(state, allowMissingColumns=True)
-        here = each[step % shards]
-        merged = rows.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("c").alias("c"), *(F.max(x).alias(x) for x in ("since", "seen", *each)))
-        merged = merged.withColumn(here, F.coalesce("c", here)).withColumn("seen", F.when(F.col("c").isNotNull(), step).otherwise(F.col("seen")))
-        total = sum((F.coalesce(x, F.lit(0)) for x in each), F.lit(0).cast("long"))
-        reached = F.when(total >= least, F.coalesce("since", F.lit(step)))
-        merged = merged.withColumn("since", reached).filter(F.col("since").isNotNull() | (F.col("k") == 0) | (F.col("seen") > step - shards))
-        path = f"{root}/step-{step}"
-        merged.drop("c").write.option("compression", "zstd").parquet(path)
-        state = spark.read.schema(state.schema).parquet(path)
-        if step:
-            forget(spark, f"{root}/step-{step - 1}")
+        logs[step] = _written(scanned.groupBy("lang", "phrase").agg(F.sum("c").alias("c")), f"{root}/log-{step}")
+        rise = logs[step].filter((F.col("c") >= share) | (F.col("phrase") == "")).select("lang", "phrase")
+        names = known.select("lang", "phrase").unionByName(rise).distinct()
+        rows = known
+        for j, log in logs.items():
+            rows = rows.unionByName(log.withColumnRenamed("c", each[j % shards]).join(names, ["lang", "phrase"], "left_semi"), allowMissingColumns=True)
+        merged = rows.groupBy("lang", "phrase").agg(F.min("since").alias("since"), *(F.max(c).alias(c) for c in each))
+        reached = F.when(sum(counts[1:], counts[0]) >= least, F.coalesce("since", F.lit(step)))
+        size = F.when(F.col("phrase") == "", 0).otherwise(F.regexp_count("phrase", F.lit(" ")) + 1)
+        known = _written(merged.select("lang", "phrase", size.alias("k"), reached.alias("since"), *each), f"{root}/known-{step}")
+        forget(spark, f"{root}/known-{step - 1}")
+        if step - shards + 1 in logs:
+            logs.pop(step - shards + 1)
+            forget(spark, f"{root}/log-{step - shards + 1}")
     forget(spark, f"{root}/texts")
-    total = sum((F.coalesce(x, F.lit(0)) for x in each), F.lit(0).cast("long"))
-    return state.select("lang", "phrase", "k", total.alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
+    return known.select("lang", "phrase", "k", sum(counts[1:], counts[0]).alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _run(words: Column, start: Column | int, size: Column | int) -> Column:
