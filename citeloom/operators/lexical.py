@@ -157,42 +157,77 @@ def rejected_queries(queries: DataFrame, k: int = 10, *, normalise: bool = True)
     return queries.select("query_id", reason.alias("reason")).filter("reason is not null")
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame, *, normalise: bool = True) -> DataFrame:
-    """``(query_id, position, score)`` for chunks sharing at least one term with the query."""
+def filter_places(index: LexicalIndex, attributes: DataFrame | None, fields: tuple[str, ...]) -> DataFrame:
+    """``(position, *fields)`` of every chunk; ``attributes(chunk_id, ...)`` adds what the index does not hold."""
+    own = [f for f in fields if f == "document_id"]
+    base = index.chunks.select("position", "chunk_id", *own)
+    more = [f for f in fields if f not in own]
+    if more:
+        base = base.join(attributes.select("chunk_id", *more), "chunk_id")
+    return base.select("position", *fields)
+
+
+def bm25_scores(
+    index: LexicalIndex, queries: DataFrame, *, normalise: bool = True, places: DataFrame | None = None, fields: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(query_id, position, score)`` for chunks sharing at least one term with the query.
+
+    With ``fields`` a query's own columns of those names (NULL for any) restrict the chunks. Matches outside
+    go before anything is added up: a document is a range of positions, which is part of the join with the
+    postings; other attributes are met by position.
+    """
     avgdl = index.meta.select("avgdl").scalar()
     weighted = query_terms(queries, normalise=normalise).join(index.terms, "term")
     norm = F.lit(index.k1) * (F.lit(1.0 - index.b) + F.lit(index.b) * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("qtf") * (F.col("tf") * (index.k1 + 1.0)) / (F.col("tf") + norm)
-    return (
-        weighted.join(index.postings, "term")
-        .groupBy("query_id", "position")
-        .agg(F.sum(part).alias("score"))
-    )
+    matched = weighted.join(index.postings, "term")
+    if fields:
+        wanted = queries.select("query_id", *[F.col(f).alias(f"only_{f}") for f in fields])
+        others = [f for f in fields if f != "document_id"]
+        if "document_id" in fields:
+            asked = wanted.filter("only_document_id is not null").select("query_id", F.col("only_document_id").alias("document_id"))
+            bounds = asked.join(index.chunks.select("document_id", "position"), "document_id").groupBy("query_id").agg(F.min("position").alias("lo"), F.max("position").alias("hi"))
+            none = F.col("only_document_id").isNotNull() & F.col("lo").isNull()
+            wanted = wanted.join(bounds, "query_id", "left").withColumns({"lo": F.when(none, 0).otherwise(F.col("lo")), "hi": F.when(none, 0).otherwise(F.col("hi"))})
+        matched = weighted.join(wanted, "query_id").join(index.postings, "term")
+        if "document_id" in fields:
+            matched = matched.filter(F.col("lo").isNull() | F.col("position").between(F.col("lo"), F.col("hi")))
+        if others:
+            matched = matched.join(places.select("position", *others), "position")
+            for f in others:
+                matched = matched.filter(F.col(f"only_{f}").isNull() | (F.col(f) == F.col(f"only_{f}")))
+    return matched.groupBy("query_id", "position").agg(F.sum(part).alias("score"))
 
 
 def bm25_top_k(
-    index: LexicalIndex, queries: DataFrame, k: int, *, pad: bool = True, normalise: bool = True
+    index: LexicalIndex, queries: DataFrame, k: int, *, pad: bool = True, normalise: bool = True,
+    attributes: DataFrame | None = None, fields: tuple[str, ...] = ()
 ) -> DataFrame:
     """Best ``k`` chunks per query by score, then corpus order; scores are compared at nine decimals.
 
+    ``fields`` names columns of ``queries`` that restrict a query to chunks with that value (NULL: all);
+    ``attributes(chunk_id, ...)`` holds the chunks' values. Padding stays inside what is allowed.
+
     Only (query, position, score) triples are ranked; ids are joined to the few rows that are left.
     With ``pad`` a query with fewer than ``k`` positive matches is filled with zero-score chunks in
     corpus order, as if every chunk had been scored.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    scored = bm25_scores(index, queries, normalise=normalise).select("query_id", "position", F.round("score", 9).alias("r"))
+    places = filter_places(index, attributes, fields) if fields else None
+    scored = bm25_scores(index, queries, normalise=normalise, places=places, fields=fields).select("query_id", "position", F.round("score", 9).alias("r"))
     order = Window.partitionBy("query_id").orderBy(F.desc("r"), "position")
     best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if pad:
-        full = best.filter("r <> 0").drop("rank").unionByName(_zero_fill(index, queries, best, scored, k, normalise))
+        full = best.filter("r <> 0").drop("rank").unionByName(_zero_fill(index, queries, best, scored, k, normalise, places, fields))
         best = full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     ids = index.chunks.select("position", "chunk_id", "document_id", "ordinal")
     return best.join(ids, "position").select("query_id", "chunk_id", "document_id", "ordinal", "rank", F.col("r").alias("score"))
 
 
 def _zero_fill(
-    index: LexicalIndex, queries: DataFrame, best: DataFrame, scored: DataFrame, k: int, normalise: bool
+    index: LexicalIndex, queries: DataFrame, best: DataFrame, scored: DataFrame, k: int, normalise: bool,
+    places: DataFrame | None = None, fields: tuple[str, ...] = ()
 ) -> DataFrame:
     """Zero-score places for queries short of ``k`` positive scores.
 
@@ -207,13 +242,25 @@ def _zero_fill(
     below = negative.groupBy("query_id").agg(F.count("*").alias("m"))
     p, m = F.coalesce("p", F.lit(0)), F.coalesce("m", F.lit(0))
     short = valid.join(have, "query_id", "left").filter(p < k).join(below, "query_id", "left").select("query_id", (p + m + k).alias("need"))
+    taken = positive.unionByName(negative)
+    free = lambda rows: rows.join(taken, ["query_id", "position"], "left_anti").select("query_id", "position", F.lit(0.0).alias("r"))
     size = index.meta.select("n").scalar()
-    places = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("need"), size)))
-    return (
-        short.select("query_id", places.alias("position"))
-        .join(positive.unionByName(negative), ["query_id", "position"], "left_anti")
-        .select("query_id", "position", F.lit(0.0).alias("r"))
-    )
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("need"), size))).alias("position")
+    if not fields:
+        return free(short.select("query_id", first))
+    asked = short.join(queries.select("query_id", *fields), "query_id")
+    rows = asked.filter(" and ".join(f"{f} is null" for f in fields)).select("query_id", first)
+    for n in range(1, 1 << len(fields)):  # one equality join for each set of restricted fields
+        on = [f for i, f in enumerate(fields) if n >> i & 1]
+        some = asked.filter(" and ".join(f"{f} is {'not ' if f in on else ''}null" for f in fields)).select("query_id", "need", *on)
+        order = Window.partitionBy(*on).orderBy("position")
+        groups = some.groupBy(*on).agg(F.max("need").alias("most"))
+        allowed = places.join(groups, on).withColumn("place", F.row_number().over(order))
+        near = allowed.filter(F.col("place") <= 2 * k)  # without negative scores no query needs more; the limit works before the shuffle
+        far = allowed.filter((F.col("place") > 2 * k) & (F.col("place") <= F.col("most")) & (F.col("most") > 2 * k))
+        each = near.unionByName(far).select("position", "place", *on)
+        rows = rows.unionByName(some.join(each, on).filter("place <= need").select("query_id", "position"))
+    return free(rows)
 
 
 def index_problems(chunks: DataFrame, *, normalise: bool = True) -> DataFrame:

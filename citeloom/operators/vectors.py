@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -152,33 +152,39 @@ def cosine_top_k(
     *,
     query_id: str = "query_id",
     vector_id: str = "chunk_id",
-    filter_column: str | None = None,
+    filter_column: str | Sequence[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact ``(query_id, vector_id, score, rank)``: cosine at nine decimals, ties by id.
 
     Every task multiplies its own vectors with the query matrix and keeps ``k`` rows per query, so
     what is shuffled does not grow with the vector table. Queries may carry ``filter_value``: with
-    ``filter_column`` only vectors holding that value are considered for that query.
+    ``filter_column`` only vectors holding that value are considered for that query (NULL: all). With several
+    columns, queries hold them under their own names and all must agree. A column that every query
+    restricts also prunes the vector table before it is read (its partitions, if it is laid out by it).
 
     The query matrix is sent to the tasks only after its size was checked; a larger query table is
     met block against block through an ordinary shuffle instead.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    extra = [filter_column] if filter_column else []
-    wanted = ["filter_value"] if filter_column else []
-    q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), *wanted)
-    v = vectors.select(F.col(vector_id).alias("vector_id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.col(c).alias("filter_value") for c in extra])
-    id_types = (q.schema["query_id"].dataType.simpleString(), v.schema["vector_id"].dataType.simpleString())
+    extra = [filter_column] if isinstance(filter_column, str) else list(filter_column or [])
+    wanted = ["filter_value"] if isinstance(filter_column, str) else extra
+    tags = [f"filter_{i}" for i in range(len(extra))]
+    q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.col(c).alias(t) for c, t in zip(wanted, tags)])
+    id_types = (q.schema["query_id"].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString())
     schema = f"query_id {id_types[0]}, vector_id {id_types[1]}, score double"
-    shape = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).head()
+    shape = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), *[F.count(t).alias(t) for t in tags]).head()
+    for column, tag in zip(extra, tags):
+        if shape.n and shape[tag] == shape.n:
+            vectors = vectors.join(q.select(F.col(tag).alias(column)).distinct(), column, "left_semi")
+    v = vectors.select(F.col(vector_id).alias("vector_id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.col(c).alias(t) for c, t in zip(extra, tags)])
     if not shape.n:
         found = q.sparkSession.createDataFrame([], schema)
     elif shape.n * shape.d * 8 <= broadcast_bytes:
-        found = v.mapInArrow(_scan_with(q.toArrow(), k, bool(extra)), schema)
+        found = v.mapInArrow(_scan_with(q.toArrow(), k, tags), schema)
     else:
-        found = _block_join(q, v, k, bool(extra), schema)
+        found = _block_join(q, v, k, tags, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -187,10 +193,10 @@ def cosine_top_k(
     )
 
 
-def _scan_with(table: pa.Table, k: int, filtered: bool):
+def _scan_with(table: pa.Table, k: int, filters: Sequence[str] = ()):
     qids = np.array(table.column("query_id").to_pylist(), dtype=object)
     qmat = _normalised(_matrix(table.column("embedding")))
-    wanted = table.column("filter_value").to_pylist() if filtered else None
+    wanted = [table.column(f).to_pylist() for f in filters]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_ids = [np.array([], dtype=object)] * len(qids)
@@ -202,14 +208,17 @@ def _scan_with(table: pa.Table, k: int, filtered: bool):
             if not len(ids):
                 continue
             vmat, step = _matrix(batch.column("embedding")), max(1, SCORE_BYTES // (8 * len(ids)))
-            tags = np.array(batch.column("filter_value").to_pylist(), dtype=object) if filtered else None
+            tags = [np.array(batch.column(f).to_pylist(), dtype=object) for f in filters]
             for i in range(len(qids)):
                 if i % step == 0:
                     scores = _score_block(qmat[i : i + step], vmat)
                 row, names = scores[i % step], ids
-                if filtered and wanted[i] is not None:
-                    at = np.flatnonzero(tags == wanted[i])
-                    row, names = row[at], names[at]
+                inside = np.ones(len(ids), bool)
+                for tag, want in zip(tags, wanted):
+                    if want[i] is not None:
+                        inside &= np.asarray(tag == want[i], bool)
+                if not inside.all():
+                    row, names = row[inside], names[inside]
                 row, names = np.concatenate([keep_scores[i], row]), np.concatenate([keep_ids[i], names])
                 best = _best(row, names, k)
                 keep_scores[i], keep_ids[i] = row[best], names[best]
@@ -227,19 +236,19 @@ def _scan_with(table: pa.Table, k: int, filtered: bool):
     return run
 
 
-def _block_join(q: DataFrame, v: DataFrame, k: int, filtered: bool, schema: str) -> DataFrame:
+def _block_join(q: DataFrame, v: DataFrame, k: int, filters: Sequence[str], schema: str) -> DataFrame:
     """Blocks of queries against blocks of vectors; every pair of blocks is one bounded task group."""
     counts = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (q, v)]
     place = lambda df, key, n: (F.pmod(F.xxhash64(key), F.lit(n))).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("qb", place(q, "query_id", counts[0])).withColumn("vb", spread(counts[1]))
     right = v.withColumn("vb", place(v, "vector_id", counts[1])).withColumn("qb", spread(counts[0]))
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_pair_with(k, filtered), schema)
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_pair_with(k, filters), schema)
 
 
-def _pair_with(k: int, filtered: bool):
+def _pair_with(k: int, filters: Sequence[str] = ()):
     def pair(qs: pa.Table, vs: pa.Table) -> pa.Table:
-        out = list(_scan_with(qs, k, filtered)(iter(vs.to_batches()))) if len(qs) else []
+        out = list(_scan_with(qs, k, filters)(iter(vs.to_batches()))) if len(qs) else []
         kinds = [("query_id", qs.schema.field("query_id").type), ("vector_id", vs.schema.field("vector_id").type), ("score", pa.float64())]
         return pa.Table.from_batches(out, pa.schema(kinds))
 
@@ -335,7 +344,7 @@ def _in_buckets(q: DataFrame, v: DataFrame, k: int, planes: np.ndarray, bits: in
     right = right.join(sizes, "bucket").withColumn("vb", place("vector_id", "vs")).withColumn("qb", spread("qs")).drop("qs", "vs")
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, vector_id {v.schema['vector_id'].dataType.simpleString()}, score double"
     cell = ("bucket", "qb", "vb")
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_pair_with(k, False), schema)
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_pair_with(k), schema)
     return found.groupBy("query_id", "vector_id").agg(F.max("score").alias("score"))
 
 

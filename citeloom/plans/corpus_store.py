@@ -28,9 +28,7 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     spark = docs.sparkSession
     docs.write.mode("errorifexists").parquet(f"{root}/documents")
     stored = spark.read.parquet(f"{root}/documents")
-    windows = chunking.word_windows(stored, sizes).join(
-        stored.select("document_id", "doc_id", "source", "lang", "source_type"), "document_id"
-    )
+    windows = chunking.word_windows(stored, sizes, keep=("doc_id", "source", "lang", "source_type"))
     windows.write.parquet(f"{root}/chunks")
     chunks = spark.read.parquet(f"{root}/chunks")
     counted = lexical.with_term_counts(lexical.tokenised(chunks))
@@ -40,7 +38,7 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     places = spark.read.parquet(f"{root}/positions")
     lexical.save_index(lexical.index_from_counts(counts, places=places), f"{root}/lexical")
     embedded = vectors.hashed_embedding(lexical.each_term(counts, "chunk_id"), "chunk_id", dim=dim)
-    embedded.join(chunks.select("chunk_id", "source"), "chunk_id").write.partitionBy("source").parquet(f"{root}/vectors")
+    embedded.join(chunks.select("chunk_id", "document_id", "source"), "chunk_id").write.partitionBy("source").parquet(f"{root}/vectors")
 
 
 def load(spark: SparkSession, root: str) -> CorpusStore:

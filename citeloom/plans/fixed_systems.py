@@ -1,4 +1,4 @@
-"""Fixed systems: one search, packing, and a gate on the supplied answer."""
+"""Systems to compare: fixed ones (one search, packing, and a gate on the supplied answer) and the adaptive loop."""
 
 from __future__ import annotations
 
@@ -44,3 +44,13 @@ def system_outputs(rows: DataFrame, answers: DataFrame, *, max_chunks: int = 6,
         F.when(F.col("abstention_reason").isNull(), "completed").otherwise("abstained").alias("status"),
         F.col("retrieved").alias("retrieved_chunk_ids"), calls.alias("retrieval_calls"),
     )
+
+
+def adaptive_outputs(state: DataFrame, evidence: DataFrame, name: str = "adaptive") -> DataFrame:
+    """Outputs of the retrieval loop in the form of the fixed systems, from its finished states and evidence."""
+    held = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("e"))
+    df = state.join(held, "query_id", "left")
+    ids = F.coalesce(F.transform("e", lambda x: x["chunk_id"]), F.array().cast("array<string>"))
+    return df.select(
+        F.lit(name).alias("system_name"), "query_id", "answer", "abstention_reason", "status", ids.alias("retrieved_chunk_ids"), "retrieval_calls",
+    )

@@ -7,11 +7,13 @@ work to repeat after a lost executor grows with the rounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.functions import text as tx
 from citeloom.functions.checks import violations
@@ -21,7 +23,60 @@ from citeloom.operators import fusion
 from citeloom.session import cut_lineage
 
 Search = Callable[[DataFrame], DataFrame]
+#: A step of the loop that can be exchanged: it is given all queries at once and adds one column.
+Step = Callable[[DataFrame], DataFrame]
 ROUTES = ("sparse", "dense", "hybrid")
+DECISION = T.StructType().add("action", "string").add("route", "string").add("reason", "string").add("confidence", "double")
+REFINED = T.StructType().add("query", "string").add("problem", "string")
+
+
+def query_features(df: DataFrame) -> DataFrame:
+    """The extractor: feature columns of the active query."""
+    return ct.query_features(df, "active_query")
+
+
+def rule_controller(df: DataFrame) -> DataFrame:
+    """``decision`` by the ordered rules."""
+    return df.withColumn("decision", ct.rule_decision())
+
+
+def learned_controller(policy: DataFrame, *, threshold: float = 0.50) -> Step:
+    """``decision`` by stored or fitted parameters; unsure and spent queries fall back to the rules and guards."""
+
+    def step(df: DataFrame) -> DataFrame:
+        scored = ct.score_policy(df.withColumn("features", ct.feature_vector()), policy)
+        return scored.withColumn("decision", ct.learned_decision(threshold=threshold)).drop("features", "predicted", "probability")
+
+    return step
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """The reformulator: ``refined`` holds the wider query, or why there is none; ``before`` lists what was asked."""
+    return df.withColumn("refined", ct.reformulate(F.col("active_query"), F.col("before")))
+
+
+def by_function(column: str, kind: T.DataType, function: Callable[[pd.DataFrame], Iterable]) -> Step:
+    """A step made of a Python function: it is given a frame of rows and returns one value for each."""
+
+    def step(df: DataFrame) -> DataFrame:
+        schema = T.StructType([*df.schema.fields, T.StructField(column, kind)])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame.assign(**{column: pd.Series(list(function(frame)), index=frame.index, dtype=object)})
+
+        return df.mapInPandas(run, schema)
+
+    return step
+
+
+def unusable_decision(decision: Column) -> Column:
+    """Why a decision cannot be followed, or NULL."""
+    action, route = decision["action"], decision["route"]
+    asks = action.isin("retrieve_sparse", "retrieve_dense", "retrieve_hybrid")
+    return F.when(action.isNull() | ~action.isin(*ct.ACTIONS), "unknown_action").when(
+        asks & F.coalesce(F.concat(F.lit("retrieve_"), route) != action, F.lit(True)), "route_differs_from_action"
+    ).when((action == "abstain") & decision["reason"].isNull(), "abstention_without_reason")
 
 
 @dataclass(frozen=True)
@@ -51,7 +106,7 @@ def initial_state(queries: DataFrame, limits: LoopLimits = LoopLimits()) -> Data
         F.lit(0).alias("retrieval_calls"), F.lit(0).alias("iteration_count"),
         F.lit(limits.max_retrieval_calls).alias("max_retrieval_calls"), F.lit(limits.max_iterations).alias("max_iterations"),
         F.lit("unknown").alias("evidence_status"), F.lit(0.0).alias("sufficiency_score"), F.lit(0.0).alias("conflict_score"),
-        texts.alias("tried_routes"), texts.alias("attempts"), texts.alias("last_ids"), F.lit(False).alias("refinement_ready"), F.lit(False).alias("fallback_used"),
+        F.lit(0).alias("evidence_count"), texts.alias("tried_routes"), texts.alias("attempts"), texts.alias("last_ids"), F.lit(False).alias("refinement_ready"), F.lit(False).alias("fallback_used"),
         F.lit("decide").alias("at"),
     )
 
@@ -67,17 +122,26 @@ def _stop(df: DataFrame, reason: Column) -> DataFrame:
     })
 
 
-def decide(state: DataFrame, available: tuple[str, ...] = ROUTES) -> DataFrame:
-    """Apply the rules to running queries and check the guards of a retrieval."""
+def decide(state: DataFrame, available: tuple[str, ...] = ROUTES, *, extractor: Step = query_features, controller: Step = rule_controller) -> DataFrame:
+    """Ask the controller about the running queries whose turn it is, and check the guards of a retrieval.
+
+    Only they are given to the extractor and the controller; a decision that cannot be followed ends in
+    an abstention for ``invalid_decision``.
+    """
     columns = state.columns
-    df = ct.query_features(state, "active_query").withColumn("d", ct.rule_decision())
-    turn = (F.col("status") == "running") & (F.col("at") == "decide")
-    df = df.withColumns({
-        "next_action": F.when(turn, F.col("d.action")).otherwise(F.col("next_action")),
-        "route": F.when(turn, F.coalesce("d.route", "route")).otherwise(F.col("route")),
-        "reason_now": F.when(turn & (F.col("d.action") == "abstain"), F.col("d.reason")),
+    asked = (F.col("status") == "running") & (F.col("at") == "decide")
+    judged = controller(extractor(state.filter(asked))).select(*columns, "decision")
+    rest = state.filter(~asked).withColumn("decision", F.lit(None).cast(DECISION))
+    df = judged.unionByName(rest).withColumn("turn", F.col("decision").isNotNull()).withColumn("d", F.col("decision"))
+    turn = F.col("turn")
+    bad = turn & unusable_decision(F.col("d")).isNotNull()
+    df = df.withColumn("bad", bad).withColumns({
+        "next_action": F.when(turn, F.when(F.col("bad"), "abstain").otherwise(F.col("d.action"))).otherwise(F.col("next_action")),
+        "route": F.when(turn & ~F.col("bad"), F.coalesce("d.route", "route")).otherwise(F.col("route")),
+        "reason_now": F.when(F.col("bad"), "invalid_decision").when(turn & (F.col("d.action") == "abstain"), F.col("d.reason")),
     }).withColumn("at", F.when(turn, edge_after_decision(F.col("abstention_reason"), F.col("next_action"))).otherwise(F.col("at")))
     df = _stop(df, F.col("reason_now"))
+    df = _stop(df, F.when(F.col("at") == "abstain", "evidence_below_threshold"))
     # A route nobody serves costs no call and is replaced once by the first untried one.
     missing = (F.col("at") == "retrieve") & ~F.col("route").isin(*available)
     untried = F.get(F.array_except(F.array(*[F.lit(r) for r in available]), F.array_union("tried_routes", F.array("route"))), F.lit(0))
@@ -134,41 +198,54 @@ def evaluate(state: DataFrame, candidates: DataFrame, scores: DataFrame | None,
     chosen = rows.join(picked, ["query_id", "chunk_id"]).withColumn("position", F.col("at") + 1).drop("at")
     chosen = cut_lineage(chosen.withColumn("citation_id", F.concat(F.lit("C"), "position")))
     scored = ev.sufficiency(alive.withColumnRenamed("original_query", "query"), chosen, sufficient=limits.sufficient, low=limits.low)
-    df = state.join(scored.select("query_id", F.col("score").alias("s"), F.col("status").alias("es")), "query_id", "left")
+    sizes = chosen.groupBy("query_id").agg(F.count("*").cast("int").alias("ec"))
+    df = state.join(scored.select("query_id", F.col("score").alias("s"), F.col("status").alias("es")), "query_id", "left").join(sizes, "query_id", "left")
     here = F.col("s").isNotNull()
     df = df.withColumns({
         "sufficiency_score": F.when(here, F.col("s")).otherwise(F.col("sufficiency_score")),
         "evidence_status": F.when(here, F.col("es")).otherwise(F.col("evidence_status")),
+        "evidence_count": F.when(here, F.coalesce("ec", F.lit(0))).otherwise(F.col("evidence_count")),
     })
     after = edge_after_evaluation(
         F.col("abstention_reason"), F.col("evidence_status"), F.col("iteration_count"), F.col("max_iterations"), F.col("retrieval_calls"), F.col("max_retrieval_calls")
     )
-    df = df.withColumn("at", F.when(here, after).otherwise(F.col("at"))).drop("s", "es")
+    df = df.withColumn("at", F.when(here, after).otherwise(F.col("at"))).drop("s", "es", "ec")
     return _stop(df, F.when(F.col("at") == "abstain", "evidence_below_threshold")), chosen
 
 
-def refine(state: DataFrame) -> DataFrame:
-    """Widen the active query of everything waiting for it."""
-    turn = (F.col("status") == "running") & (F.col("at") == "reformulate")
+def refine(state: DataFrame, reformulator: Step = widen) -> DataFrame:
+    """Widen the active query of everything waiting for it; a refused, empty or repeated query ends in an abstention."""
+    columns = state.columns
+    asked = (F.col("status") == "running") & (F.col("at") == "reformulate")
     before = F.concat(F.transform("attempts", lambda a: F.substring_index(a, "\x1f", -1)), F.array("original_query", "active_query"))
-    df = state.withColumn("r", ct.reformulate(F.col("active_query"), before))
-    df = _stop(df, F.when(turn & F.col("r.problem").isNotNull(), "duplicate_reformulation"))
-    go = turn & (F.col("status") == "running")
+    waiting = reformulator(state.filter(asked).withColumn("before", before)).select(*columns, "refined")
+    df = waiting.unionByName(state.filter(~asked).withColumn("refined", F.lit(None).cast(REFINED)))
+    turn = F.col("at") == "reformulate"
+    spent = F.when(F.col("retrieval_calls") >= F.col("max_retrieval_calls"), "retrieval_budget_exhausted").when(F.col("iteration_count") >= F.col("max_iterations"), "iteration_budget_exhausted")
+    df = _stop(df, F.when(turn, spent))
+    none = F.col("refined").isNull() | F.col("refined.problem").isNotNull() | tx.is_blank(F.col("refined.query")) | (F.length("refined.query") > 1000)
+    again = F.array_contains(F.transform(before, ct.squash), ct.squash(F.col("refined.query")))
+    df = _stop(df, F.when((F.col("at") == "reformulate") & (none | F.coalesce(again, F.lit(False))), "duplicate_reformulation"))
+    go = (F.col("at") == "reformulate") & (F.col("status") == "running")
     df = df.withColumn("go", go).withColumns({
-        "active_query": F.when(F.col("go"), F.col("r.query")).otherwise(F.col("active_query")),
+        "active_query": F.when(F.col("go"), F.col("refined.query")).otherwise(F.col("active_query")),
         "iteration_count": F.col("iteration_count") + F.col("go").cast("int"),
         "refinement_ready": F.col("refinement_ready") | F.col("go"),
         "at": F.when(F.col("go"), "decide").otherwise(F.col("at")),
     })
-    return _stop(df, F.when(F.col("go") & (F.col("iteration_count") >= F.col("max_iterations")), "iteration_budget_exhausted")).drop("r", "go")
+    return _stop(df, F.when(F.col("go") & (F.col("iteration_count") >= F.col("max_iterations")), "iteration_budget_exhausted")).select(*columns)
 
 
 def run_loop(
     queries: DataFrame, search: dict[str, Search], chunks: DataFrame, *, rerank: Callable[[DataFrame], DataFrame] | None = fusion.overlap_scores,
-    limits: LoopLimits = LoopLimits(),
+    limits: LoopLimits = LoopLimits(), extractor: Step = query_features, controller: Step = rule_controller, reformulator: Step = widen,
 ) -> tuple[DataFrame, DataFrame]:
     """Final states and packed evidence of all queries.
 
+    ``extractor``, ``controller`` and ``reformulator`` are steps over all waiting queries, made of column
+    expressions or of a Python function (``by_function``). A controller may ask for a reformulation before
+    any search, so there are at most as many rounds as searches and reformulations together.
+
     ``search`` maps a route to a function from ``(query_id, query)`` to ``(query_id, chunk_id, rank,
     score)``; each round calls it once per route for all queries on that route. ``chunks``:
     ``chunk_id, document_id, title, source_uri, text``.
@@ -176,12 +253,16 @@ def run_loop(
     available = tuple(r for r in ROUTES if r in search)
     state = cut_lineage(initial_state(queries, limits))
     evidence: DataFrame | None = None
-    for _ in range(limits.max_retrieval_calls):
-        state = cut_lineage(decide(state, available))
+    for _ in range(limits.max_retrieval_calls + limits.max_iterations):
+        state = cut_lineage(decide(state, available, extractor=extractor, controller=controller))
         asking = state.filter("status = 'running' and at = 'retrieve'").select("query_id", "route", "active_query", "original_query")
-        waiting = {row.route for row in asking.select("route").distinct().collect()}  # at most three names
-        if not waiting:
+        places = state.filter("status = 'running' and at in ('retrieve', 'reformulate')").select("at", "route").distinct().collect()  # a few names
+        waiting = {row.route for row in places if row["at"] == "retrieve"}
+        if not places:
             break
+        if not waiting:
+            state = cut_lineage(refine(state, reformulator))
+            continue
         results = None
         for route in sorted(waiting):
             part = search[route](asking.filter(F.col("route") == route).select("query_id", F.col("active_query").alias("query")))
@@ -193,7 +274,7 @@ def run_loop(
             scores = rerank(candidates.join(asking.select("query_id", F.col("original_query").alias("query")), "query_id"))
         state = cut_lineage(record_retrieval(state, candidates, limits))
         state, chosen = evaluate(state, candidates, scores, limits)
-        state = cut_lineage(refine(state))
+        state = cut_lineage(refine(state, reformulator))
         # The newest evidence of a query replaces the older one; at most three small tables are joined.
         evidence = chosen if evidence is None else evidence.join(
             chosen.select("query_id").distinct(), "query_id", "left_anti"

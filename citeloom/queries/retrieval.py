@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as tx
 from citeloom.functions.checks import violations
 from citeloom.operators import fusion, lexical, metrics, vectors
+from citeloom.plans import filtered_search
 from citeloom.queries import inputs as inp
-from citeloom.queries.base import register, sql
+from citeloom.queries.base import fragment, register, sql
 
 
 @register("tokens_per_document", "C1", sql(
@@ -246,6 +247,47 @@ def hybrid_top_20(spark, folder):
     return inp.all_modes(spark, folder)["hybrid"]
 
 
+def filter_questions(spark, folder):
+    """The questions, a third each without a filter, inside one source, and inside one document (some in both)."""
+    q, i = inp.queries(spark, folder), F.col("query_id")
+    docs = inp.table(spark, folder, "documents").select(F.col("doc_id").alias("number"))
+    named = inp.docs(spark, folder).select(F.col("doc_id").alias("number"), "document_id")
+    q = q.withColumn("number", F.when((i % 3 == 1) | (i % 12 == 5), i * 7 % docs.agg(F.count("*")).scalar()))
+    q = q.join(named, "number", "left").drop("number")
+    return q.withColumn("source", F.when(i % 3 == 2, F.concat(F.lit("src"), i % 20)))
+
+
+fragment("filter_questions", """SELECT q.query_id, d.document_id, CASE WHEN q.query_id % 3 = 2 THEN 'src' || (q.query_id % 20) END AS source FROM bench_queries q
+    LEFT JOIN docs d ON d.doc_id = CASE WHEN q.query_id % 3 = 1 OR q.query_id % 12 = 5 THEN q.query_id * 7 % (SELECT count(*) FROM documents) END""", "bench_queries", "docs")
+fragment("filter_pairs", """SELECT f.query_id, c.chunk_id, c.document_id, c.ordinal FROM filter_questions f JOIN chunks c
+    ON (f.document_id IS NULL OR f.document_id = c.document_id) AND (f.source IS NULL OR f.source = c.source)""", "filter_questions", "chunks")
+fragment("filter_sparse", """SELECT * FROM (SELECT f.query_id, f.chunk_id, coalesce(b.score, 0) AS score,
+        row_number() OVER (PARTITION BY f.query_id ORDER BY coalesce(b.score, 0) DESC, f.document_id, f.ordinal) AS rank
+    FROM filter_pairs f SEMI JOIN bq_terms t ON t.query_id = f.query_id LEFT JOIN bq_bm25 b ON b.query_id = f.query_id AND b.chunk_id = f.chunk_id) WHERE rank <= 20""", "filter_pairs", "bq_terms", "bq_bm25")
+fragment("filter_dense", """SELECT * FROM (SELECT f.query_id, f.chunk_id, c.score, row_number() OVER (PARTITION BY f.query_id ORDER BY c.score DESC, f.chunk_id) AS rank
+    FROM filter_pairs f JOIN bq_cosine c ON c.query_id = f.query_id AND c.chunk_id = f.chunk_id) WHERE rank <= 20""", "filter_pairs", "bq_cosine")
+_fused = """SELECT query_id, chunk_id, rank, round(score, 6) AS score, sparse_rank, dense_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, least(sparse_rank, dense_rank), chunk_id) AS rank
+    FROM (SELECT coalesce(s.query_id, d.query_id) AS query_id, coalesce(s.chunk_id, d.chunk_id) AS chunk_id, s.rank AS sparse_rank, d.rank AS dense_rank, coalesce(1.0 / (60 + s.rank), 0) + coalesce(1.0 / (60 + d.rank), 0) AS score
+        FROM {sparse} s FULL OUTER JOIN filter_dense d ON s.query_id = d.query_id AND s.chunk_id = d.chunk_id)) WHERE rank <= 20"""
+
+
+def _filtered(spark, folder, **options):
+    found = filtered_search.filtered_hybrid(inp.store(spark, folder), filter_questions(spark, folder), inp.query_vectors(spark, folder), **options)
+    return found.select("query_id", "chunk_id", "rank", "score", "sparse_rank", "dense_rank")
+
+
+@register("hybrid_filtered", "E3, D7", sql(_fused.format(sparse="filter_sparse"), "filter_sparse", "filter_dense"))
+def hybrid_filtered(spark, folder):
+    """Fused search inside a source or a document: both legs are filtered, and padding stays inside."""
+    return _filtered(spark, folder)
+
+
+@register("hybrid_filtered_dense_leg", "E3, D7", sql(_fused.format(sparse="bq_sparse"), "bq_sparse", "filter_dense"))
+def hybrid_filtered_dense_leg(spark, folder):
+    """The same with the filter on the dense leg alone."""
+    return _filtered(spark, folder, filter_legs="dense")
+
+
 @register("reranked_top_6", "E4, E5", sql(
     """SELECT query_id, chunk_id, rank, round(rerank_score, 6) AS rerank_score, retrieval_rank, round(retrieval_score, 6) AS retrieval_score
        FROM bq_reranked""", "bq_reranked"))
