@@ -5,18 +5,17 @@ into ``SHARDS`` shards, and steps scan one shard after the other, round and roun
 the first round. A longer phrase is active from the step after both its parts (without the last and without
 the first word) have reached ``LEAST`` so far, and stays so for one full cycle; lengths are mixed in every
 scan. The run ends when no part became frequent in a whole cycle, so each phrase that can reach ``LEAST``
-has met every shard.
-
-A scan's counts are one table, kept for a cycle. A phrase with ``LEAST`` occurrences in at most ``SHARDS``
-shards has ``LEAST / SHARDS`` in one of them, so only phrases that had so many in some shard are carried
-from step to step, with one count per shard: those of the shards before are read back when a phrase joins,
-and a repeated count of a shard is the same number again, so totals are exact.
+has met every shard. A phrase keeps one count per shard, and a repeated count of a shard replaces it by the
+same number, so totals are exact.
 
+Inside a block phrases are told apart by their words; between blocks by two 64-bit hashes of language and
+words, so that a count is two words and a number. Texts are found for the frequent phrases by a last scan.
 Scans learn what is active from two bit fields of ``BITS`` bits each (parts that are frequent, and those that
 became so within the last cycle), built by tasks and broadcast: their size is fixed. Bits of other phrases
 may be set by chance; then a phrase is counted that need not be, which changes no total. Counts are added up
 by block, by task and then by phrase, so a very common phrase sends one row a task.
-Tables of steps are deleted when no later step reads them.
+The table of counts is written at every step; phrases that are not frequent leave it when they were not seen
+for a cycle, and the tables of earlier steps are deleted.
 
 Defined cases: null and empty texts have no words; a null language is ``und`` (together with rows of that
 name); repeated rows count as often as they stand there; an empty table gives none; other columns never
@@ -49,8 +48,9 @@ BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 OUTSIDE = BREAK.copy()
 OUTSIDE[[9, 32]] = True
-STEP = np.uint64(0xA0761D6478BD642F)
-FIELDS = "lang string, phrase string, c long"
+STEPS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: Second coefficients of bytes, so that the two hashes of a word differ in kind.
+SECOND = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -71,18 +71,26 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray,
     return flat.dictionary_encode(), text, piece
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
+def word_names(words: pa.Array) -> np.ndarray:
+    """(2, words): two hashes of each word."""
     raw, offsets = text_bytes(pa.record_batch([words], ["w"]), "w")
-    return Prefix(raw).runs(offsets[:-1], offsets[1:])
+    return np.stack([Prefix(x).runs(offsets[:-1], offsets[1:]) for x in (raw, SECOND[raw])])
 
 
-def language_hashes(names: list[str]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") for n in names], np.uint64)
+def language_names(names: list[str]) -> np.ndarray:
+    """(2, languages)."""
+    both = [hashlib.blake2b(n.encode(), digest_size=16).digest() for n in names]
+    return np.frombuffer(b"".join(both), np.uint64).reshape(-1, 2).T
 
 
 def extend(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a phrase from that of all but its last word (of its language, for one word) and that word's."""
-    return mix(before * STEP + word)
+    """Names of phrases from those of all but their last word (of their language, for one word) and that word's."""
+    return mix(before * STEPS[:, None] + word)
+
+
+def sized(name: np.ndarray, k: int) -> np.ndarray:
+    """The pair that names a phrase of ``k`` words: the second hash carries ``k`` in its last three bits."""
+    return np.stack([name[0], (name[1] & ~np.uint64(7)) | np.uint64(k)]).view(np.int64)
 
 
 class Active:
@@ -91,48 +99,33 @@ class Active:
     def __init__(self, fields: np.ndarray):
         self.fields = fields
 
-    @staticmethod
-    def place(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        at = h % np.uint64(bits)
-        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+    def holds(self, which: int, name: np.ndarray) -> np.ndarray:
+        h = name[0] & np.uint64(64 * self.fields.shape[1] - 1)
+        return (self.fields[which][(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def holds(self, which: int, h: np.ndarray) -> np.ndarray:
-        slot, bit = self.place(h, 64 * self.fields.shape[1])
-        return (self.fields[which][slot] & bit) != 0
 
+def levels(batch: pa.RecordBatch, active: Active | None, longest: int):
+    """``k, langs, of, words, parts, name, code, recent`` for each phrase length met in a block of texts.
 
-def count_block(batch: pa.RecordBatch, active: Active | None, every_word: bool, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of one block of texts: words if asked for, and all active phrases."""
+    ``of`` and ``parts`` give the language and the words of the distinct phrases, ``name`` their hashes, ``code``
+    the phrase at each occurrence, and ``recent`` which occurrences have a part that is newly frequent.
+    """
     raw, offsets = text_bytes(batch, "text")
     words, text, piece = words_of(raw, offsets)
     if not len(words):
         return
     langs = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
-    names = langs.dictionary
     lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
     word, distinct = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
     d = len(distinct)
-
-    def rows(of: np.ndarray, parts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        texts = [distinct.take(pa.array(parts[:, j])) for j in range(parts.shape[1])]
-        joined = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if len(texts) > 1 else texts[0]
-        return pa.RecordBatch.from_arrays(
-            [names.take(pa.array(of)).cast(pa.string()), joined.cast(pa.binary()).cast(pa.string()), pa.array(counts)], names=["lang", "phrase", "c"]
-        )
-
+    plain, start = word_names(distinct), language_names(langs.dictionary.to_pylist())
     code, own = pd.factorize(lang * d + word)
     of, parts = own // d, (own % d)[:, None]
-    if every_word:
-        yield rows(of, parts, np.bincount(code, minlength=len(own)))
-        n = np.bincount(lang, minlength=len(names))
-        used = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays(
-            [names.take(pa.array(used)).cast(pa.string()), pa.array([""] * len(used)), pa.array(n[used])], names=["lang", "phrase", "c"]
-        )
+    name = extend(start[:, of], plain[:, parts[:, 0]])
+    yield 0, langs.dictionary, np.arange(start.shape[1]), distinct, np.zeros((start.shape[1], 0), np.int64), start, lang, None
+    yield 1, langs.dictionary, of, distinct, parts, name, code, None
     if active is None:
         return
-    plain = word_hashes(distinct)
-    name = extend(language_hashes(names.to_pylist())[of], plain[parts[:, 0]])
     frequent, recent = active.holds(0, name)[code], active.holds(1, name)[code]
     for k in range(2, longest + 1):
         both = frequent[:-1] & frequent[1:]
@@ -141,14 +134,10 @@ def count_block(batch: pa.RecordBatch, active: Active | None, every_word: bool,
         at = np.nonzero(both)[0]
         if not len(at):
             return
-        key = code[at] * d + word[at + k - 1]
-        fresh, own = pd.factorize(key)
+        fresh, own = pd.factorize(code[at] * d + word[at + k - 1])
         before, last = own // d, own % d
-        of, parts, name = of[before], np.column_stack([parts[before], last]), extend(name[before], plain[last])
-        counts = np.bincount(fresh[recent[at] | recent[at + 1]], minlength=len(own))
-        some = np.nonzero(counts)[0]
-        if len(some):
-            yield rows(of[some], parts[some], counts[some])
+        of, parts, name = of[before], np.column_stack([parts[before], last]), extend(name[:, before], plain[:, last])
+        yield k, langs.dictionary, of, distinct, parts, name, fresh, recent[at] | recent[at + 1]
         code = np.full(len(word), -1, np.int64)
         code[at] = fresh
         frequent, recent = np.zeros(len(word), bool), np.zeros(len(word), bool)
@@ -156,87 +145,88 @@ def count_block(batch: pa.RecordBatch, active: Active | None, every_word: bool,
 
 
 def scan(shard: DataFrame, active: Active | None, every_word: bool, longest: int) -> DataFrame:
-    """(lang, phrase, c) of one shard, several rows a phrase; the empty phrase counts all words of a language."""
+    """(a, b, c) of one shard, several rows a phrase: words (and all words of a language) if asked for, and active phrases."""
     held = shard.sparkSession.sparkContext.broadcast(active)  # two fields of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", STEP_BYTES):
-            yield from count_block(batch, held.value, every_word, longest)
+            for k, _, of, _, _, name, code, recent in levels(batch, held.value, longest):
+                if k < 2 and not every_word:
+                    continue
+                counts = np.bincount(code if recent is None else code[recent], minlength=len(of))
+                some = np.nonzero(counts)[0]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, sized(name[:, some], k)), pa.array(counts[some])], names=["a", "b", "c"])
 
-    return shard.select("lang", "text").mapInArrow(work, FIELDS)
+    return shard.select("lang", "text").mapInArrow(work, "a long, b long, c long")
 
 
-def bit_fields(table: DataFrame, since: int, longest: int, bits: int) -> np.ndarray:
-    """The two fields of the phrases that can be parts; ``since`` is the first step of the last cycle."""
+def spellings(texts: DataFrame, known: Active, longest: int) -> DataFrame:
+    """(a, b, lang, phrase): the texts of all phrases in the first bit field."""
+    held = texts.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = np.zeros((2, bits // 64), np.uint64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs = batch.column("lang").dictionary_encode()
-            words = pc.split_pattern(batch.column("phrase"), " ")
-            size = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-            hashes = word_hashes(words.flatten())
-            start = np.cumsum(size) - size
-            name = language_hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy(zero_copy_only=False)]
-            for j in range(int(size.max())):
-                more = size > j
-                name[more] = extend(name[more], hashes[start[more] + j])
-            new = batch.column("new").to_numpy(zero_copy_only=False).astype(bool)
-            for which, some in ((0, name), (1, name[new])):
-                slot, bit = Active.place(some, bits)
-                np.bitwise_or.at(fields[which], slot, bit)
-        for which in (0, 1):
-            used = np.nonzero(fields[which])[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), which, np.int32)), pa.array(used), pa.array(fields[which][used].view(np.int64))], names=["which", "slot", "bit"]
-            )
-
-    parts = table.filter(F.col("since").isNotNull() & F.col("k").between(1, longest - 1)).select("lang", "phrase", (F.col("since") >= since).alias("new"))
-    found = parts.mapInArrow(work, "which int, slot long, bit long").groupBy("which", "slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+        for batch in blocks(batches, "text", STEP_BYTES):
+            for k, langs, of, words, parts, name, _, _ in levels(batch, held.value, longest):
+                some = np.nonzero(held.value.holds(0, name))[0] if k else np.arange(len(of))
+                if not len(some):
+                    continue
+                texts = [words.take(pa.array(parts[some, j])) for j in range(k)]
+                joined = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if texts else pa.array([b""] * len(some))
+                named = [langs.take(pa.array(of[some])).cast(pa.string()), joined.cast(pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, sized(name[:, some], k)), *named], names=["a", "b", "lang", "phrase"])
+
+    found = texts.select("lang", "text").mapInArrow(work, "a long, b long, lang string, phrase string")
+    return found.groupBy("a", "b").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+
+
+def bit_fields(table: DataFrame, since: int, longest: int, bits: int) -> np.ndarray:
+    """The two fields of the frequent phrases of up to ``longest`` words; ``since`` is the first step of the last cycle."""
+    k = F.col("b").bitwiseAND(F.lit(7))
+    h = F.col("a").bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    parts = table.filter(F.col("since").isNotNull() & k.between(1, longest)).select(F.shiftright(h, 6).alias("slot"), bit.alias("bit"), (F.col("since") >= since).alias("new"))
+    each = parts.groupBy("slot").agg(F.bit_or("bit").alias("all"), F.bit_or(F.when(F.col("new"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("new")).toArrow()
     out = np.zeros((2, bits // 64), np.uint64)
-    which, slot, bit = (found.column(c).to_numpy() for c in ("which", "slot", "bit"))  # 2 x bits / 64 rows at most
-    out[which, slot] = bit.view(np.uint64)
+    slot = each.column("slot").to_numpy()  # bits / 64 rows at most
+    for i, c in enumerate(("all", "new")):
+        out[i, slot] = each.column(c).to_numpy().view(np.uint64)
     return out
 
 
 def phrase_counts(
     docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITS
 ) -> DataFrame:
-    """(lang, phrase, k, f): exact counts of all phrases of 1 to ``longest`` words with at least ``least``; ``k`` 0 counts all words."""
+    """(lang, phrase, k, f): exact counts of all phrases of 1 to ``longest`` words with at least ``least``; ``k`` 0 counts all words.
+
+    ``bits`` is a power of two, 64 at least; ``longest`` is 7 at most.
+    """
     spark = docs.sparkSession
     root = f"{checkpoint_root(spark)}/phrases-{uuid.uuid4().hex}"
     dealt = pick(docs, text=text, lang=F.coalesce(docs[lang].cast("string"), F.lit("und"))).filter("text IS NOT NULL")
     dealt = dealt.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(f"{root}/texts")
     texts = spark.read.schema("text string, lang string, shard int").parquet(f"{root}/texts")
-    share = -(-least // shards)
     each = [f"c{j}" for j in range(shards)]
     counts = [F.coalesce(c, F.lit(0)) for c in each]
-    known = spark.createDataFrame([], "lang string, phrase string, k int, since int, " + ", ".join(f"{c} long" for c in each))
-    logs: dict[int, DataFrame] = {}
+    total, is_total = sum(counts[1:], counts[0]), F.col("b").bitwiseAND(F.lit(7)) == 0
+    state = spark.createDataFrame([], "a long, b long, since int, seen int, " + ", ".join(f"{c} long" for c in each))
     for step in itertools.count():
-        fields = bit_fields(known, step - shards, longest, bits) if step else None
+        fields = bit_fields(state, step - shards, longest - 1, bits) if step else None
         if step >= shards and not fields[1].any():
             break
         scanned = scan(texts.filter(F.col("shard") == step % shards), None if fields is None else Active(fields), step < shards, longest)
-        logs[step] = _written(scanned.groupBy("lang", "phrase").agg(F.sum("c").alias("c")), f"{root}/log-{step}")
-        rise = logs[step].filter((F.col("c") >= share) | (F.col("phrase") == "")).select("lang", "phrase")
-        names = known.select("lang", "phrase").unionByName(rise).distinct()
-        rows = known
-        for j, log in logs.items():
-            rows = rows.unionByName(log.withColumnRenamed("c", each[j % shards]).join(names, ["lang", "phrase"], "left_semi"), allowMissingColumns=True)
-        merged = rows.groupBy("lang", "phrase").agg(F.min("since").alias("since"), *(F.max(c).alias(c) for c in each))
-        reached = F.when(sum(counts[1:], counts[0]) >= least, F.coalesce("since", F.lit(step)))
-        size = F.when(F.col("phrase") == "", 0).otherwise(F.regexp_count("phrase", F.lit(" ")) + 1)
-        known = _written(merged.select("lang", "phrase", size.alias("k"), reached.alias("since"), *each), f"{root}/known-{step}")
-        forget(spark, f"{root}/known-{step - 1}")
-        if step - shards + 1 in logs:
-            logs.pop(step - shards + 1)
-            forget(spark, f"{root}/log-{step - shards + 1}")
-    forget(spark, f"{root}/texts")
-    return known.select("lang", "phrase", "k", sum(counts[1:], counts[0]).alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
+        here = each[step % shards]
+        merged = scanned.unionByName(state, allowMissingColumns=True).groupBy("a", "b").agg(F.sum("c").alias("c"), *(F.max(x).alias(x) for x in ("since", "seen", *each)))
+        merged = merged.withColumn(here, F.coalesce("c", here)).withColumn("seen", F.when(F.col("c").isNotNull(), step).otherwise(F.col("seen")))
+        merged = merged.withColumn("since", F.when(total >= least, F.coalesce("since", F.lit(step)))).drop("c")
+        state = _written(merged.filter(F.col("since").isNotNull() | is_total | (F.col("seen") > step - shards)), f"{root}/step-{step}")
+        forget(spark, f"{root}/step-{step - 1}")
+    final = state.filter(F.col("since").isNotNull() | is_total).select("a", "b", F.col("b").bitwiseAND(F.lit(7)).cast("int").alias("k"), total.alias("f"))
+    named = spellings(texts, Active(bit_fields(state, 0, longest, bits)), longest)
+    out = _written(final.join(named, ["a", "b"]).select("lang", "phrase", "k", "f"), f"{root}/phrases")
+    for name in ("texts", f"step-{step - 1}"):
+        forget(spark, f"{root}/{name}")
+    return out
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -266,8 +256,10 @@ def collocations(counts: DataFrame, *, top: int = TOP, percent: int = PERCENT) -
     whole = "decimal(20,0)"
     score = F.expr(f"(1000 * CAST(a AS {whole}) * CAST(n AS {whole})) div (CAST(l AS {whole}) * CAST(r AS {whole}))")
     best = both.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("b"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("b.score").desc(), F.col("a").desc(), "phrase"))
-    ranked = best.withColumn("rank", place).filter(F.col("rank") <= top)
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.col("b.score").desc(), F.col("a").desc(), "phrase"))
+    # The best of each of 64 parts of a language first, so that the last task of a language has 64 x top rows at most.
+    near = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", place("part")).filter(F.col("rank") <= top).drop("part")
+    ranked = near.withColumn("rank", place()).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "b.l", "b.r", "n", "b.score", "b.cut")
 
 

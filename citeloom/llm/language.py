@@ -30,6 +30,7 @@ from citeloom.llm.common import blocks, pick
 #: Bounds of the sample that the CRF is fitted on, and words of its training chains.
 FIT_ROWS, FIT_BYTES, FIT_WORDS, LANGUAGES = 800, 16384, 1 << 17, 32
 CHAIN, LONGEST_RUN, STEPS = 128, 96, 40
+SPARE = 4
 #: A lexicon holds words that a language's sample has at least so often.
 REPEATED = 3
 #: Bytes of text labelled at once.
@@ -82,12 +83,15 @@ def sample(docs: DataFrame, allowed: Column, *, doc_id: str = "doc_id", text: st
     """(lang, doc_id, text) of at most ``rows`` documents, as many of each language."""
     fits = pick(docs, doc_id=doc_id, text=text, lang=docs[lang].cast("string")).filter(allowed)
     fits = fits.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).withColumn("mark", F.xxhash64("text"))
-    known = [r.lang for r in fits.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
+    known = {r.lang: r["count"] for r in fits.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
     if not known:
         return fits.select("lang", "doc_id", "text").limit(0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
-    ids = fits.filter(F.col("lang").isin(known)).select("lang", "doc_id", "mark").distinct()
-    few = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, rows // len(known))).drop("place")
+    most = max(1, rows // len(known))
+    # Only hashes below a bound take part, about ``SPARE`` times as many as are wanted, so no task ranks all of a language.
+    bound = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, SPARE * most / n))) for name, n in known.items()])
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "mark")
+    ids = fits.select("lang", "doc_id", "mark", F.xxhash64("doc_id").alias("h")).filter((F.col("h") / F.lit(2.0**64) + 0.5) <= bound)
+    few = ids.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place", "h")
     few = few.withColumnsRenamed({"lang": "_lang", "doc_id": "_id", "mark": "_mark"})
     same = fits["lang"].eqNullSafe(F.col("_lang")) & fits["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
     return fits.join(F.broadcast(few), same, "left_semi").dropDuplicates(["lang", "doc_id", "mark"]).select("lang", "doc_id", "text")
