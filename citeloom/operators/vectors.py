@@ -17,6 +17,8 @@ from citeloom.session import cut_lineage
 # A query side up to this many bytes of doubles travels to every task; beyond it blocks are shuffled.
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
+# Filter values that are written into the scan of the vectors.
+PRUNED_VALUES = 256
 # Scores that a task holds at a time.
 SCORE_BYTES = 64 << 20
 POINT_LABEL = "citeloom:chunk:"
@@ -177,7 +179,10 @@ def cosine_top_k(
     shape = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), *[F.count(t).alias(t) for t in tags]).head()
     for column, tag in zip(extra, tags):
         if shape.n and shape[tag] == shape.n:
-            vectors = vectors.join(q.select(F.col(tag).alias(column)).distinct(), column, "left_semi")
+            wanted_values = q.select(F.col(tag).alias(column)).distinct()
+            few = [row[column] for row in wanted_values.limit(PRUNED_VALUES + 1).collect()]
+            # A few values are a filter on the scan (and leave out whole partitions); more are a join.
+            vectors = vectors.filter(F.col(column).isin(few)) if len(few) <= PRUNED_VALUES else vectors.join(wanted_values, column, "left_semi")
     v = vectors.select(F.col(vector_id).alias("vector_id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.col(c).alias(t) for c, t in zip(extra, tags)])
     if not shape.n:
         found = q.sparkSession.createDataFrame([], schema)
