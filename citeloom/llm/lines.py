@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.text import let
+
 WIDTH = 3
 
 
@@ -53,14 +55,17 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     named = held.select("held", F.col("held")[doc_id].alias("id"), F.xxhash64(F.col("held")[text]).alias("mark"), F.col("held")[text].alias("body"))
     found = removals(named.filter("body IS NOT NULL").select("id", "mark", "body"), width).withColumnsRenamed({"id": "rid", "mark": "rmark"})
     both = named.join(found, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark")), "left")
-    lines = _lines(F.col("body"))
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, F.least(s + width - 1, F.size(lines) - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    shorter = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    changed = F.col("starts").isNotNull()
-    count = F.when(F.col("body").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    out = [F.when(changed, shorter).otherwise(F.col("body")).alias(c) if c == text else F.col("held")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return both.select(*out, count.alias("n_lines"), F.when(changed, (F.size(lines) - F.size(kept)).cast("long")).otherwise(F.lit(0).cast("long")).alias("n_removed"))
+    def shorter(lines: Column) -> Column:
+        covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, F.least(s + width - 1, F.size(lines) - 1))))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+        # ``let`` and the argument of ``transform`` are computed once a row, what a lambda names once a line
+        return let(left, lambda kept: F.struct(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(kept)).cast("long").alias("removed")))
+
+    cut = both.withColumn("short", F.when(F.col("starts").isNotNull(), let(_lines(F.col("body")), shorter)))
+    count = F.when(F.col("body").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("body")))).cast("long")
+    kept = F.when(F.col("starts").isNotNull(), F.col("short.text")).otherwise(F.col("body"))
+    out = [kept.alias(c) if c == text else F.col("held")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cut.select(*out, count.alias("n_lines"), F.coalesce("short.removed", F.lit(0).cast("long")).alias("n_removed"))
 
 
 SQL = """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
