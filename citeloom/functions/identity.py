@@ -41,22 +41,31 @@ def row_digest(*cols: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
 
 
-def table_fingerprint(df: DataFrame, digest: Column, name: str = "fingerprint") -> DataFrame:
-    """Order-independent SHA-256 of a whole table as one row.
+#: Row digests that one leaf may hold on average, and leading hex digits by which a level of the tree splits.
+LEAF_ROWS, DIGITS = 1024, 3
 
-    Row digests are first grouped by their leading three hex digits, so that the sorted list held by
-    any one task is about 1/4096 of the table; equal digests are counted rather than repeated. The
-    last step hashes at most 4096 bucket digests.
+
+def fingerprint_depth(rows: int) -> int:
+    """Leading hex digits that name a leaf: three, and three more for each time leaves would be too full."""
+    depth = DIGITS
+    while rows > LEAF_ROWS * 16**depth:
+        depth += DIGITS
+    return depth
+
+
+def table_fingerprint(df: DataFrame, digest: Column, name: str = "fingerprint", *, rows: int | None = None) -> DataFrame:
+    """Order-independent SHA-256 of a whole table as one row: the root of a tree over its row digests.
+
+    A leaf holds the digests with the same leading hex digits, in order; equal digests are counted rather
+    than repeated. Each level above joins at most 4096 children, so no string is longer than a few hundred
+    thousand characters, whatever the table holds. The number of levels follows from the number of
+    ``rows`` (counted, if it is not given), so equal tables have equal trees; one level stands for up to
+    4 million rows.
     """
-    rows = df.select(digest.alias("d")).groupBy("d").agg(F.count("*").alias("n"))
-    buckets = rows.groupBy(F.substring("d", 1, 3).alias("b")).agg(
-        F.sha2(
-            F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("*", "d", F.col("n").cast("string"))))),
-            256,
-        ).alias("h")
-    )
-    return buckets.agg(
-        F.sha2(
-            F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "b", "h")))), 256
-        ).alias(name)
-    )
+    depth = fingerprint_depth(df.count() if rows is None else rows)
+    every = df.select(digest.alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    joined = lambda sep, *parts: F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(sep, *parts)))), 256)
+    nodes = every.groupBy(F.substring("d", 1, depth).alias("b")).agg(joined("*", "d", F.col("n").cast("string")).alias("h"))
+    for level in range(depth - DIGITS, 0, -DIGITS):
+        nodes = nodes.groupBy(F.substring("b", 1, level).alias("p")).agg(joined(":", "b", "h").alias("h")).withColumnRenamed("p", "b")
+    return nodes.agg(joined(":", "b", "h").alias(name))

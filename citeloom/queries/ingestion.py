@@ -12,7 +12,7 @@ from citeloom.queries import inputs as inp
 from citeloom.queries import service
 from citeloom.queries.base import fragment, register, sql
 from citeloom.session import checkpoint_root
-from citeloom.sources import files
+from citeloom.sources import files, tables
 from citeloom.streaming import jobs
 
 
@@ -302,6 +302,40 @@ def case_files(spark, folder):
     return files.read_cases(spark, path).select("case_id", "query", "split", "allow_external_query")
 
 
+@register("guarded_paths", "A1", sql(
+    """SELECT doc_id, ['/data/raw/' || source || '/' || doc_id || '.txt', NULL][1 + (code IS NOT NULL)::INT] AS resolved, code FROM (SELECT doc_id, source,
+        CASE doc_id % 8 WHEN 1 THEN 'outside_root' WHEN 2 THEN 'outside_root' WHEN 3 THEN 'outside_root' WHEN 4 THEN 'missing' WHEN 5 THEN 'unsupported_source' END AS code FROM documents)"""))
+def guarded_paths(spark, folder):
+    """Requested paths, some of which climb out of the root, name nothing, or name a file of another type."""
+    i, m = F.col("doc_id"), F.col("doc_id") % 8
+    docs = inp.table(spark, folder, "documents").select("doc_id", "source")
+    name = F.concat(i.cast("string"), F.when(m == 5, ".pdf").otherwise(".txt"))
+    listing = docs.select(F.concat(F.lit("file:///data/raw/"), "source", F.lit("/"), name).alias("path"))
+    path = (
+        F.when(m == 1, F.concat(F.lit("../"), name)).when(m == 2, F.concat(F.lit("/data/raw/../raws/"), name)).when(m == 3, F.concat(F.lit("a/../../../../../../"), name))
+        .when(m == 4, F.concat("source", F.lit("/none/"), name)).when(m == 6, F.concat(F.lit("file:///data//raw/./"), "source", F.lit("/x/../"), name)).otherwise(F.concat("source", F.lit("/"), name))
+    )
+    good, bad = files.guarded_paths(docs.select("doc_id", path.alias("path")), listing, "/data/raw")
+    paths = docs.select("doc_id", path.alias("path"))
+    return good.select("doc_id", "resolved", F.lit(None).cast("string").alias("code")).unionByName(paths.join(bad, "path").select("doc_id", F.lit(None).cast("string").alias("resolved"), "code"))
+
+
+@register("artifact_reads", "A6", sql(
+    """SELECT document_id, CASE doc_id % 9 WHEN 1 THEN 'artifact_invalid' WHEN 2 THEN 'artifact_invalid' WHEN 3 THEN 'artifact_not_found' WHEN 4 THEN 'artifact_invalid' ELSE 'read' END AS code,
+        CASE doc_id % 9 WHEN 1 THEN 'malformed' WHEN 2 THEN 'bad_hash' WHEN 4 THEN 'blank_title' ELSE '' END AS detail FROM docs""", "docs"))
+def artifact_reads(spark, folder):
+    """Stored documents read back: torn lines, broken records and documents that were never written become issues."""
+    m = F.col("doc_id") % 9
+    docs = inp.docs(spark, folder).withColumn("byte_size", F.octet_length("text").cast("long"))
+    stored = docs.filter(m != 3).withColumns({"content_sha256": F.when(m == 2, "xyz").otherwise(F.col("content_sha256")), "title": F.when(m == 4, " ").otherwise(F.col("title"))})
+    fields = [c.split()[0] for c in tables.ARTIFACT_SCHEMA.split(", ")]
+    line = F.to_json(F.struct(*fields))
+    path = f"{checkpoint_root(spark)}/artifacts-{uuid.uuid4().hex}"
+    stored.select(F.when(m == 1, F.substr(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value")).write.text(path)
+    good, issues = tables.read_artifacts(spark, path, docs.select("document_id"))
+    return good.select("document_id", F.lit("read").alias("code"), F.lit("").alias("detail")).unionByName(issues)
+
+
 # ---------------------------------------------------------------- streaming
 
 
@@ -353,22 +387,32 @@ def stream_hourly_metrics(spark, folder):
     return jobs.run_to_table(jobs.windowed_metrics(run_stream(spark, folder)), *_paths(spark, "metrics")).drop("window_end", "p95_approx").transform(plain_times, "window_start")
 
 
-@register("stream_repeat_suppression", "S3", None)
+fragment("repeat_keys", """SELECT sha256(user_id || ':' || action || ':' || status) AS cache_key, list({'t': ts, 'r': run_id} ORDER BY ts, run_id) AS l FROM run_rows GROUP BY ALL""", "run_rows", stored=True)
+fragment("repeat_walk", """SELECT cache_key, l, l[1] AS x FROM repeat_keys
+    UNION ALL SELECT * FROM (SELECT cache_key, l, list_filter(l, lambda y: y.t >= x.t + INTERVAL 300 seconds)[1] AS x FROM repeat_walk) WHERE x IS NOT NULL""", "repeat_keys")
+
+
+@register("stream_repeat_suppression", "S3", sql("SELECT cache_key, x.r AS run_id, x.t AS ts FROM repeat_walk", "repeat_walk"))
 def stream_repeat_suppression(spark, folder):
+    """Requests that no answer of the last five minutes serves; a chain of times per key in SQL."""
     keyed = jobs.cache_key(run_stream(spark, folder), "user_id", "action", "status")
-    return jobs.run_to_table(jobs.suppress_repeats(keyed).select("cache_key", "run_id", "ts"), *_paths(spark, "repeats"))
+    return jobs.run_to_table(jobs.suppress_repeats(keyed), *_paths(spark, "repeats")).transform(plain_times, "ts")
+
+
+fragment("session_rows", """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 5 minutes AS session_end, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, run_id) AS s FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, run_id) <= INTERVAL 5 minutes THEN 0 ELSE 1 END AS fresh FROM run_rows)) GROUP BY user_id, s""", "run_rows")
 
 
-@register("user_sessions", "S4", sql(
-    """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 5 minutes AS session_end, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, run_id) AS s FROM (
-        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, run_id) <= INTERVAL 5 minutes THEN 0 ELSE 1 END AS fresh FROM run_rows)) GROUP BY user_id, s""", "run_rows"))
+@register("user_sessions", "S4", sql("SELECT * FROM session_rows", "session_rows"))
 def user_sessions(spark, folder):
     return jobs.user_sessions(service.run_rows(spark, folder))
 
 
-@register("stream_user_sessions", "S4", None)
+@register("stream_user_sessions", "S4", sql(
+    "SELECT * FROM session_rows WHERE session_end <= (SELECT max(ts) FROM run_rows) - INTERVAL 10 minutes", "session_rows"))
 def stream_user_sessions(spark, folder):
-    return jobs.run_to_table(jobs.user_sessions(run_stream(spark, folder)), *_paths(spark, "sessions"))
+    """Sessions the watermark has closed."""
+    return jobs.run_to_table(jobs.user_sessions(run_stream(spark, folder)), *_paths(spark, "sessions")).transform(plain_times, "session_start", "session_end")
 
 
 @register("stream_last_handles", "S4", sql(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,14 +16,65 @@ def discover(spark: SparkSession, root: str, *, recursive: bool = False) -> Data
     return listing.select("path", "length", "modificationTime").filter(source_type(F.col("path")).isNotNull())
 
 
+def resolved(path: Column, root: Column) -> Column:
+    """An absolute path without scheme, empty, ``.`` and ``..`` parts; a relative path starts at ``root``.
+
+    A path that climbs above the file system's own root is NULL.
+    """
+    bare = F.regexp_replace(path, "^file:/*", "/")
+    whole = F.when(F.startswith(bare, F.lit("/")), bare).otherwise(F.concat(F.regexp_replace(root, "^file:/*", "/"), F.lit("/"), bare))
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, part: Column) -> Column:
+        up = F.when(F.size(held) > 0, F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))))
+        return F.when(part.isin("", "."), held).when(part == "..", up).otherwise(F.concat(held, F.array(part)))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/"))
+
+
+def inside_root(path: Column, root: Column) -> Column:
+    base = resolved(root, F.lit("/"))
+    return F.coalesce(F.startswith(path, F.concat(F.regexp_replace(base, "/$", ""), F.lit("/"))), F.lit(False))
+
+
+def guarded_paths(requests: DataFrame, listing: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, refused)`` of requested ``path`` values, against the files listed below an allowed root.
+
+    Accepted rows keep their columns with the ``resolved`` path; refused ones are ``path, code``:
+    ``outside_root``, ``missing`` or ``unsupported_source``. Nothing is opened.
+    """
+    at = requests.withColumn("resolved", resolved(F.col("path"), F.lit(root)))
+    held = listing.select(resolved(F.col("path"), F.lit(root)).alias("resolved"), F.lit(True).alias("listed")).distinct()
+    code = (
+        F.when(~inside_root(F.col("resolved"), F.lit(root)), "outside_root")
+        .when(F.col("listed").isNull(), "missing")
+        .when(source_type(F.col("resolved")).isNull(), "unsupported_source")
+    )
+    judged = at.join(held, "resolved", "left").withColumn("code", code)
+    return judged.filter("code is null").drop("code", "listed"), judged.filter("code is not null").select("path", "code")
+
+
+def require_inside(root: str, allowed_root: str) -> None:
+    """Refuse to read a folder that is not the allowed root or below it."""
+    import posixpath
+
+    plain = lambda p: posixpath.normpath("/" + p.removeprefix("file:").lstrip("/"))
+    if "://" in root.removeprefix("file:") or "://" in allowed_root.removeprefix("file:"):
+        plain = lambda p: posixpath.normpath(p)
+    if plain(root) != plain(allowed_root) and not plain(root).startswith(plain(allowed_root).rstrip("/") + "/"):
+        raise ValueError("source path is outside the allowed root")
+
+
 def load_sources(
-    spark: SparkSession, root: str, *, recursive: bool = False, max_bytes: int = 10_000_000, uri_prefix: str = "file://data/raw/"
+    spark: SparkSession, root: str, *, recursive: bool = False, max_bytes: int = 10_000_000, uri_prefix: str = "file://data/raw/", allowed_root: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(documents, failures)`` of every supported file under ``root``.
+    """``(documents, failures)`` of every supported file under ``root`` (which must lie in ``allowed_root``).
 
     The size limit is a filter on ``length`` that the source applies before a file is opened; files
     beyond it come back as failures from the listing alone.
     """
+    if allowed_root is not None:
+        require_inside(root, allowed_root)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     base = F.regexp_replace(F.lit(root), "/+$", "")
     inside = F.regexp_replace("path", "^file:/*", "/")

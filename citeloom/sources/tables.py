@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.operators.ingest import dispositions
+from citeloom.functions.checks import violations
+from citeloom.operators.ingest import dispositions, document_rules
 
 
 class ConflictError(ValueError):
@@ -58,6 +59,44 @@ def read_documents(spark: SparkSession, path: str, ids: DataFrame | None = None)
     return rows if ids is None else rows.join(ids.select("document_id").distinct(), "document_id", "left_semi")
 
 
+#: A stored document as one JSON line.
+ARTIFACT_SCHEMA = "document_id string, source_uri string, title string, source_type string, content_sha256 string, text string, byte_size long"
+
+
+def write_artifacts(documents: DataFrame, path: str) -> None:
+    """Documents as JSON lines, one file set a call; an existing path is an error."""
+    names = [c.split()[0] for c in ARTIFACT_SCHEMA.split(", ")]
+    documents.select(*names).write.mode("errorifexists").json(path)
+
+
+def read_artifacts(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(documents, issues)`` of stored JSON documents; ``wanted(document_id)`` narrows what is asked for.
+
+    A line that is no document of the declared form, or that breaks a rule of the record contract, is an
+    issue (``document_id`` where it can be read, ``code``, ``detail``) and holds nothing else up; a wanted
+    document without a usable line is ``artifact_not_found``.
+    """
+    # Lines are parsed whole: the JSON source parses only the columns a query asks for, and would miss faults in others.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    read = lines.select(F.from_json("value", ARTIFACT_SCHEMA + ", broken string", options).alias("p")).select("p.*")
+    named = F.regexp_extract("broken", r'"document_id"\s*:\s*"([^"]*)"', 1)
+    rows = read.withColumn("document_id", F.when(F.col("broken").isNotNull(), F.nullif(named, F.lit(""))).otherwise(F.col("document_id")))
+    if wanted is not None:
+        rows = rows.join(wanted.select("document_id").distinct(), "document_id", "left_semi")
+    whole = rows.filter("broken is null").drop("broken")
+    torn = rows.filter("broken is not null").select("document_id", F.lit("artifact_invalid").alias("code"), F.lit("malformed").alias("detail"))
+    rules = violations(whole, F.col("document_id"), document_rules())
+    bad = rules.select(F.col("entity_id").alias("document_id"), F.lit("artifact_invalid").alias("code"), F.col("rule").alias("detail"))
+    good = whole.join(rules.select(F.col("entity_id").alias("document_id")).distinct(), "document_id", "left_anti")
+    issues = torn.unionByName(bad)
+    if wanted is not None:
+        seen = good.select("document_id").unionByName(issues.select("document_id"))
+        gone = wanted.select("document_id").distinct().join(seen, "document_id", "left_anti")
+        issues = issues.unionByName(gone.select("document_id", F.lit("artifact_not_found").alias("code"), F.lit("").alias("detail")))
+    return good, issues
+
+
 def append_run(run: DataFrame, path: str) -> None:
     """Add a run manifest; a run id that is already there is refused."""
     stored = _existing(run.sparkSession, path)

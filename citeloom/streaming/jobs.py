@@ -88,9 +88,36 @@ def cache_key(df: DataFrame, *parts: str) -> DataFrame:
     return df.withColumn("cache_key", F.sha2(F.concat_ws(":", *[F.col(p).cast("string") for p in parts]), 256))
 
 
-def suppress_repeats(requests: DataFrame, *, ttl: str = "300 seconds") -> DataFrame:
-    """Let the first request of a key through and drop its repeats while the key is remembered."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["cache_key"])
+def suppress_repeats(requests: DataFrame, *, ttl_seconds: int = 300, late: str = "10 minutes") -> DataFrame:
+    """``cache_key, run_id, ts`` of the requests that no remembered answer serves.
+
+    A request that goes through is remembered for ``ttl_seconds`` of event time; the key's requests until then
+    are repeats, and the next one after goes through and is remembered anew. Requests of a batch are taken in
+    the order of time, then id; one that is older than the remembered request is served by it. A key's state
+    is one time, and is dropped once the watermark has passed it.
+    """
+    ttl = ttl_seconds * 1_000_000
+
+    def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        passed = []
+        # The answer depends on the order of a key's requests in a batch, so its times and ids are put in order.
+        rows = sorted((int(t), int(r)) for f in frames for t, r in zip(f["ts"].astype("datetime64[us]").astype("int64"), f["run_id"]))
+        for t, run in rows:
+            if last is None or t >= last + ttl:
+                last = t
+                passed.append((t, run))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"cache_key": [key[0]] * len(passed), "run_id": [r for _, r in passed], "ts": pd.to_datetime([t for t, _ in passed], unit="us")})
+
+    return (
+        requests.select("cache_key", "run_id", "ts").withWatermark("ts", late).groupBy("cache_key")
+        .applyInPandasWithState(update, "cache_key string, run_id long, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def user_sessions(events: DataFrame, *, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

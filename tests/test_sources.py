@@ -68,3 +68,38 @@ def test_dispositions(spark):
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "document_id string, payload_hash string")
     old = spark.createDataFrame([("a", "1"), ("b", "9")], "document_id string, payload_hash string")
     assert {r.document_id: r.disposition for r in ingest.dispositions(new, old).collect()} == {"a": "unchanged", "b": "conflict", "c": "created"}
+
+
+def test_paths_stay_inside_the_root(spark):
+    rows = ["a.txt", "sub/../a.txt", "../raw/a.txt", "../other/a.txt", "/data/raw/a.txt", "/data/rawer/a.txt", "file:/data/raw//./a.txt", "a/../../../../../x.txt", "gone.txt", "b.pdf", "..", "", None]
+    asked = spark.createDataFrame([(p,) for p in rows], "path string")
+    listing = spark.createDataFrame([("file:///data/raw/a.txt",), ("file:///data/raw/b.pdf",)], "path string")
+    good, bad = files.guarded_paths(asked, listing, "/data/raw")
+    assert sorted(r.path for r in good.collect()) == sorted(["a.txt", "sub/../a.txt", "../raw/a.txt", "/data/raw/a.txt", "file:/data/raw//./a.txt"])
+    assert {r.resolved for r in good.collect()} == {"/data/raw/a.txt"}
+    assert {r.path: r.code for r in bad.collect()} == {
+        "../other/a.txt": "outside_root", "/data/rawer/a.txt": "outside_root", "a/../../../../../x.txt": "outside_root", "..": "outside_root", "": "outside_root",
+        None: "outside_root", "gone.txt": "missing", "b.pdf": "unsupported_source"}
+
+
+def test_a_folder_outside_the_allowed_root_is_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x y")
+    assert files.load_sources(spark, str(tmp_path / "in"), allowed_root=str(tmp_path))[0].count() == 1
+    for root in (str(tmp_path / "in" / ".." / ".."), str(tmp_path) + "-other"):
+        with pytest.raises(ValueError):
+            files.load_sources(spark, root, allowed_root=str(tmp_path))
+
+
+def test_artifacts_that_cannot_be_read_are_rows(spark, tmp_path):
+    sha = "0" * 64
+    doc = {"document_id": "d1", "source_uri": "u", "title": "t", "source_type": "text", "content_sha256": sha, "text": "x", "byte_size": 1}
+    lines = [json.dumps(doc), json.dumps(doc | {"document_id": "d2"})[:-7], "no json at all", json.dumps(doc | {"document_id": "d3", "byte_size": -4}), json.dumps(doc | {"document_id": "d4", "byte_size": "many"})]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    good, issues = tables.read_artifacts(spark, str(tmp_path / "a.json"))
+    assert [r.document_id for r in good.collect()] == ["d1"]
+    assert {(r.document_id, r.code, r.detail) for r in issues.collect()} == {
+        ("d2", "artifact_invalid", "malformed"), (None, "artifact_invalid", "malformed"), ("d3", "artifact_invalid", "negative_size"), ("d4", "artifact_invalid", "malformed")}
+    wanted = spark.createDataFrame([("d1",), ("d2",), ("d9",)], "document_id string")
+    good, issues = tables.read_artifacts(spark, str(tmp_path / "a.json"), wanted)
+    assert good.count() == 1 and {(r.document_id, r.code) for r in issues.collect()} == {("d2", "artifact_invalid"), ("d9", "artifact_not_found")}

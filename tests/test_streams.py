@@ -26,3 +26,23 @@ def test_documents_sent_twice_are_stored_once(spark, tmp_path):
     stream = jobs.table_stream(spark, str(tmp_path / "in" / "*"), "*.parquet", df.schema, files_per_batch=1)
     got = jobs.ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted((r.document_id, r.ordinal) for r in got.collect()) == [(f"d{i}", k) for i in range(4) for k in range(2)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_repeats_are_served_by_what_went_through(spark, tmp_path, files):
+    import random
+
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(0, 7200), i % 5, i) for i in range(300))
+    df = spark.createDataFrame([(k, s, i) for s, k, i in rows], "k long, s long, run_id long").select(
+        F.concat(F.lit("k"), "k").alias("cache_key"), (F.to_timestamp(F.lit("2024-01-01 00:00:00")).cast("long") + F.col("s")).cast("timestamp").alias("ts"), "run_id", "s")
+    for n in range(files):
+        df.filter(F.floor(F.col("s") * files / 7200) == n).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}.parquet"))
+    stream = jobs.table_stream(spark, str(tmp_path / "in" / "*"), "*.parquet", df.schema, files_per_batch=1)
+    got = jobs.run_to_table(jobs.suppress_repeats(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
+    last, want = {}, set()
+    for s, k, i in rows:
+        if k not in last or s >= last[k] + 300:
+            last[k] = s
+            want.add((f"k{k}", i))
+    assert {(r.cache_key, r.run_id) for r in got.collect()} == want and got.count() == len(want)
