@@ -5,8 +5,8 @@ into ``SHARDS`` shards, and steps scan one shard after the other, round and roun
 the first round. A longer phrase is active from the step after both its parts (without the last and without
 the first word) have reached ``LEAST`` so far, and stays so for one full cycle; lengths are mixed in every
 scan. The run ends when no part became frequent in a whole cycle, so each phrase that can reach ``LEAST``
-has met every shard. A phrase keeps one count per shard, and a repeated count of a shard replaces it by the
-same number, so totals are exact.
+has met every shard. A phrase keeps its count and which shards are in it, so that a shard counted again by
+chance is not added twice and totals are exact.
 
 Inside a block phrases are told apart by their words; between blocks by two 64-bit hashes of language and
 words, so that a count is two words and a number. Texts are found for the frequent phrases by a last scan.
@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import Prefix, blocks, checkpoint_root, forget, mix, pick, text_bytes
 
-LONGEST, LEAST, SHARDS, TOP, PERCENT = 5, 100, 4, 2000, 100
+LONGEST, LEAST, SHARDS, TOP, PERCENT = 5, 100, 2, 2000, 100
 BITS = 1 << 24
 #: Bytes of text counted at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Counts that a task adds up before they leave it.
+HELD_COUNTS = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BREAK = np.zeros(256, bool)
@@ -144,18 +146,35 @@ def levels(batch: pa.RecordBatch, active: Active | None, longest: int):
         frequent[at], recent[at] = active.holds(0, name)[fresh], active.holds(1, name)[fresh]
 
 
+def added(parts: list[np.ndarray]) -> pa.RecordBatch:
+    """(a, b, c) with the counts of equal names added up (those of equal ``a`` that differ in ``b`` stay apart)."""
+    rows = np.hstack(parts)
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    at = np.nonzero(new)[0]
+    return pa.RecordBatch.from_arrays([pa.array(rows[0, at]), pa.array(rows[1, at]), pa.array(np.add.reduceat(rows[2], at) if len(at) else rows[2])], names=["a", "b", "c"])
+
+
 def scan(shard: DataFrame, active: Active | None, every_word: bool, longest: int) -> DataFrame:
     """(a, b, c) of one shard, several rows a phrase: words (and all words of a language) if asked for, and active phrases."""
     held = shard.sparkSession.sparkContext.broadcast(active)  # two fields of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in blocks(batches, "text", STEP_BYTES):
             for k, _, of, _, _, name, code, recent in levels(batch, held.value, longest):
                 if k < 2 and not every_word:
                     continue
                 counts = np.bincount(code if recent is None else code[recent], minlength=len(of))
                 some = np.nonzero(counts)[0]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, sized(name[:, some], k)), pa.array(counts[some])], names=["a", "b", "c"])
+                parts.append(np.vstack([sized(name[:, some], k), counts[some]]))
+                size += len(some)
+            if size > HELD_COUNTS:
+                yield added(parts)
+                parts, size = [], 0
+        if parts:
+            yield added(parts)
 
     return shard.select("lang", "text").mapInArrow(work, "a long, b long, c long")
 
@@ -180,11 +199,11 @@ def spellings(texts: DataFrame, known: Active, longest: int) -> DataFrame:
 
 
 def bit_fields(table: DataFrame, since: int, longest: int, bits: int) -> np.ndarray:
-    """The two fields of the frequent phrases of up to ``longest`` words; ``since`` is the first step of the last cycle."""
+    """The two fields of the frequent phrases of up to ``longest`` words; those are new whose ``since`` (from 1) is not less than the given one."""
     k = F.col("b").bitwiseAND(F.lit(7))
     h = F.col("a").bitwiseAND(F.lit(bits - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    parts = table.filter(F.col("since").isNotNull() & k.between(1, longest)).select(F.shiftright(h, 6).alias("slot"), bit.alias("bit"), (F.col("since") >= since).alias("new"))
+    parts = table.filter((F.col("since") > 0) & k.between(1, longest)).select(F.shiftright(h, 6).alias("slot"), bit.alias("bit"), (F.col("since") >= since).alias("new"))
     each = parts.groupBy("slot").agg(F.bit_or("bit").alias("all"), F.bit_or(F.when(F.col("new"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("new")).toArrow()
     out = np.zeros((2, bits // 64), np.uint64)
     slot = each.column("slot").to_numpy()  # bits / 64 rows at most
@@ -198,7 +217,7 @@ def phrase_counts(
 ) -> DataFrame:
     """(lang, phrase, k, f): exact counts of all phrases of 1 to ``longest`` words with at least ``least``; ``k`` 0 counts all words.
 
-    ``bits`` is a power of two, 64 at least; ``longest`` is 7 at most.
+    ``bits`` is a power of two, 64 at least; ``longest`` is 7 at most, ``shards`` 8.
     """
     spark = docs.sparkSession
     root = f"{checkpoint_root(spark)}/phrases-{uuid.uuid4().hex}"
@@ -206,22 +225,31 @@ def phrase_counts(
     dealt = dealt.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(f"{root}/texts")
     texts = spark.read.schema("text string, lang string, shard int").parquet(f"{root}/texts")
-    each = [f"c{j}" for j in range(shards)]
-    counts = [F.coalesce(c, F.lit(0)) for c in each]
-    total, is_total = sum(counts[1:], counts[0]), F.col("b").bitwiseAND(F.lit(7)) == 0
-    state = spark.createDataFrame([], "a long, b long, since int, seen int, " + ", ".join(f"{c} long" for c in each))
+    # A phrase's state is its count and one number: since when it is frequent (0: not yet), the last step that met it, the shards counted.
+    since, seen, met = (F.shiftright("info", 32), F.shiftright("info", 8).bitwiseAND(F.lit(0xFFFFFF)), F.col("info").bitwiseAND(F.lit(0xFF)))
+    is_total = F.col("b").bitwiseAND(F.lit(7)) == 0
+    state = spark.createDataFrame([], "a long, b long, f long, info long")
     for step in itertools.count():
-        fields = bit_fields(state, step - shards, longest - 1, bits) if step else None
+        fields = bit_fields(state.withColumn("since", since), step - shards + 1, longest - 1, bits) if step else None
         if step >= shards and not fields[1].any():
             break
         scanned = scan(texts.filter(F.col("shard") == step % shards), None if fields is None else Active(fields), step < shards, longest)
-        here = each[step % shards]
-        merged = scanned.unionByName(state, allowMissingColumns=True).groupBy("a", "b").agg(F.sum("c").alias("c"), *(F.max(x).alias(x) for x in ("since", "seen", *each)))
-        merged = merged.withColumn(here, F.coalesce("c", here)).withColumn("seen", F.when(F.col("c").isNotNull(), step).otherwise(F.col("seen")))
-        merged = merged.withColumn("since", F.when(total >= least, F.coalesce("since", F.lit(step)))).drop("c")
-        state = _written(merged.filter(F.col("since").isNotNull() | is_total | (F.col("seen") > step - shards)), f"{root}/step-{step}")
+        none = F.lit(None).cast("long")
+        rows = scanned.select("a", "b", "c", none.alias("f"), none.alias("info")).unionByName(state.select("a", "b", none.alias("c"), "f", "info"))
+        merged = rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("f").alias("f"), F.coalesce(F.max("info"), F.lit(0)).alias("info"))
+        bit = 1 << step % shards
+        fresh = F.when(met.bitwiseAND(F.lit(bit)) == 0, F.coalesce("c", F.lit(0))).otherwise(0)  # a shard counts once
+        merged = merged.select(
+            "a", "b", (F.coalesce("f", F.lit(0)) + fresh).alias("f"), since.alias("since"), F.when(F.col("c").isNotNull(), step).otherwise(seen).alias("seen"),
+            F.when(F.col("c").isNotNull(), met.bitwiseOR(F.lit(bit))).otherwise(met).alias("met"),
+        )
+        merged = merged.withColumn("since", F.when((F.col("f") >= least) & (F.col("since") == 0), step + 1).otherwise(F.col("since")))
+        merged = merged.filter((F.col("since") > 0) | is_total | (F.col("seen") > step - shards))
+        info = F.expr("shiftleft(since, 32)").bitwiseOR(F.expr("shiftleft(seen, 8)")).bitwiseOR(F.col("met"))
+        state = _written(merged.select("a", "b", "f", info.cast("long").alias("info")), f"{root}/step-{step}")
         forget(spark, f"{root}/step-{step - 1}")
-    final = state.filter(F.col("since").isNotNull() | is_total).select("a", "b", F.col("b").bitwiseAND(F.lit(7)).cast("int").alias("k"), total.alias("f"))
+    state = state.withColumn("since", since)
+    final = state.filter((F.col("since") > 0) | is_total).select("a", "b", F.col("b").bitwiseAND(F.lit(7)).cast("int").alias("k"), "f")
     named = spellings(texts, Active(bit_fields(state, 0, longest, bits)), longest)
     out = _written(final.join(named, ["a", "b"]).select("lang", "phrase", "k", "f"), f"{root}/phrases")
     for name in ("texts", f"step-{step - 1}"):
