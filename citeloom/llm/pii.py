@@ -33,7 +33,9 @@ from citeloom.llm.common import blocks, pick
 from citeloom.llm.tagger import KINDS, Tagger, classes
 
 WINDOW, STRIDE = 128, 64
-FIT_ROWS, FIT_BYTES, FIT_WINDOWS = 1500, 8192, 1600
+#: Bounds of the fit: texts, bytes of one, training windows, spans of a text that give one each, and how far into a
+#: text the other digits are looked for. They bound the sample alone; every text is decoded whole.
+FIT_ROWS, FIT_BYTES, FIT_WINDOWS, FIT_SPANS, FIT_REACH = 1500, 8192, 1600, 4, 4096
 #: Mean lead over "outside" that a tagger's span needs, and windows decoded together.
 LEAD, TOGETHER = 0.0, 1024
 
@@ -152,12 +154,12 @@ def examples(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     rng, xs, ys = np.random.default_rng(seed), [], []
     for text in texts:
         spans = base_spans(text)
-        for span in spans[:4]:
+        for span in spans[:FIT_SPANS]:
             start = max(0, span[1] - int(rng.integers(0, WINDOW - 48)))
             start = min([start, *(a for _, a, b in spans if a < start < b)])
             xy = tagged_window(text, spans, start, span if rng.random() < 0.5 else None, rng)
             xs.append(xy[0]), ys.append(xy[1])
-        others = [m.start() for m in DIGIT.finditer(text[:4096]) if not any(a <= m.start() < b for _, a, b in spans)]
+        others = [m.start() for m in DIGIT.finditer(text[:FIT_REACH]) if not any(a <= m.start() < b for _, a, b in spans)]
         if others:
             start = max(0, int(rng.choice(others)) - int(rng.integers(0, WINDOW - 8)))
             start = min([start, *(a for _, a, b in spans if a < start < b)])
@@ -187,7 +189,7 @@ def train(docs: DataFrame) -> Tagger | None:
         tagger = fit(group["text"].tolist())
         return pd.DataFrame({"data": [tagger.dump() if tagger else b""]})
 
-    found = fits.join(F.broadcast(ids), "doc_id").limit(2 * FIT_ROWS).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(work, "data binary").first()
+    found = fits.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * FIT_ROWS).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(work, "data binary").first()
     return Tagger.load(bytes(found.data)) if found and found.data else None
 
 
