@@ -184,15 +184,23 @@ def spellings(texts: DataFrame, known: Active, longest: int) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, np.uint64)  # first hashes of what this task has spelled out, as far as they are held
         for batch in blocks(batches, "text", STEP_BYTES):
+            fresh = [np.zeros(0, np.uint64)]
             for k, langs, of, words, parts, name, _, _ in levels(batch, held.value, longest):
                 some = np.nonzero(held.value.holds(0, name))[0] if k else np.arange(len(of))
+                if len(sent):
+                    at = np.minimum(np.searchsorted(sent, name[0, some] ^ name[1, some]), len(sent) - 1)
+                    some = some[sent[at] != name[0, some] ^ name[1, some]]
                 if not len(some):
                     continue
+                fresh.append(name[0, some] ^ name[1, some])
                 texts = [words.take(pa.array(parts[some, j])) for j in range(k)]
                 joined = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if texts else pa.array([b""] * len(some))
                 named = [langs.take(pa.array(of[some])).cast(pa.string()), joined.cast(pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, sized(name[:, some], k)), *named], names=["a", "b", "lang", "phrase"])
+            if len(sent) <= HELD_COUNTS:
+                sent = np.union1d(sent, np.concatenate(fresh))
 
     found = texts.select("lang", "text").mapInArrow(work, "a long, b long, lang string, phrase string")
     return found.groupBy("a", "b").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
