@@ -201,6 +201,7 @@ def cosine_top_k(
 def _scan_with(table: pa.Table, k: int, filters: Sequence[str] = ()):
     qids = np.array(table.column("query_id").to_pylist(), dtype=object)
     qmat = _normalised(_matrix(table.column("embedding")))
+    filters = filters or ()
     wanted = [table.column(f).to_pylist() for f in filters]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
