@@ -13,6 +13,7 @@ from citeloom.queries import control
 from citeloom.queries import inputs as inp
 from citeloom.queries.base import fragment, register, sql
 from citeloom.queries import packaging, retrieval
+from citeloom.session import cut_lineage
 
 
 
@@ -394,7 +395,7 @@ def fresh_case_hits(spark, folder):
     """Hits of every retriever a baseline may choose. Compression keeps the best sentences of each hit."""
     asked = case_queries(spark, folder)
     words = asked.select("query_id", F.array_distinct(tx.unicode_words(F.lower("query"))).alias("qw"))
-    pages = markup.with_visible_text(inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("evidence_id"), "html"), F.col("html"), "text").drop("html")
+    pages = inp.table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("evidence_id"), F.col("html").alias("text"))
     texts = {"local": local_evidence(spark, folder).select("evidence_id", "text"), "web": pages, "corpus": inp.chunks(spark, folder).select(F.col("chunk_id").alias("evidence_id"), "text")}
     found = {
         "local": samples.substring_relevance(asked, local_evidence(spark, folder), 6), "web": samples.substring_relevance(asked, web_evidence(spark, folder), 6),
@@ -402,7 +403,11 @@ def fresh_case_hits(spark, folder):
     }
     out = None
     for name, hits in found.items():
-        rows = hits.select("query_id", "evidence_id").join(texts[name].select("evidence_id", flat(F.col("text")).alias("text")), "evidence_id").join(words, "query_id")
+        # A few rows per query are written first; texts are made plain only where they are hits.
+        rows = cut_lineage(hits.select("query_id", "evidence_id")).join(texts[name], "evidence_id")
+        if name == "web":
+            rows = markup.with_visible_text(rows.withColumnRenamed("text", "html"), F.col("html"), "text").drop("html")
+        rows = rows.withColumn("text", flat(F.col("text"))).join(words, "query_id")
         short = compression.best_sentences(compression.boundaries(F.col("text")), F.col("text"), F.col("qw"), KEEP)
         sizes = {"": F.length("text")} | ({"_compressed": F.length(short)} if name != "corpus" else {})
         for suffix, size in sizes.items():

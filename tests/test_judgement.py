@@ -118,6 +118,27 @@ def test_substring_relevance_matches_a_plain_loop(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("query_bytes, block_bytes", [(samples.QUERY_BYTES, samples.BLOCK_BYTES), (64, 64)])
+def test_substring_relevance_keeps_k_rows_a_query_in_each_task(spark, monkeypatch, query_bytes, block_bytes):
+    """Only the best rows leave a task; queries and evidence in blocks of any size and repeated ids give the same."""
+    monkeypatch.setattr(samples, "QUERY_BYTES", query_bytes)
+    monkeypatch.setattr(samples, "BLOCK_BYTES", block_bytes)
+    words = ["red", "redder", "blue", "lue-x", "green", "ee"]
+    rows = [(f"e{i % 90}", words[i % 6].upper() if i % 4 else None, None if i % 7 == 3 else f"{words[i % 5]} {words[i * i % 6]} re {i}", i) for i in range(100)]
+    e = spark.createDataFrame(rows + [(None, "red", "red", 200)], "evidence_id string, title string, text string, position long").repartition(3)
+    asked = [(1, "red ee the"), (2, "Lue lue gre"), (3, "nowhere"), (4, "1 re blue.")]
+    q = spark.createDataFrame(asked + asked[:1], "query_id long, query string")
+    scan = samples.substring_relevance(q, e, 4)
+    got = {(r.query_id, r["rank"]): (r.evidence_id, r.score) for r in scan.collect()}
+    want = {}
+    for qid, text in asked:
+        kept = {w for w in text.lower().split() if len(w) > 1 and w != "the"}
+        score = lambda i: sum(2 if any(w in (t or "").lower() for e, t, _, _ in rows if e == i) else any(w in (x or "") for e, _, x, _ in rows if e == i) for w in kept)
+        best = sorted(((-score(e), p, e) for e, _, _, p in rows if score(e)))[:4]
+        want |= {(qid, n + 1): (e, float(-s)) for n, (s, _, e) in enumerate(best)}
+    assert got == want
+
+
 def test_loop_outcomes(spark):
     """Found at once, unchanged evidence, contradiction, and nothing found."""
     text = {"good": "alpha beta gamma is set", "weak": "unrelated", "c1": "limit is 3 alpha", "c2": "limit is 4 alpha"}
