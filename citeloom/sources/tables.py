@@ -20,6 +20,13 @@ def holds_files(spark: SparkSession, path: str) -> bool:
     return files.exists(place) and len(files.listStatus(place)) > 0
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder, on any file system that Spark reads; patterns are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if holds_files(spark, path) else None
 

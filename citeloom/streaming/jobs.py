@@ -12,14 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from citeloom.operators.chunking import ChunkSizes, word_windows
-from citeloom.sources.tables import holds_files
+from citeloom.sources.tables import holds_files, is_folder
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType, *, files_per_batch: int = 64) -> DataFrame:
-    """New Parquet files named ``name`` under ``folder``; the rate is bounded per batch."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+    """New Parquet files named ``name`` under ``folder``, or those in it if the name is a folder; the rate is bounded per batch."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_folder(spark, f"{folder}/{name}"):
+        return stream.parquet(f"{folder}/{name}")
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:

@@ -46,3 +46,12 @@ def test_repeats_are_served_by_what_went_through(spark, tmp_path, files):
             last[k] = s
             want.add((f"k{k}", i))
     assert {(r.cache_key, r.run_id) for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_stream_reads_a_table_that_is_a_folder_of_parts(spark, tmp_path, parts):
+    df = spark.range(30).repartition(parts)
+    df.write.parquet(str(tmp_path / "t.parquet"))
+    stream = jobs.table_stream(spark, str(tmp_path), "t.parquet", df.schema, files_per_batch=1)
+    got = jobs.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted(r.id for r in got.collect()) == list(range(30))
