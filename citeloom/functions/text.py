@@ -18,11 +18,17 @@ from pyspark.sql import types as T
 SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same code points one by one, for trimming.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# One or more characters that are no white space: runs of visible ASCII need one comparison a character, others the whole class.
+SOLID = rf"(?:[!-~]++|[^{SPACE}])++"
 # The word class and the code-aware token pattern.
 WORD = r"\p{L}\p{N}_"
 TOKEN_PATTERN = (
     rf"--[{WORD}-]+|/[{WORD}./-]+|[{WORD}]+(?:[._-][{WORD}]+)*|==|!=|<=|>="
 )
+# The same tokens, lower-cased, with ASCII runs first.
+_TOKEN = rf"--[{WORD}-]+|/[{WORD}./-]+|(?:[0-9a-z_]++|[{WORD}])++(?:[._-](?:[0-9a-z_]++|[{WORD}])++)*+|==|!=|<=|>="
 # Words the tokenizer drops.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
@@ -41,11 +47,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(col, F.lit(SPACES))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"[{SPACE}]+$", "")
+    return F.rtrim(col, F.lit(SPACES))
 
 
 def is_blank(col: Column) -> Column:
@@ -54,11 +60,11 @@ def is_blank(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Runs of non-space characters."""
-    return F.regexp_extract_all(col, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(col, F.lit(SOLID), F.lit(0))
 
 
 def word_count(col: Column) -> Column:
-    return F.regexp_count(col, F.lit(rf"[^{SPACE}]+"))
+    return F.regexp_count(col, F.lit(SOLID))
 
 
 @F.pandas_udf(T.StringType())
@@ -74,7 +80,7 @@ def nfkc(col: Column) -> Column:
 def tokens(col: Column, *, normalise: bool = True) -> Column:
     """Lower-cased code-aware tokens without trailing dots and stop words."""
     source = F.lower(nfkc(col) if normalise else col)
-    raw = F.regexp_extract_all(source, F.lit(TOKEN_PATTERN), F.lit(0))
+    raw = F.regexp_extract_all(source, F.lit(_TOKEN), F.lit(0))
     clean = F.transform(raw, lambda t: F.rtrim(t, F.lit(".")))
     return F.filter(clean, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 

@@ -155,3 +155,9 @@ def test_a_large_page_costs_what_it_holds(spark):
     page = "".join(f"<div><p>word{i} &amp; more</p><template><template>x</template></template></div>" for i in range(20_000))
     got = visible(spark, page)[0]
     assert got.startswith("word0 & more\n\nword1 & more") and got.count("\n\n") == 19_999
+
+
+def test_word_windows_cut_each_text_once(spark):
+    docs = spark.createDataFrame([("d", "T", "u", " ".join(f"w{i}" for i in range(1300)))], "document_id string, title string, source_uri string, text string")
+    plan = ch.word_windows(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text#") == 1 and "{1,540}+" in plan  # strides, not a list of all words
