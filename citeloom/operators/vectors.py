@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -66,6 +67,28 @@ def hashed_embedding(term_counts: DataFrame, key: str, *, dim: int = 64) -> Data
     return packed.select(key, vector.alias("embedding"))
 
 
+def counted_embedding(counted: DataFrame, *keys: str, dim: int = 64) -> DataFrame:
+    """The vectors of :func:`hashed_embedding` from rows that hold all ``counts`` of their key, without a shuffle."""
+    schema = T.StructType([*counted.select(*keys).schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def slots(terms: pa.Array) -> np.ndarray:
+        return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in terms.to_pylist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, tf = batch.column("term"), batch.column("tf").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = terms.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(batch)), terms.value_lengths().to_numpy())
+            slot = slots(flat.dictionary)[flat.indices.to_numpy()]
+            sums = np.bincount(row * dim + slot, tf, len(batch) * dim).reshape(-1, dim)  # whole numbers, exact
+            unit = sums / np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dim), pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], lists], names=[*keys, "embedding"])
+
+    rows = counted.filter(F.size("counts") > 0).select(*keys, F.col("counts.term").alias("term"), F.col("counts.tf").alias("tf"))
+    return rows.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- checks and identifiers
 
 

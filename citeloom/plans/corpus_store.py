@@ -26,19 +26,20 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     search may filter on.
     """
     spark = docs.sparkSession
-    docs.write.mode("errorifexists").parquet(f"{root}/documents")
+    put = lambda df, name: df.write.option("compression", "zstd").parquet(f"{root}/{name}")
+    put(docs, "documents")
     stored = spark.read.parquet(f"{root}/documents")
     windows = chunking.word_windows(stored, sizes, keep=("doc_id", "source", "lang", "source_type"))
-    windows.write.parquet(f"{root}/chunks")
+    put(windows, "chunks")
     chunks = spark.read.parquet(f"{root}/chunks")
-    counted = lexical.with_term_counts(lexical.tokenised(chunks))
-    counted.select("chunk_id", "document_id", "ordinal", F.size("tokens").alias("dl"), "counts").write.parquet(f"{root}/counts")
+    counted = lexical.with_term_counts(lexical.tokenised(chunks, keep=("source",)))
+    put(counted.select("chunk_id", "document_id", "ordinal", "source", F.size("tokens").alias("dl"), "counts"), "counts")
     counts = spark.read.parquet(f"{root}/counts")
-    lexical.corpus_positions(counts).select("chunk_id", "position").write.parquet(f"{root}/positions")
+    put(lexical.corpus_positions(counts).select("chunk_id", "position"), "positions")
     places = spark.read.parquet(f"{root}/positions")
     lexical.save_index(lexical.index_from_counts(counts, places=places), f"{root}/lexical")
-    embedded = vectors.hashed_embedding(lexical.each_term(counts, "chunk_id"), "chunk_id", dim=dim)
-    embedded.join(chunks.select("chunk_id", "document_id", "source"), "chunk_id").write.partitionBy("source").parquet(f"{root}/vectors")
+    embedded = vectors.counted_embedding(counts.filter("chunk_id is not null"), "chunk_id", "document_id", "source", dim=dim)
+    embedded.write.partitionBy("source").option("compression", "zstd").parquet(f"{root}/vectors")
 
 
 def load(spark: SparkSession, root: str) -> CorpusStore:

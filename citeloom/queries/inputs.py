@@ -120,7 +120,8 @@ def passage_matches(asked: DataFrame, base: DataFrame) -> DataFrame:
         units = base.select("chunk_id", (tx.words(F.col("text")) if used.inner else F.col("text")).alias("w"))
         count, n = F.size("w") if used.inner else F.length("w"), F.lit(used["size"])
         keys = F.array_distinct(F.transform(F.sequence(F.lit(1), count - n + 1), _run_hash(used.inner, n)))
-        part = units.filter(count >= n).select("chunk_id", F.lit(used.inner).alias("inner"), n.alias("size"), F.explode(keys).alias("h"))
+        # The outer form on purpose: for the inner one Spark infers a filter that cuts every text a second time.
+        part = units.select("chunk_id", F.lit(used.inner).alias("inner"), n.alias("size"), F.explode_outer(F.when(count >= n, keys)).alias("h")).filter("h is not null")
         runs = part if runs is None else runs.unionByName(part)
     if runs is None:
         return asked.select("query_id").withColumn("chunk_id", F.lit("")).limit(0)

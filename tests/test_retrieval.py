@@ -114,3 +114,25 @@ def test_point_ids_are_uuid5(spark):
     df = spark.createDataFrame([("c1",), ("é",)], "c string")
     for r in df.select("c", vectors.point_id(F.col("c")).alias("u")).collect():
         assert r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, vectors.POINT_LABEL + r.c))
+
+
+def test_index_problems_tokenise_each_chunk_once(spark):
+    rows = [("a", "d", 0, "x y"), ("a", "d", 0, "x y"), ("b", "d", 1, "... of the"), ("b", "d", 1, "... of the"), ("c", "d", 2, "z"), (None, "d", 3, "of"), ("e", "d", 4, None)]
+    found = lexical.index_problems(spark.createDataFrame(rows, "chunk_id string, document_id string, ordinal int, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    want = [("a", "duplicate_chunk_id", 2), ("b", "duplicate_chunk_id", 2), ("b", "empty_token_list", 1), ("b", "empty_token_list", 1), (None, "empty_token_list", 1)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_search_keeps_k_rows_a_query_in_each_task(spark, tmp_path):
+    """The scan of the chunks gives what the join with the postings gives, and no row for every match leaves a task."""
+    texts = [" ".join(f"w{(i * j) % 41}" for j in range(1, 9)) + f" own{i} rest{i % 5}" for i in range(120)]
+    index = stored(spark, texts, tmp_path / "ix")
+    q = spark.createDataFrame([(1, "w3 w5 w7"), (2, "own4 w1 w1"), (3, "rest2"), (4, "nothing"), (2, "w9")], "query_id long, query string")
+    scan = lexical._scanned(index, q, 5, True)
+    assert scan is not None and scan.count() <= 3 * 5 * scan.rdd.getNumPartitions()
+    got = {(r.query_id, r["rank"]): (r.document_id, r.score) for r in lexical.bm25_top_k(index, q, 5).collect()}
+    joined = lexical.LexicalIndex(index.postings, index.terms, index.chunks, index.meta, index.k1, index.b)
+    want = {(r.query_id, r["rank"]): (r.document_id, r.score) for r in lexical.bm25_top_k(joined, q, 5).collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-8 for x in got)
