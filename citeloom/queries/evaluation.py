@@ -550,7 +550,7 @@ fragment("gate_after", "SELECT query_id AS case_id, chunk_id AS evidence_id, CAS
     "gate_before", "gate_after", "expected_evidence"))
 def compression_gate(spark, folder):
     """What the compressed packages keep of the packages' evidence."""
-    packages = packaging.compressed(spark, folder)
+    packages = cut_lineage(packaging.compressed(spark, folder).select("query_id", "evidence", "compressed"))  # read several times
     items = lambda c: packages.select(F.col("query_id").alias("case_id"), F.explode(c).alias("e")).select(
         "case_id", F.col("e.chunk_id").alias("evidence_id"), F.length("e.excerpt").alias("chars"))
     return samples.compression_gate(items("evidence"), items("compressed"), expected_evidence(spark, folder))
