@@ -9,7 +9,8 @@ has met every shard. A phrase keeps its count and which shards are in it, so tha
 chance is not added twice and totals are exact.
 
 Inside a block phrases are told apart by their words; between blocks by two 64-bit hashes of language and
-words, so that a count is two words and a number. Texts are found for the frequent phrases by a last scan.
+words, so that a count is two words and a number. A count also carries its home: one of the places (what one
+task dealt to one shard) that hold the phrase. A last scan spells each frequent phrase out at its home only.
 Scans learn what is active from two bit fields of ``BITS`` bits each (parts that are frequent, and those that
 became so within the last cycle), built by tasks and broadcast: their size is fixed. Bits of other phrases
 may be set by chance; then a phrase is counted that need not be, which changes no total. Counts are added up
@@ -40,6 +41,8 @@ from citeloom.llm.common import Prefix, blocks, checkpoint_root, forget, mix, pi
 
 LONGEST, LEAST, SHARDS, TOP, PERCENT = 5, 100, 2, 2000, 100
 BITS = 1 << 24
+#: Bits of a field that tells which phrases are spelled out where, for each bit of the others.
+HOME_BITS = 4
 #: Bytes of text counted at once.
 STEP_BYTES = 2 << 20
 #: Counts that a task adds up before they leave it.
@@ -51,6 +54,8 @@ BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 OUTSIDE = BREAK.copy()
 OUTSIDE[[9, 32]] = True
 STEPS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: What a home is multiplied by (products of 31 bits by 31 bits), for each of the two bits of a phrase at its home.
+HOME_STEPS = (0x5BD1E995, 0x27D4EB2F)
 #: Second coefficients of bytes, so that the two hashes of a word differ in kind.
 SECOND = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -106,6 +111,23 @@ class Active:
         return (self.fields[which][(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def spelled_at(field: np.ndarray, pair: np.ndarray, home: int) -> np.ndarray:
+    """Which of the phrases have both bits of this home in the field (others may have them by chance)."""
+    out = np.ones(pair.shape[1], bool)
+    for h, step in zip((pair[0], pair[1] >> 3), HOME_STEPS):
+        h = (h ^ (home * step)) & (64 * len(field) - 1)
+        out &= (field[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return out
+
+
+def by_home(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Blocks of texts of one home, with it."""
+    for batch in blocks(batches, "text", STEP_BYTES):
+        home = batch.column("home").to_numpy()
+        for start, stop in itertools.pairwise([0, *np.nonzero(np.diff(home))[0] + 1, len(home)]):
+            yield int(home[start]), batch.slice(start, stop - start)
+
+
 def levels(batch: pa.RecordBatch, active: Active | None, longest: int):
     """``k, langs, of, words, parts, name, code, recent`` for each phrase length met in a block of texts.
 
@@ -147,28 +169,29 @@ def levels(batch: pa.RecordBatch, active: Active | None, longest: int):
 
 
 def added(parts: list[np.ndarray]) -> pa.RecordBatch:
-    """(a, b, c) with the counts of equal names added up (those of equal ``a`` that differ in ``b`` stay apart)."""
+    """(a, b, c, home) with the counts of equal names added up (those of equal ``a`` that differ in ``b`` stay apart)."""
     rows = np.hstack(parts)
     rows = rows[:, np.argsort(rows[0], kind="stable")]
     new = np.ones(rows.shape[1], bool)
     new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
     at = np.nonzero(new)[0]
-    return pa.RecordBatch.from_arrays([pa.array(rows[0, at]), pa.array(rows[1, at]), pa.array(np.add.reduceat(rows[2], at) if len(at) else rows[2])], names=["a", "b", "c"])
+    sums = np.add.reduceat(rows[2], at) if len(at) else rows[2]
+    return pa.RecordBatch.from_arrays([*map(pa.array, (rows[0, at], rows[1, at], sums, rows[3, at]))], names=["a", "b", "c", "home"])
 
 
 def scan(shard: DataFrame, active: Active | None, every_word: bool, longest: int) -> DataFrame:
-    """(a, b, c) of one shard, several rows a phrase: words (and all words of a language) if asked for, and active phrases."""
+    """(a, b, c, home) of one shard, several rows a phrase: words (and all words of a language) if asked for, and active phrases."""
     held = shard.sparkSession.sparkContext.broadcast(active)  # two fields of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in blocks(batches, "text", STEP_BYTES):
+        for home, batch in by_home(batches):
             for k, _, of, _, _, name, code, recent in levels(batch, held.value, longest):
                 if k < 2 and not every_word:
                     continue
                 counts = np.bincount(code if recent is None else code[recent], minlength=len(of))
                 some = np.nonzero(counts)[0]
-                parts.append(np.vstack([sized(name[:, some], k), counts[some]]))
+                parts.append(np.vstack([sized(name[:, some], k), counts[some], np.full(len(some), home)]))
                 size += len(some)
             if size > HELD_COUNTS:
                 yield added(parts)
@@ -176,19 +199,23 @@ def scan(shard: DataFrame, active: Active | None, every_word: bool, longest: int
         if parts:
             yield added(parts)
 
-    return shard.select("lang", "text").mapInArrow(work, "a long, b long, c long")
+    return shard.select("lang", "text", "home").mapInArrow(work, "a long, b long, c long, home long")
+
 
+def spellings(texts: DataFrame, known: Active, homes: np.ndarray, longest: int) -> DataFrame:
+    """(a, b, lang, phrase): the texts of all phrases that ``homes`` has, each from its home (several rows, if tasks share that).
 
-def spellings(texts: DataFrame, known: Active, longest: int) -> DataFrame:
-    """(a, b, lang, phrase): the texts of all phrases in the first bit field."""
-    held = texts.sparkSession.sparkContext.broadcast(known)
+    ``known`` holds the frequent phrases, which lead from a phrase to longer ones.
+    """
+    held = texts.sparkSession.sparkContext.broadcast((known, homes))  # fields of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, np.uint64)  # first hashes of what this task has spelled out, as far as they are held
-        for batch in blocks(batches, "text", STEP_BYTES):
+        known, homes = held.value
+        for home, batch in by_home(batches):
             fresh = [np.zeros(0, np.uint64)]
-            for k, langs, of, words, parts, name, _, _ in levels(batch, held.value, longest):
-                some = np.nonzero(held.value.holds(0, name))[0] if k else np.arange(len(of))
+            for k, langs, of, words, parts, name, _, _ in levels(batch, known, longest):
+                some = np.nonzero(spelled_at(homes, sized(name, k), home))[0]
                 if len(sent):
                     at = np.minimum(np.searchsorted(sent, name[0, some] ^ name[1, some]), len(sent) - 1)
                     some = some[sent[at] != name[0, some] ^ name[1, some]]
@@ -202,16 +229,14 @@ def spellings(texts: DataFrame, known: Active, longest: int) -> DataFrame:
             if len(sent) <= HELD_COUNTS:
                 sent = np.union1d(sent, np.concatenate(fresh))
 
-    found = texts.select("lang", "text").mapInArrow(work, "a long, b long, lang string, phrase string")
-    return found.groupBy("a", "b").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+    return texts.select("lang", "text", "home").mapInArrow(work, "a long, b long, lang string, phrase string")
 
 
 def bit_fields(table: DataFrame, since: int, longest: int, bits: int) -> np.ndarray:
     """The two fields of the frequent phrases of up to ``longest`` words; those are new whose ``since`` (from 1) is not less than the given one."""
     k = F.col("b").bitwiseAND(F.lit(7))
     h = F.col("a").bitwiseAND(F.lit(bits - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    parts = table.filter((F.col("since") > 0) & k.between(1, longest)).select(F.shiftright(h, 6).alias("slot"), bit.alias("bit"), (F.col("since") >= since).alias("new"))
+    parts = table.filter((F.col("since") > 0) & k.between(1, longest)).select(F.shiftright(h, 6).alias("slot"), _bit(h).alias("bit"), (F.col("since") >= since).alias("new"))
     each = parts.groupBy("slot").agg(F.bit_or("bit").alias("all"), F.bit_or(F.when(F.col("new"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("new")).toArrow()
     out = np.zeros((2, bits // 64), np.uint64)
     slot = each.column("slot").to_numpy()  # bits / 64 rows at most
@@ -220,6 +245,20 @@ def bit_fields(table: DataFrame, since: int, longest: int, bits: int) -> np.ndar
     return out
 
 
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def home_field(final: DataFrame, bits: int) -> np.ndarray:
+    """The field of :func:`spelled_at`: two bits of each phrase ``a, b`` at its ``home``."""
+    hashes = [h.bitwiseXOR(F.col("home") * F.lit(step)).bitwiseAND(F.lit(bits - 1)) for h, step in zip((F.col("a"), F.shiftright("b", 3)), HOME_STEPS)]
+    each = final.select(F.explode(F.array(*hashes)).alias("h")).select(F.shiftright("h", 6).alias("slot"), _bit(F.col("h")).alias("bit"))
+    each = each.groupBy("slot").agg(F.bit_or("bit").alias("all")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[each.column("slot").to_numpy()] = each.column("all").to_numpy().view(np.uint64)  # bits / 64 rows at most
+    return out
+
+
 def phrase_counts(
     docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITS
 ) -> DataFrame:
@@ -231,34 +270,36 @@ def phrase_counts(
     root = f"{checkpoint_root(spark)}/phrases-{uuid.uuid4().hex}"
     dealt = pick(docs, text=text, lang=F.coalesce(docs[lang].cast("string"), F.lit("und"))).filter("text IS NOT NULL")
     dealt = dealt.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
+    dealt = dealt.withColumn("home", F.spark_partition_id().cast("long") * shards + F.col("shard"))
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(f"{root}/texts")
-    texts = spark.read.schema("text string, lang string, shard int").parquet(f"{root}/texts")
-    # A phrase's state is its count and one number: since when it is frequent (0: not yet), the last step that met it, the shards counted.
+    texts = spark.read.schema("text string, lang string, home long, shard int").parquet(f"{root}/texts")
+    # A phrase's state is its count, its home and one number: since when it is frequent (0: not yet), the last step that met it, the shards counted.
     since, seen, met = (F.shiftright("info", 32), F.shiftright("info", 8).bitwiseAND(F.lit(0xFFFFFF)), F.col("info").bitwiseAND(F.lit(0xFF)))
     is_total = F.col("b").bitwiseAND(F.lit(7)) == 0
-    state = spark.createDataFrame([], "a long, b long, f long, info long")
+    state = spark.createDataFrame([], "a long, b long, f long, info long, home long")
     for step in itertools.count():
         fields = bit_fields(state.withColumn("since", since), step - shards + 1, longest - 1, bits) if step else None
         if step >= shards and not fields[1].any():
             break
         scanned = scan(texts.filter(F.col("shard") == step % shards), None if fields is None else Active(fields), step < shards, longest)
         none = F.lit(None).cast("long")
-        rows = scanned.select("a", "b", "c", none.alias("f"), none.alias("info")).unionByName(state.select("a", "b", none.alias("c"), "f", "info"))
-        merged = rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("f").alias("f"), F.coalesce(F.max("info"), F.lit(0)).alias("info"))
+        rows = scanned.select("a", "b", "c", none.alias("f"), none.alias("info"), "home").unionByName(state.select("a", "b", none.alias("c"), "f", "info", "home"))
+        merged = rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("f").alias("f"), F.coalesce(F.max("info"), F.lit(0)).alias("info"), F.min("home").alias("home"))
         bit = 1 << step % shards
         fresh = F.when(met.bitwiseAND(F.lit(bit)) == 0, F.coalesce("c", F.lit(0))).otherwise(0)  # a shard counts once
         merged = merged.select(
             "a", "b", (F.coalesce("f", F.lit(0)) + fresh).alias("f"), since.alias("since"), F.when(F.col("c").isNotNull(), step).otherwise(seen).alias("seen"),
-            F.when(F.col("c").isNotNull(), met.bitwiseOR(F.lit(bit))).otherwise(met).alias("met"),
+            F.when(F.col("c").isNotNull(), met.bitwiseOR(F.lit(bit))).otherwise(met).alias("met"), "home",
         )
         merged = merged.withColumn("since", F.when((F.col("f") >= least) & (F.col("since") == 0), step + 1).otherwise(F.col("since")))
         merged = merged.filter((F.col("since") > 0) | is_total | (F.col("seen") > step - shards))
         info = F.expr("shiftleft(since, 32)").bitwiseOR(F.expr("shiftleft(seen, 8)")).bitwiseOR(F.col("met"))
-        state = _written(merged.select("a", "b", "f", info.cast("long").alias("info")), f"{root}/step-{step}")
+        state = _written(merged.select("a", "b", "f", info.cast("long").alias("info"), "home"), f"{root}/step-{step}")
         forget(spark, f"{root}/step-{step - 1}")
     state = state.withColumn("since", since)
-    final = state.filter((F.col("since") > 0) | is_total).select("a", "b", F.col("b").bitwiseAND(F.lit(7)).cast("int").alias("k"), "f")
-    named = spellings(texts, Active(bit_fields(state, 0, longest, bits)), longest)
+    final = state.filter((F.col("since") > 0) | is_total).select("a", "b", F.col("b").bitwiseAND(F.lit(7)).cast("int").alias("k"), "f", "home")
+    named = spellings(texts, Active(bit_fields(state, 0, longest, bits)), home_field(final, HOME_BITS * bits), longest)
+    named = named.groupBy("a", "b").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
     out = _written(final.join(named, ["a", "b"]).select("lang", "phrase", "k", "f"), f"{root}/phrases")
     for name in ("texts", f"step-{step - 1}"):
         forget(spark, f"{root}/{name}")

@@ -71,6 +71,17 @@ def test_long_phrases_reached_late(make):
 
 
 
+def test_phrases_are_spelled_at_their_home_only(make, monkeypatch):
+    # the same texts in each of 12 partitions: as many spelled rows as phrases, not as many as phrases times tasks
+    spelled, plain = [], collocations.spellings
+    monkeypatch.setattr(collocations, "spellings", lambda *args: spelled.append(plain(*args).localCheckpoint()) or spelled[0])
+    rows = [(12 * j + i, "red green blue red green", "en", "x") for i in range(12) for j in range(4)]
+    counts = collocations.phrase_counts(make(rows, SCHEMA, 12), least=12, shards=2)
+    f, total = brute_counts(rows, 12)
+    assert {(r.lang, r.phrase): r.f for r in counts.collect()} == f | {(lang, ""): n for lang, n in total.items()}
+    assert spelled[0].count() == len(f) + len(total)
+
+
 def test_scores_pass_64_bits(spark):
     big = 3 * 10**15
     rows = [("en", "", 0, big), ("en", "p", 1, 10**15), ("en", "q", 1, 2 * 10**15 + 1), ("en", "p q", 2, 10**15 - 7)]
