@@ -37,7 +37,9 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     counts = spark.read.parquet(f"{root}/counts")
     put(lexical.corpus_positions(counts).select("chunk_id", "position"), "positions")
     places = spark.read.parquet(f"{root}/positions")
-    lexical.save_index(lexical.index_from_counts(counts, places=places), f"{root}/lexical")
+    put(lexical.document_frequencies(counts), "frequencies")
+    frequencies = spark.read.parquet(f"{root}/frequencies")
+    lexical.save_index(lexical.index_from_counts(counts, places=places, frequencies=frequencies), f"{root}/lexical")
     embedded = vectors.counted_embedding(counts.filter("chunk_id is not null"), "chunk_id", "document_id", "source", dim=dim)
     embedded.write.partitionBy("source").option("compression", "zstd").parquet(f"{root}/vectors")
 

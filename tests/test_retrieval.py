@@ -161,3 +161,19 @@ def test_search_of_many_queries_stays_in_the_task(spark, tmp_path, monkeypatch,
     key = lambda r: (r.query_id, r["rank"], r.chunk_id)
     assert len(got) == 301 * 5 and [key(r) for r in got] == [key(r) for r in want]
     assert all(abs(a.score - b.score) < 1e-8 for a, b in zip(got, want))
+
+
+def test_store_counts_chunks_of_terms_once(spark, tmp_path):
+    from citeloom.plans import corpus_store
+
+    rows = [(i, "en", "s", f"file://{i}", str(i), "text", f"{i:03x}doc", t) for i, t in enumerate(["red green red", "green blue", "", "blue green kite"])]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, source_uri string, title string, source_type string, document_id string, text string")
+    corpus_store.build(docs, str(tmp_path / "store"), dim=8)
+    # the weights and their floor read one stored table of counts
+    counted = {r.term: r.nd for r in spark.read.parquet(str(tmp_path / "store" / "frequencies")).collect()}
+    assert counted == {"red": 1, "green": 3, "blue": 2, "kite": 1}
+    store = corpus_store.load(spark, str(tmp_path / "store"))
+    plain = lexical.build_index(store.chunks)
+    for name in ("terms", "meta"):
+        columns = [F.round(c, 9) if kind == "double" else F.col(c) for c, kind in getattr(plain, name).dtypes]
+        assert sorted(getattr(store.index, name).select(columns).collect()) == sorted(getattr(plain, name).select(columns).collect())
