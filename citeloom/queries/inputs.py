@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 HEAVY_TEXT = {"documents", "pages", "conversations"}
+# Passages are sent to the tasks up to this size.
+PASSAGE_BYTES = 16 << 20
 _STORES: dict[tuple[str, str], corpus_store.CorpusStore] = {}
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -91,11 +94,7 @@ def qrels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fresh_qrels(spark: SparkSession, folder: str) -> DataFrame:
-    """Gold chunks: those holding the passage word for word.
-
-    Containment is found through an equi-join on a run of five inner words of the passage (a hash of
-    it), and then verified, so no passage is compared with a chunk that cannot hold it.
-    """
+    """Gold chunks: those holding the passage word for word."""
     return passage_matches(queries(spark, folder), chunks(spark, folder))
 
 
@@ -103,18 +102,60 @@ def _run_hash(of_words: bool, n: Column) -> Callable[[Column], Column]:
     return lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ") if of_words else F.substr("w", i, n))
 
 
-def passage_matches(asked: DataFrame, base: DataFrame) -> DataFrame:
+def passage_matches(asked: DataFrame, base: DataFrame, most: int = PASSAGE_BYTES) -> DataFrame:
     """``query_id, chunk_id`` where the chunk's ``text`` contains the ``query``.
 
-    The run has up to five inner words (first and last word may be parts of words in the text). A query
-    without a whole inner word is anchored on its first eight characters instead; the lengths in use are
-    at most thirteen numbers.
+    A run of the passage is looked up among the runs of the text and then verified, so no passage is compared
+    with a chunk that cannot hold it. The run has up to five inner words (first and last word may be parts of
+    words in the text). A query without a whole inner word is anchored on its first eight characters instead;
+    the lengths in use are at most thirteen numbers. Passages of up to ``most`` bytes go to the tasks, one scan of
+    the chunks; more are met through an equi-join on a hash of the run.
     """
+    asked = asked.filter("query <> ''").select("query_id", "query")
+    if (asked.agg(F.sum(F.octet_length("query") + 64).alias("bytes")).head().bytes or 0) <= most:
+        kinds = [f"{df.schema[c].name} {df.schema[c].dataType.simpleString()}" for df, c in ((asked, "query_id"), (base, "chunk_id"))]
+        held = base.filter("chunk_id is not null and text is not null").select("chunk_id", "text")
+        return held.mapInArrow(_passages_in(asked.toArrow()), ", ".join(kinds)).distinct()
+    return _joined_passages(asked, base)
+
+
+def _passages_in(asked: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    ids, passages = asked.column("query_id").combine_chunks(), asked.column("query").to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_word: dict[str, dict[int, dict[str, list[int]]]] = {}  # first word of a run, its words, the run
+        by_start: dict[int, dict[str, list[int]]] = {}
+        for i, passage in enumerate(passages):
+            inner = passage.split()[1:-1][:5]
+            runs = by_word.setdefault(inner[0], {}) if inner else by_start
+            key = " ".join(inner) if inner else passage[:8]
+            runs.setdefault(len(inner) or len(key), {}).setdefault(key, []).append(i)
+
+        def near(text: str) -> set[int]:
+            words, found = text.split(), set()
+            for at, word in enumerate(words):
+                for n, runs in by_word.get(word, {}).items():
+                    found.update(runs.get(" ".join(words[at : at + n]), ()))
+            for n, runs in by_start.items():
+                for key in {text[at : at + n] for at in range(len(text) - n + 1)} & runs.keys():
+                    found.update(runs[key])
+            return found
+
+        for batch in batches:
+            pairs = [(i, row) for row, text in enumerate(batch.column("text").to_pylist()) for i in near(text) if passages[i] in text]
+            which, rows = zip(*pairs) if pairs else ((), ())
+            columns = [ids.take(pa.array(which, pa.int64())), batch.column("chunk_id").take(pa.array(rows, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id"])
+
+    return run
+
+
+def _joined_passages(asked: DataFrame, base: DataFrame) -> DataFrame:
     w = tx.words(F.col("query"))
     inner = F.size(w) >= 3
     size = F.when(inner, F.least(F.size(w) - 2, F.lit(5))).otherwise(F.least(F.length("query"), F.lit(8)))
     key = F.when(inner, F.array_join(F.slice(w, 2, size), " ")).otherwise(F.substr("query", F.lit(1), size))
-    anchors = asked.filter("query <> ''").select("query_id", "query", inner.alias("inner"), size.alias("size"), F.xxhash64(key).alias("h"))
+    anchors = asked.select("query_id", "query", inner.alias("inner"), size.alias("size"), F.xxhash64(key).alias("h"))
     runs = None
     for used in anchors.select("inner", "size").distinct().collect():
         units = base.select("chunk_id", (tx.words(F.col("text")) if used.inner else F.col("text")).alias("w"))
