@@ -6,10 +6,13 @@ are ASCII-only in Java while the behaviour to match is Unicode-aware.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +88,50 @@ def tokens(col: Column, *, normalise: bool = True) -> Column:
     return F.filter(clean, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
+# The token pattern for texts without a character outside ``_AGREED``: there ``\w``, categories and lower case are the
+# same in Python and Java. Scripts added since, final sigma and dotted I are left to :func:`tokens`.
+_PLAIN_TOKEN = re.compile(r"\w+(?:[._-]\w+)*|--[\w-]+|/[\w./-]+|==|!=|<=|>=")
+_AGREED = (
+    "\\x00-\u012f\u0131-\u024f\u0370-\u03a2\u03a4-\u052f\u2000-\u2070\u2074-\u20bf\u3000-\u3096\u3099-\u30ff\u4e00-\u9fef\uac00-\ud7a3"
+    "\U0001f300-\U0001f64f"
+)
+_OTHER = re.compile(f"[^{_AGREED}]")
+
+
+def count_tokens(text: str, normalise: bool = True) -> dict[str, int] | None:
+    """How often each of :func:`tokens` occurs; None where only that expression can tell."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text) if normalise else text
+        if _OTHER.search(text):
+            return None
+    found = Counter(_PLAIN_TOKEN.findall(text.lower()))
+    for path in [t for t in found if t[-1] == "."]:
+        found[path.rstrip(".")] += found.pop(path)
+    for word in STOPWORDS:
+        found.pop(word, None)
+    return found
+
+
+def token_counts(col: Column, *, normalise: bool = True) -> Column:
+    """``struct<dl, counts array<struct<term, tf>>>`` of the tokens, terms in order, for most texts; NULL for the others."""
+
+    @F.arrow_udf("struct<dl: int, counts: array<struct<term: string, tf: int>>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else count_tokens(t, normalise) for t in texts.to_pylist()]
+        terms, tf, ends = [], [], [0]
+        for one in found:
+            kept = sorted(one or ())
+            terms += kept
+            tf += [one[t] for t in kept]
+            ends.append(len(terms))
+        pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int32())], names=["term", "tf"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        length = pa.array([sum((one or {}).values()) for one in found], pa.int32())
+        return pa.StructArray.from_arrays([length, lists], names=["dl", "counts"], mask=pa.array([one is None for one in found]))
+
+    return counted(col)
+
+
 def ascii_words(col: Column) -> Column:
     """Runs of ``[A-Za-z0-9_-]`` between word boundaries, the unit of coverage and fact overlap."""
     return F.regexp_extract_all(col, F.lit(r"(?U)\b[a-zA-Z0-9_-]+\b"), F.lit(0))

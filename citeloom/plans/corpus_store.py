@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from citeloom.operators import chunking, lexical, vectors
 
@@ -32,8 +31,7 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     windows = chunking.word_windows(stored, sizes, keep=("doc_id", "source", "lang", "source_type"))
     put(windows, "chunks")
     chunks = spark.read.parquet(f"{root}/chunks")
-    counted = lexical.with_term_counts(lexical.tokenised(chunks, keep=("source",)))
-    put(counted.select("chunk_id", "document_id", "ordinal", "source", F.size("tokens").alias("dl"), "counts"), "counts")
+    put(lexical.counted_chunks(chunks, keep=("source",)), "counts")
     counts = spark.read.parquet(f"{root}/counts")
     put(lexical.corpus_positions(counts).select("chunk_id", "position"), "positions")
     places = spark.read.parquet(f"{root}/positions")

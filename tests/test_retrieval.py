@@ -177,3 +177,13 @@ def test_store_counts_chunks_of_terms_once(spark, tmp_path):
     for name in ("terms", "meta"):
         columns = [F.round(c, 9) if kind == "double" else F.col(c) for c, kind in getattr(plain, name).dtypes]
         assert sorted(getattr(store.index, name).select(columns).collect()) == sorted(getattr(plain, name).select(columns).collect())
+
+
+def test_terms_counted_quickly_are_those_of_the_pattern(spark):
+    texts = ["", None, "The a.b. /p/q. /p/q.. /. --x-- == a==b é_É İx Σας ﬁne 10° “quoted” – …end. 漢字 한글 😀 a--b a-_b", "plain plain PLAIN. and", "\U0001e900x \u08c8y z", "ÀÖß x×y \u00ad w"]
+    base = spark.createDataFrame([(str(i), "d", i, t) for i, t in enumerate([*texts, *(f"{c}a a{c} /{c}." for c in map(chr, range(1, 0x530)))])], "chunk_id string, document_id string, ordinal int, text string")
+    want = lexical.with_term_counts(lexical.tokenised(base)).select("chunk_id", F.size("tokens").alias("dl"), "counts")
+    rows = lambda df: sorted(map(tuple, df.select("chunk_id", "dl", "counts").collect()))
+    assert rows(lexical.counted_chunks(base)) == rows(want)
+    quick = base.select(tx.token_counts(F.col("text")).alias("q")).filter("q is null").count()
+    assert 0 < quick < 0x530 // 4  # the others never meet the pattern
