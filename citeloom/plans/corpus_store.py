@@ -31,7 +31,7 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     windows = chunking.word_windows(stored, sizes, keep=("doc_id", "source", "lang", "source_type"))
     put(windows, "chunks")
     chunks = spark.read.parquet(f"{root}/chunks")
-    put(lexical.counted_chunks(chunks, keep=("source",)), "counts")
+    put(lexical.counted_chunks(chunks, keep=("source", "source_type")), "counts")
     counts = spark.read.parquet(f"{root}/counts")
     put(lexical.corpus_positions(counts).select("chunk_id", "position"), "positions")
     places = spark.read.parquet(f"{root}/positions")

@@ -70,3 +70,23 @@ def test_other_fields_are_refused(spark, store):
         filtered_search.filtered_legs(store, q, embedded(q.select("query_id", "query")))
     with pytest.raises(ValueError):
         filtered_search.filtered_legs(store, asked(spark), embedded(asked(spark)), filter_legs="sparse")
+
+
+def test_filtered_search_keeps_k_rows_a_query_in_each_task(spark, store, monkeypatch):
+    """Filters are met in the scan of the chunks: no row for every match, and the same rows as the join with the postings."""
+    q = asked(spark)
+    again = spark.createDataFrame([(3, "apple", None, "d0-0"), (20, "wall red", "src1", None), (20, "wall", "src1", None), (None, "red", "src0", None)], q.schema)
+    q, k, fields = q.unionByName(again), 2, ("source", "document_id")
+    attributes = store.chunks.select("chunk_id", "source")
+    found = lambda index: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 8)) for r in lexical.bm25_top_k(index, q, k, attributes=attributes, fields=fields).collect())
+    x = store.index
+    want = found(lexical.LexicalIndex(x.postings, x.terms, x.chunks, x.meta, x.k1, x.b))
+    bare = lexical.LexicalIndex(x.postings, x.terms, x.chunks, x.meta, x.k1, x.b, x.forward.select("position", "dl", "counts"))
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "bm25_scores", None)
+        assert found(x) == want and found(bare) == want
+        m.setattr(lexical, "MATRIX_BYTES", 1000)  # queries and chunks meet in blocks
+        m.setattr(lexical, "BLOCK_CHUNKS", 3)
+        assert found(x) == want
+    scan = lexical._scanned(x, q, k, True, lexical.filter_places(x, attributes, fields), fields)
+    assert 0 < scan.count() <= 17 * k * scan.rdd.getNumPartitions()
