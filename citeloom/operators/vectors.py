@@ -8,20 +8,23 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.identity import uuid5
+from citeloom.functions.ranking import within
 from citeloom.session import cut_lineage
 
 # A query side up to this many bytes of doubles travels to every task; beyond it blocks are shuffled.
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 4096
+# Rows of a block at most, and bytes of its vectors as doubles.
+BLOCK_ROWS, BLOCK_BYTES = 65_536, 32 << 20
+# Scores that a task holds at a time, and the vectors they belong to at most.
+SCORE_BYTES, SCORE_ROWS = 16 << 20, 4096
 # Filter values that are written into the scan of the vectors.
 PRUNED_VALUES = 256
-# Scores that a task holds at a time.
-SCORE_BYTES = 64 << 20
 POINT_LABEL = "citeloom:chunk:"
 
 EmbedFunction = Callable[[list[str]], np.ndarray]
@@ -155,19 +158,119 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` highest scores, ties by id."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > edge)
-        level = np.flatnonzero(scores == edge)
-        level = level[np.argsort(ids[level], kind="stable")[: k - len(above)]]
-        return np.concatenate([above, level])
-    return np.arange(len(scores))
+def _vector(df: DataFrame) -> Column:
+    """The vectors as they are stored; other numbers than floats become doubles."""
+    kind = df.schema["embedding"].dataType.elementType
+    return F.col("embedding") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("embedding").cast("array<double>")
+
+
+def _block_size(dim: int) -> int:
+    return max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dim))))
+
+
+def _order(ids: pa.Array) -> np.ndarray:
+    """Places of the ids in their order, NULL first; equal ids share one."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _falling(scores: np.ndarray) -> np.ndarray:
+    """A key that puts the highest scores first, and NaN (from vectors that are not finite) before them, as Spark does."""
+    return np.where(np.isnan(scores), -np.inf, -scores)
 
 
 def _score_block(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.round(q @ _normalised(v).T, 9) + 0.0
+    return q @ v.T
+
+
+def _few_copies(v: np.ndarray, order: np.ndarray, tags: list[np.ndarray], k: int) -> np.ndarray:
+    """The rows without those that follow ``k`` rows of the same vector and tags: no query takes them."""
+    mix = np.random.default_rng(1).integers(1, 1 << 62, v.shape[1] + len(tags)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    key = (np.ascontiguousarray(v).view(np.uint64) * mix[: v.shape[1]]).sum(axis=1)
+    for tag, m in zip(tags, mix[v.shape[1] :]):
+        key += tag.astype(np.uint64) * m
+    by = np.lexsort((order, key))
+    late = ~within(key[by], k)
+    if not late.any():
+        return np.arange(len(v))
+    first = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+    group = np.cumsum(np.r_[True, key[by][1:] != key[by][:-1]]) - 1
+    full = np.flatnonzero(np.isin(group, group[late]))  # only these can lose a row, and only if no two vectors share their key
+    head = by[first[group[full]]]
+    same = (v[by[full]] == v[head]).all(axis=1)
+    for tag in tags:
+        same &= tag[by[full]] == tag[head]
+    late[full] &= ~np.isin(group[full], group[full][~same])
+    return np.sort(by[~late])
+
+
+def _nearest(
+    q: np.ndarray, v: np.ndarray, order: np.ndarray, k: int, level: np.ndarray, allowed: Callable[[slice, slice], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query, row, score`` of the ``k`` best rows of ``v`` for each row of ``q`` (both of unit length), ties by ``order``.
+
+    Products in single precision, whose error is bounded, leave out what is clearly below the ``k``-th best or the
+    score ``level`` that a query has reached before; the few other pairs are scored in double precision.
+    """
+    slack = (q.shape[1] + 4) * 2.0**-22  # twice the error on either side, with the rounding of scores
+    single, other, found = q.astype(np.float32), v.astype(np.float32), []
+    void, in_order = ~q.any(axis=1), None
+    wide = max(1, min(len(v), SCORE_ROWS, SCORE_BYTES // 8))
+    high = max(1, SCORE_BYTES // (8 * wide))
+
+    def exact(own: slice, near: list[np.ndarray]) -> list[np.ndarray]:
+        """The ``k`` best by the rounded scores."""
+        query, row, _ = near
+        parts = [np.einsum("ij,ij->i", q[own][query[i : i + BLOCK_ROWS]], v[row[i : i + BLOCK_ROWS]]) for i in range(0, len(row), BLOCK_ROWS)]
+        score = np.round(np.concatenate([np.zeros(0), *parts]), 9) + 0.0
+        by = np.lexsort((order[row], _falling(score), query))
+        by = by[within(query[by], k)]
+        return [query[by], row[by], score[by]]
+
+    for i in range(0, len(q), high):
+        own = slice(i, min(i + high, len(q)))
+        size, floor = own.stop - i, level[own].copy()
+        kept, waiting = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], []
+        for at in np.flatnonzero(void[own]):  # all scores are 0: the first rows in order
+            in_order = np.argsort(order, kind="stable") if in_order is None else in_order
+            rows = in_order if allowed is None else in_order[allowed(slice(i + at, i + at + 1), slice(None))[0][in_order]]
+            waiting.append([np.full(len(rows[:k]), at), rows[:k], np.zeros(len(rows[:k]))])
+            floor[at] = np.inf
+
+        def settle() -> None:
+            nonlocal kept, waiting
+            kept, waiting = [np.concatenate(x) for x in zip(kept, *waiting)], []
+            by = np.lexsort((_falling(kept[2]), kept[0]))
+            kept = [x[by] for x in kept]
+            held = np.bincount(kept[0], minlength=size)
+            full = held >= k
+            edge = np.full(size, -np.inf)
+            edge[full] = kept[2][(np.cumsum(held) - held)[full] + k - 1]
+            near = ~(kept[2] < edge[kept[0]] - slack)
+            kept = [x[near] for x in kept]
+            if len(kept[0]) > 4 * k * size:  # many alike: the scores decide
+                kept = exact(own, kept)
+            floor[:] = np.maximum(floor, edge)
+
+        for j in range(0, len(v), wide):
+            rows = slice(j, j + wide)
+            near = _score_block(single[own], other[rows])
+            inside = allowed(own, rows) if allowed else None
+            if inside is not None:
+                near[~inside] = -np.inf
+            edge, open_ = floor.copy(), floor == -np.inf
+            if near.shape[1] > k and open_.any():
+                edge[open_] = np.partition(near[open_], -k, axis=1)[:, -k]
+            hit = ~(near < (edge - slack).astype(np.float32)[:, None])
+            if inside is not None:
+                hit &= inside
+            query, row = np.divmod(np.flatnonzero(hit), near.shape[1])
+            waiting.append([query, row + j, near[query, row].astype(np.float64)])
+            if sum(len(x[0]) for x in waiting) >= k * size:
+                settle()
+        settle()
+        query, row, score = exact(own, kept)
+        found.append([query + i, row, score])
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def cosine_top_k(
@@ -189,14 +292,15 @@ def cosine_top_k(
     restricts also prunes the vector table before it is read (its partitions, if it is laid out by it).
 
     The query matrix is sent to the tasks only after its size was checked; a larger query table is
-    met block against block through an ordinary shuffle instead.
+    met block against block through an ordinary shuffle instead, within each value of the columns that every
+    query restricts.
     """
     if k < 1:
         raise ValueError("k must be positive")
     extra = [filter_column] if isinstance(filter_column, str) else list(filter_column or [])
     wanted = ["filter_value"] if isinstance(filter_column, str) else extra
     tags = [f"filter_{i}" for i in range(len(extra))]
-    q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.col(c).alias(t) for c, t in zip(wanted, tags)])
+    q = queries.select(F.col(query_id).alias("query_id"), _vector(queries).alias("embedding"), *[F.col(c).alias(t) for c, t in zip(wanted, tags)])
     id_types = (q.schema["query_id"].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString())
     schema = f"query_id {id_types[0]}, vector_id {id_types[1]}, score double"
     shape = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), *[F.count(t).alias(t) for t in tags]).head()
@@ -206,13 +310,14 @@ def cosine_top_k(
             few = [row[column] for row in wanted_values.limit(PRUNED_VALUES + 1).collect()]
             # A few values are a filter on the scan (and leave out whole partitions); more are a join.
             vectors = vectors.filter(F.col(column).isin(few)) if len(few) <= PRUNED_VALUES else vectors.join(wanted_values, column, "left_semi")
-    v = vectors.select(F.col(vector_id).alias("vector_id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.col(c).alias(t) for c, t in zip(extra, tags)])
+    v = vectors.select(F.col(vector_id).alias("vector_id"), _vector(vectors).alias("embedding"), *[F.col(c).alias(t) for c, t in zip(extra, tags)])
     if not shape.n:
         found = q.sparkSession.createDataFrame([], schema)
     elif shape.n * shape.d * 8 <= broadcast_bytes:
         found = v.mapInArrow(_scan_with(q.toArrow(), k, tags), schema)
     else:
-        found = _block_join(q, v, k, tags, schema)
+        met = _cells(q, v, [t for t in tags if shape[t] == shape.n], _block_size(shape.d))
+        found = met.applyInArrow(_pair_with(k, tags), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -222,57 +327,73 @@ def cosine_top_k(
 
 
 def _scan_with(table: pa.Table, k: int, filters: Sequence[str] = ()):
-    qids = np.array(table.column("query_id").to_pylist(), dtype=object)
-    qmat = _normalised(_matrix(table.column("embedding")))
-    filters = filters or ()
-    wanted = [table.column(f).to_pylist() for f in filters]
+    qids, qmat = table.column("query_id").combine_chunks(), _normalised(_matrix(table.column("embedding")))
+    known, asked = [], []  # numbers of the wanted values of each filter, and what each query wants; -1: any
+    for f in filters or ():
+        want = table.column(f).to_pylist()
+        known.append({x: n for n, x in enumerate(dict.fromkeys(x for x in want if x is not None))})
+        asked.append(np.array([-1 if x is None else known[-1][x] for x in want]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_ids = [np.array([], dtype=object)] * len(qids)
-        keep_scores = [np.array([])] * len(qids)
-        types = None
-        for batch in batches:
-            types = types or (batch.schema.field("vector_id").type,)
-            ids = np.array(batch.column("vector_id").to_pylist(), dtype=object)
-            if not len(ids):
-                continue
-            vmat, step = _matrix(batch.column("embedding")), max(1, SCORE_BYTES // (8 * len(ids)))
-            tags = [np.array(batch.column(f).to_pylist(), dtype=object) for f in filters]
-            for i in range(len(qids)):
-                if i % step == 0:
-                    scores = _score_block(qmat[i : i + step], vmat)
-                row, names = scores[i % step], ids
-                inside = np.ones(len(ids), bool)
-                for tag, want in zip(tags, wanted):
-                    if want[i] is not None:
-                        inside &= np.asarray(tag == want[i], bool)
-                if not inside.all():
-                    row, names = row[inside], names[inside]
-                row, names = np.concatenate([keep_scores[i], row]), np.concatenate([keep_ids[i], names])
-                best = _best(row, names, k)
-                keep_scores[i], keep_ids[i] = row[best], names[best]
-        if types:
-            sizes = [len(s) for s in keep_scores]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(qids, sizes).tolist(), table.schema.field("query_id").type),
-                    pa.array(np.concatenate(keep_ids).tolist(), types[0]),
-                    pa.array(np.concatenate(keep_scores), pa.float64()),
-                ],
-                names=["query_id", "vector_id", "score"],
-            )
+        query, score, ids, level = np.zeros(0, np.int64), np.zeros(0), None, np.full(len(qids), -np.inf)
+        for block in _blocks(batches, _block_size(qmat.shape[1])):
+            names, vmat = block.column("vector_id").combine_chunks(), _normalised(_matrix(block.column("embedding")))
+            tags = [np.array([-2 if x is None else number.get(x, -2) for x in block.column(f).to_pylist()]) for f, number in zip(filters or (), known)]
+            few = _few_copies(vmat, _order(names), tags, k)
+            names, vmat, tags = names.take(pa.array(few)), vmat[few], [t[few] for t in tags]
+            limits = [(w, t) for w, t in zip(asked, tags) if not ((w == -1).all() or ((w == w[0]).all() and (t == w[0]).all()))]
+
+            def allowed(own: slice, rows: slice) -> np.ndarray:
+                inside = True
+                for w, t in limits:
+                    inside = inside & ((w[own, None] == -1) | (w[own, None] == t[rows]))
+                return inside
+
+            own, row, value = _nearest(qmat, vmat, _order(names), k, level, allowed if limits else None)
+            names = names.take(pa.array(row))
+            ids = names if ids is None else pa.concat_arrays([ids, names])
+            query, score = np.concatenate([query, own]), np.concatenate([score, value])
+            by = np.lexsort((_order(ids), _falling(score), query))
+            by = by[within(query[by], k)]
+            query, score, ids = query[by], score[by], ids.take(pa.array(by))
+            held = np.bincount(query, minlength=len(qids))
+            full = held == k
+            level[full] = score[np.cumsum(held)[full] - 1]
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(query)), ids, pa.array(score)], names=["query_id", "vector_id", "score"])
 
     return run
 
 
-def _block_join(q: DataFrame, v: DataFrame, k: int, filters: Sequence[str], schema: str) -> DataFrame:
-    """Blocks of queries against blocks of vectors; every pair of blocks is one bounded task group."""
-    counts = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (q, v)]
-    place = lambda df, key, n: (F.pmod(F.xxhash64(key), F.lit(n))).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("qb", place(q, "query_id", counts[0])).withColumn("vb", spread(counts[1]))
-    right = v.withColumn("vb", place(v, "vector_id", counts[1])).withColumn("qb", spread(counts[0]))
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_pair_with(k, filters), schema)
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches in tables of about ``rows`` rows."""
+    held, count = [], 0
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            held.append(batch.slice(at, rows))
+            count += len(held[-1])
+            if count >= rows:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cells(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int):
+    """Queries and vectors that agree in ``on``, each dealt into blocks of about ``rows``; every pair of blocks is one
+    bounded task group. A row travels once for every block of the other side."""
+    count = lambda df, name: df.groupBy(*on).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(rows))).cast("int").alias(name))
+    if on:
+        sizes = cut_lineage(count(left, "qs").join(count(right, "vs"), on))
+        left, right = left.join(sizes, on), right.join(sizes, on)
+    else:
+        sizes = {"qs": F.lit(count(left, "n").head().n), "vs": F.lit(count(right, "n").head().n)}
+        left, right = left.withColumns(sizes), right.withColumns(sizes)
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.withColumn("qb", place("query_id", "qs")).withColumn("vb", spread("vs")).drop("qs", "vs")
+    right = right.withColumn("vb", place("vector_id", "vs")).withColumn("qb", spread("qs")).drop("qs", "vs")
+    return left.groupBy(*on, "qb", "vb").cogroup(right.groupBy(*on, "qb", "vb"))
 
 
 def _pair_with(k: int, filters: Sequence[str] = ()):
@@ -365,15 +486,8 @@ def _bucket_rows(df: DataFrame, key: str, planes: np.ndarray, bits: int, masks:
 def _in_buckets(q: DataFrame, v: DataFrame, k: int, planes: np.ndarray, bits: int, radius: int) -> DataFrame:
     """Best ``k`` of every query within each bucket it probes; a bucket is met in cells of bounded size."""
     left, right = _bucket_rows(q, "query_id", planes, bits, _masks(bits, radius)), _bucket_rows(v, "vector_id", planes, bits, _masks(bits, 0))
-    cells = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
-    sizes = cells(left, "qs").join(cells(right, "vs"), "bucket")
-    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(sizes, "bucket").withColumn("qb", place("query_id", "qs")).withColumn("vb", spread("vs")).drop("qs", "vs")
-    right = right.join(sizes, "bucket").withColumn("vb", place("vector_id", "vs")).withColumn("qb", spread("qs")).drop("qs", "vs")
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, vector_id {v.schema['vector_id'].dataType.simpleString()}, score double"
-    cell = ("bucket", "qb", "vb")
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_pair_with(k), schema)
+    found = _cells(left, right, ["bucket"], _block_size(planes.shape[2])).applyInArrow(_pair_with(k), schema)
     return found.groupBy("query_id", "vector_id").agg(F.max("score").alias("score"))
 
 

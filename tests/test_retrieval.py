@@ -187,3 +187,59 @@ def test_terms_counted_quickly_are_those_of_the_pattern(spark):
     assert rows(lexical.counted_chunks(base)) == rows(want)
     quick = base.select(tx.token_counts(F.col("text")).alias("q")).filter("q is null").count()
     assert 0 < quick < 0x530 // 4  # the others never meet the pattern
+
+
+def test_blocks_of_vectors_meet_once_and_within_their_label(spark, monkeypatch):
+    """A row travels once for every block of the other side, never to another label; ranks are those of a plain loop."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(60, 5)), 2, axis=0)
+    x[::7] = x[3]  # copies tie by id
+    x[11] = x[40] = 0.0
+    rows = [(i, [float(a) for a in r], f"s{i % 4}" if i % 9 else None) for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, tag string")
+    q = v.filter("tag is not null").select(F.col("chunk_id").alias("query_id"), "embedding", F.col("tag").alias("filter_value"))
+    got = {}
+    for r in vectors.cosine_top_k(q, v, 3, filter_column="tag", broadcast_bytes=0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+    x = x.astype(np.float32).astype(float)
+    unit = np.divide(x, (norm := np.linalg.norm(x, axis=1, keepdims=True)), out=np.zeros_like(x), where=norm > 0)
+    for i, _, tag in rows:
+        if tag:
+            inside = [j for j, _, t in rows if t == tag]
+            assert [c for _, c in sorted(got[i])] == sorted(inside, key=lambda j: (-round(float(unit[i] @ unit[j]), 9) + 0.0, j))[:3]
+    left, right = q.select("query_id", F.col("filter_value").alias("tag")), v.select(F.col("chunk_id").alias("vector_id"), "tag")
+    count = lambda a, b: a.group_by("tag").aggregate([("tag", "count")]).append_column("v", [[len(b)]]).rename_columns(["tag", "q", "v"])
+    cells = vectors._cells(left, right, ["tag"], 20).applyInArrow(count, "tag string, q long, v long").collect()
+    assert {r.tag for r in cells} == {"s0", "s1", "s2", "s3"} and len(cells) == 4 * 2 * 2
+    assert sum(r.q for r in cells) == 2 * q.count() and sum(r.v for r in cells) == 2 * q.count()
+    monkeypatch.undo()
+    assert vectors._block_size(64) >= 16 * 4096 and 8 * vectors._block_size(4096) * 4096 <= vectors.BLOCK_BYTES
+
+
+@pytest.mark.parametrize("held", [1 << 9, 1 << 20])
+def test_best_scores_of_blocks_match_a_plain_loop(monkeypatch, held):
+    """Ties, copies, zero vectors and filters, with scores held a few or all at a time and vectors in any batches."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(vectors, "SCORE_BYTES", held)
+    rng = np.random.default_rng(9)
+    for whole in (True, False):
+        v = rng.integers(-2, 3, (150, 4)).astype(float) if whole else rng.normal(size=(150, 4))
+        v[::3], v[5::20] = v[1], 0.0
+        q = np.concatenate([v[:30], rng.normal(size=(3, 4))])
+        ids = [f"c{i // 2:03d}" for i in rng.permutation(150)]  # ids may repeat
+        tags = [None if i % 11 == 0 else i % 3 for i in range(150)]
+        want = [None if i % 4 == 0 else i % 5 for i in range(33)]
+        lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+        asked = pa.table({"query_id": list(range(33)), "embedding": lists(q), "filter_0": want})
+        given = pa.table({"vector_id": ids, "embedding": lists(v), "filter_0": pa.array(tags, pa.int64())})
+        unit = vectors._normalised(v)
+        for rows in (150, 13):
+            got = list(vectors._scan_with(asked, 4, ["filter_0"])(iter(given.to_batches(max_chunksize=rows))))[0].to_pylist()
+            got = sorted((r["query_id"], r["vector_id"], round(r["score"], 8)) for r in got)
+            best = []
+            for i, one in enumerate(vectors._normalised(q)):
+                inside = sorted((-round(float(one @ unit[j]), 9) + 0.0, ids[j]) for j in range(150) if want[i] in (None, tags[j]))
+                best += [(i, name, round(-s + 0.0, 8)) for s, name in inside[:4]]
+            assert got == sorted(best)
