@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +77,68 @@ def _of_bullets(lines: Column) -> Column:
     return tx.let(F.transform(F.split(F.array_join(marked, ""), _END, -1), _own), lambda items: F.transform(items, lambda t, i: _entry(text(t), between(t, i, items))))
 
 
+# The same patterns for Python, whose white space is tx.SPACE; a word is looked at only where a sentence may end.
+_GAP = re.compile("\n\n+")
+_ITEM = re.compile("[ \\t-\\r]*(?:[-*\u2022]|[0-9]+[.)])[ \\t-\\r]")
+_STOP = re.compile(r"([.?!][\"']?)(?<![0-9]\.)(\s++)(?=[A-Z0-9\"'])")
+
+
+def _is_kept(body: str, end: int) -> bool:
+    """Whether the word before ``end`` is an abbreviation or a single letter with its full stop."""
+    word = body[max(0, end - 6) : end].split()[-1]
+    return word.isascii() and (word.lower() in ABBREVIATIONS or (len(word) == 2 and word[0].isalpha()))
+
+
+def cut_sentences(text: str) -> list[tuple[str, str]]:
+    """``(text, sep)`` of every sentence or list item of a text; see :func:`boundaries`."""
+    found: list[tuple[str, str]] = []
+    gaps = _GAP.findall(text)
+    for block, gap in zip(_GAP.split(text), [*gaps, ""]):
+        body = block.strip()
+        if not body:
+            continue
+        lines = body.splitlines(True)
+        starts = [i for i, line in enumerate(lines) if _ITEM.match(line)] if len(lines) > 1 else []
+        if starts:  # a line with a bullet starts an item, other lines go on with it
+            edges = [0, *(i for i in starts if i), len(lines)]
+            for i, j in zip(edges, edges[1:]):
+                item = "".join(lines[i:j])
+                end = "\r\n" if item.endswith("\r\n") else "\n" if item.endswith("\n") else ""
+                found.append((item[: len(item) - len(end)], end or ("\n" if j < len(lines) else "")))
+        else:
+            start = 0
+            for m in _STOP.finditer(body):
+                end = m.end(1)
+                if m[1] != "." or not _is_kept(body, end):
+                    found.append((body[start:end], m[2]))
+                    start = m.end()
+            found.append((body[start:], ""))
+        if gap:
+            found[-1] = (found[-1][0], gap)
+    return found
+
+
 def boundaries(text: Column) -> Column:
-    """``(text, sep)`` of every sentence or list item, with what separates it from the next one."""
+    """``(text, sep)`` of every sentence or list item, with what separates it from the next one; a text is cut in one go.
+
+    A function over Arrow data, so not for use inside a lambda: there :func:`boundaries_in_row` gives the same.
+    """
+
+    @F.arrow_udf("array<struct<text:string,sep:string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        pieces, ends = [], [0]
+        for one in texts.to_pylist():
+            pieces += cut_sentences(one or "")
+            ends.append(len(pieces))
+        whole, seps = zip(*pieces) if pieces else ((), ())
+        pairs = pa.StructArray.from_arrays([pa.array(whole, pa.string()), pa.array(seps, pa.string())], names=["text", "sep"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    return cut(text)
+
+
+def boundaries_in_row(text: Column) -> Column:
+    """:func:`boundaries` as an expression."""
     source = F.coalesce(text, F.lit(""))
     blocks, gaps = F.split(source, "\n\n+", -1), F.regexp_extract_all(source, F.lit("\n\n+"), F.lit(0))
 
@@ -114,7 +175,7 @@ def in_order(original: Column, kept: Column) -> Column:
         whole = tx.let(end, lambda e: e["at"].isNotNull() & (e["built"] == kept))
         return F.when(F.size(wanted) == 0, F.size(source) == 0).otherwise(whole)
 
-    return tx.let(boundaries(original), lambda source: tx.let(boundaries(kept), lambda wanted: judged(source, wanted)))
+    return tx.let(boundaries_in_row(original), lambda source: tx.let(boundaries_in_row(kept), lambda wanted: judged(source, wanted)))
 
 
 # ---------------------------------------------------------------- compression
@@ -147,7 +208,7 @@ def compress(packages: DataFrame, policy: CompressionPolicy, package_policy: Pac
         (F.lit(True) if policy.target_chars is None else chars <= policy.target_chars)
         & (F.lit(True) if policy.target_tokens is None else tokens <= policy.target_tokens)
     )
-    df = packages.withColumn("parsed", F.transform("evidence", lambda e: boundaries(e["excerpt"])))
+    df = packages.withColumn("parsed", F.transform("evidence", lambda e: boundaries_in_row(e["excerpt"])))
     df = df.withColumn("query_words", F.array_distinct(tx.unicode_words(F.lower("normalized_query"))))
     df = df.withColumn("untouched", fits(F.col("context_chars"), F.col("estimated_tokens")) | (F.size("evidence") == 0))
     prints = F.transform(
@@ -198,7 +259,7 @@ def compress(packages: DataFrame, policy: CompressionPolicy, package_policy: Pac
         ).otherwise(0),
     })
     # Sentences of what was retained are counted on the shortened text itself.
-    df = df.withColumn("reparsed", F.transform("work", lambda w: boundaries(w["excerpt"])))
+    df = df.withColumn("reparsed", F.transform("work", lambda w: boundaries_in_row(w["excerpt"])))
     ids = F.transform("compressed", lambda e: e["citation_id"])
 
     def entry(w: Column) -> Column:

@@ -408,7 +408,7 @@ def fresh_case_hits(spark, folder):
         if name == "web":
             rows = markup.with_visible_text(rows.withColumnRenamed("text", "html"), F.col("html"), "text").drop("html")
         rows = rows.withColumn("text", flat(F.col("text"))).join(words, "query_id")
-        short = compression.best_sentences(compression.boundaries(F.col("text")), F.col("text"), F.col("qw"), KEEP)
+        short = compression.best_sentences(compression.boundaries_in_row(F.col("text")), F.col("text"), F.col("qw"), KEEP)
         sizes = {"": F.length("text")} | ({"_compressed": F.length(short)} if name != "corpus" else {})
         for suffix, size in sizes.items():
             part = rows.select(F.col("query_id").alias("case_id"), F.lit(name + suffix).alias("retriever"), "evidence_id", size.alias("chars"))

@@ -1,5 +1,7 @@
 """Evidence, routing, packages and metrics on hand-computed cases."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +170,14 @@ def test_control_characters_of_a_text_are_kept_in_sentences(spark):
         row = spark.createDataFrame([(text,)], "t string").select(co.boundaries(F.col("t")).alias("b")).first()
         assert [tuple(e) for e in row.b] == want
         assert "".join(e.text + e.sep for e in row.b) == text
+
+
+def test_texts_are_cut_into_sentences_in_one_go(spark):
+    """The function gives what the expression gives, and no pattern of it runs in the row."""
+    bits = ["a", "E.G.", "etc.", "fig.", "K.", "ſ.", "9.", "10)", "٣.", "é.", "Word.", "Xprof.", "-", "•", ".", "!\"", "?'", "\"", " ", " ", "　", "\x85", " ", "\x0b", "\x1d", "\r\n", "\n", "\n\n", "\t", "\x05", "\x06", "\x07a", "A", "É", "1", "😀"]
+    texts = ["".join(random.Random(i).choices(bits, k=i % 40)) for i in range(600)] + [" ".join(random.Random(i).choices(bits, k=i % 30)) for i in range(600)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    both = df.select("i", co.boundaries(F.col("t")).alias("a"), co.boundaries_in_row(F.col("t")).alias("b"))
+    assert both.filter("not (a <=> b)").count() == 0
+    plan = df.select("i", co.boundaries(F.col("t")).alias("a")).select("i", F.size("a"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
