@@ -161,3 +161,34 @@ def test_word_windows_cut_each_text_once(spark):
     docs = spark.createDataFrame([("d", "T", "u", " ".join(f"w{i}" for i in range(1300)))], "document_id string, title string, source_uri string, text string")
     plan = ch.word_windows(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(text#") == 1 and "{1,540}+" in plan  # strides, not a list of all words
+
+
+def test_paragraph_chunks_are_cut_in_one_go(spark):
+    """One function cuts a text; its pieces are those of the rule, spelled out as a lazy pattern."""
+    def pieces(text, limit):
+        found = []
+        for p in re.findall(r"(\S(?:(?s:.*?)\S)?(?=\n\s*\n|\Z)\s*)", text.rstrip()):
+            w = re.findall(r"\S+\s*", p)
+            found += [("".join(w[i : i + limit]), len(w[i : i + limit])) for i in range(0, len(w), limit)]
+        return found
+
+    gaps = [" ", "  ", "\n", "\n\n", "\n \n", " \n\n", "\n\t\n\n", "\r\n", "\n\r\n", "\x85", "　", "\n \n", "​"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(gaps[: 3 + i % 11]) + rng.choice(["a", "b", "word", "\U0001f600", "x-y", "\x06"]) for _ in range(i % 50)) for i in range(400)]
+    texts = ["", " \n", "a", "a\n\nb", "\n\na\n\nb c\n\n", *texts, *(t + " " for t in texts[::9])]
+    for limit in (1, 2, 7, 540):
+        for text in texts:
+            starts, counted = ch.paragraph_runs(text, limit)
+            runs = [text[i:j] for i, j in zip(starts, starts[1:])]
+            assert list(zip(runs, counted)) == pieces(text, limit), (text, limit)
+    assert sum(ch.paragraph_runs("w " * 200_000 + "\n\n" * 50_000 + "end", 540)[1]) == 200_001
+    long = [words(1300), words(30) + "\n\n" + words(700, "b") + "\n \nz\n\n" + words(90, "c") + " "]
+    df = docs(spark, *long, "", None)
+    chunks = ch.paragraph_chunks(df)
+    assert {r.document_id for r in chunks.collect()} == {"d0", "d1"}
+    for r in chunks.collect():
+        text = long[int(r.document_id[1:])]
+        assert r.text == text[r.start_char : r.end_char] and r.token_estimate == len(r.text.split())
+        assert r.chunk_id == hashlib.sha256(f"{r.document_id}:{r.ordinal}:{r.text}".encode()).hexdigest()
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
