@@ -336,7 +336,7 @@ def _scan_with(table: pa.Table, k: int, filters: Sequence[str] = ()):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, score, ids, level = np.zeros(0, np.int64), np.zeros(0), None, np.full(len(qids), -np.inf)
-        for block in _blocks(batches, _block_size(qmat.shape[1])):
+        for block in _blocks(batches, min(_block_size(qmat.shape[1]), max(2 * SCORE_ROWS, len(qids)))):  # few queries need no large blocks
             names, vmat = block.column("vector_id").combine_chunks(), _normalised(_matrix(block.column("embedding")))
             tags = [np.array([-2 if x is None else number.get(x, -2) for x in block.column(f).to_pylist()]) for f, number in zip(filters or (), known)]
             few = _few_copies(vmat, _order(names), tags, k)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.operators import chunking, lexical, vectors
+from citeloom.session import forget
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ def build(docs: DataFrame, root: str, *, dim: int = 64, sizes: chunking.ChunkSiz
     lexical.save_index(lexical.index_from_counts(counts, places=places, frequencies=frequencies), f"{root}/lexical")
     embedded = vectors.counted_embedding(counts.filter("chunk_id is not null"), "chunk_id", "document_id", "source", dim=dim)
     embedded.write.partitionBy("source").option("compression", "zstd").parquet(f"{root}/vectors")
+    for name in ("counts", "positions"):  # the index holds both
+        forget(spark, f"{root}/{name}")
 
 
 def load(spark: SparkSession, root: str) -> CorpusStore:

@@ -243,3 +243,20 @@ def test_best_scores_of_blocks_match_a_plain_loop(monkeypatch, held):
                 inside = sorted((-round(float(one @ unit[j]), 9) + 0.0, ids[j]) for j in range(150) if want[i] in (None, tags[j]))
                 best += [(i, name, round(-s + 0.0, 8)) for s, name in inside[:4]]
             assert got == sorted(best)
+
+
+def test_terms_travel_as_one_string_a_chunk(spark, tmp_path):
+    """No list of structs is shuffled to meet the positions, and the index is that of the counts; what it holds is not kept twice."""
+    from citeloom.plans import corpus_store
+
+    texts = ["red green red", "", "of the", "a--b /p/q == x.y", "Ünï 漢字 😀_"]
+    base = chunks(spark, [*texts, None]).withColumn("source", F.lit("s"))
+    counted = lexical.counted_chunks(base, keep=("source",))
+    forward = lexical.index_from_counts(counted).forward
+    moved = forward._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(chunk_id", 1)[1].splitlines()[1]
+    assert "array_join(counts" in moved and "AS counts" not in moved
+    rows = lambda df: sorted(map(str, df.select("document_id", "source", "dl", "counts").collect()))
+    assert rows(forward) == rows(counted) and forward.schema["counts"].dataType.simpleString() == "array<struct<term:string,tf:int>>"
+    docs = [(i, "en", "s", f"file://{i}", str(i), "text", f"{i:03x}doc", t) for i, t in enumerate(texts)]
+    corpus_store.build(spark.createDataFrame(docs, "doc_id long, lang string, source string, source_uri string, title string, source_type string, document_id string, text string"), str(tmp_path / "store"), dim=8)
+    assert {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()} == {"documents", "chunks", "frequencies", "lexical", "vectors"}
